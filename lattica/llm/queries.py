@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -75,11 +77,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(docs: DataFrame, model_name: str = PIECE_MODEL) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256."""
 
-    @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: "pd.Series") -> "pd.DataFrame":  # noqa: F821, UP037
-        import hashlib
-
-        import pandas as pd
+    def digests(texts: pd.Series) -> pd.DataFrame:
         import public_tokenizers
 
         m = sentencepiece_bpe.model(public_tokenizers.path(model_name))
@@ -90,6 +88,8 @@ def encoded(docs: DataFrame, model_name: str = PIECE_MODEL) -> DataFrame:
             out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(m.decode(ids).encode()).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    digests.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    run = pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.withColumn("_e", run("text")).select("*", "_e.*").drop("_e")
 
 
