@@ -26,7 +26,7 @@ wholly equal stand at the same place of the order and share what it is given.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -60,13 +60,16 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
     return sizes.withColumn("target", F.least(F.col("_cap"), F.col("_level") * F.col("_w"))).select("source", "source_size", "target")
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which stands in the expression and is evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _ln_factorial(n: Column) -> Column:
     """Stirling's series at n + 8, then down again."""
     x = n + F.lit(9.0)
     series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    for k in range(1, 9):
-        series = series - F.log(n + F.lit(float(k)))
-    return series
+    return series - F.log((n + 1) * (n + 2) * (n + 3) * (n + 4)) - F.log((n + 5) * (n + 6) * (n + 7) * (n + 8))
 
 
 def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> Column:
@@ -76,30 +79,38 @@ def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> C
     and one down by turns, until they exceed ``u``.
     """
     d = lambda c: c.cast("double")
-    low, high = F.greatest(F.lit(0).cast("long"), drawn - (total - marked)), F.least(marked, drawn)
-    mode = F.least(high, F.greatest(low, F.floor((d(drawn) + 1) * (d(marked) + 1) / (d(total) + 2)).cast("long")))
-    ln = lambda n, k: _ln_factorial(d(n)) - _ln_factorial(d(k)) - _ln_factorial(d(n - k))
-    p = F.exp(ln(marked, mode) + ln(total - marked, drawn - mode) - ln(total, drawn))
-    up = lambda k, q: q * d(marked - k) * d(drawn - k) / (d(k + 1) * d(total - marked - drawn + k + 1))
-    down = lambda k, q: q * d(k) * d(total - marked - drawn + k) / (d(marked - k + 1) * d(drawn - k + 1))
-    start = F.struct(mode.alias("a"), p.alias("pa"), mode.alias("b"), p.alias("pb"), (u - p).alias("u"), F.when(u <= p, mode).alias("k"))
-
-    def step(acc: Column, i: Column) -> Column:
-        rises = ((i % 2 == 0) & (acc["a"] < high)) | (acc["b"] <= low)
-        done = acc["k"].isNotNull() | ((acc["a"] >= high) & (acc["b"] <= low))
-        q = F.when(rises, up(acc["a"], acc["pa"])).otherwise(down(acc["b"], acc["pb"]))
-        k = F.when(rises, acc["a"] + 1).otherwise(acc["b"] - 1)
-        moved = F.struct(
-            F.when(rises, k).otherwise(acc["a"]).alias("a"), F.when(rises, q).otherwise(acc["pa"]).alias("pa"),
-            F.when(rises, acc["b"]).otherwise(k).alias("b"), F.when(rises, acc["pb"]).otherwise(q).alias("pb"),
-            (acc["u"] - q).alias("u"), F.when(acc["u"] <= q, k).alias("k"),
-        )
-        return F.when(done, acc).otherwise(moved)
-
-    # twelve standard deviations on either side at most
-    var = d(drawn) * d(marked) * d(total - marked) * d(total - drawn) / (F.greatest(d(total), F.lit(1.0)) * F.greatest(d(total), F.lit(1.0)) * F.greatest(d(total) - 1, F.lit(1.0)))
-    steps = F.least(high - low, F.ceil(24 * F.sqrt(var) + 40).cast("long")).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda acc: F.coalesce(acc["k"], mode))
+    given = F.struct(u.alias("u"), d(total).alias("t"), d(marked).alias("m"), d(drawn).alias("d"))
+
+    def draw(g: Column) -> Column:
+        t, m, n = g["t"], g["m"], g["d"]
+        low, high = F.greatest(F.lit(0.0), n - (t - m)), F.least(m, n)
+        mode = d(F.least(high, F.greatest(low, F.floor((n + 1) * (m + 1) / (t + 2)))))
+        return _let(F.struct(low.alias("low"), high.alias("high"), mode.alias("mode")), lambda e: walk(g, e))
+
+    def walk(g: Column, e: Column) -> Column:
+        t, m, n, k = g["t"], g["m"], g["d"], e["mode"]
+        plus, minus = F.array(m, t - m, n, t - n), F.array(k, m - k, n - k, t - m - n + k, t)
+        total_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + _ln_factorial(x))
+        # twelve standard deviations on either side at most
+        var = n * m * (t - m) * (t - n) / (F.greatest(t, F.lit(1.0)) * F.greatest(t, F.lit(1.0)) * F.greatest(t - 1, F.lit(1.0)))
+        steps = F.least(e["high"] - e["low"], F.ceil(24 * F.sqrt(var) + 40)).cast("int")
+        start = lambda p: F.struct(k.alias("a"), p.alias("pa"), k.alias("b"), p.alias("pb"), (g["u"] - p).alias("u"), F.when(g["u"] <= p, k).alias("k"))
+        return F.aggregate(F.sequence(F.lit(0), steps), _let(F.exp(total_of(plus) - total_of(minus)), start), lambda acc, i: step(g, e, acc, i), lambda acc: F.coalesce(acc["k"], k).cast("long"))
+
+    def step(g: Column, e: Column, acc: Column, i: Column) -> Column:
+        t, m, n, a, b = g["t"], g["m"], g["d"], acc["a"], acc["b"]
+        rises = ((i % 2 == 0) & (a < e["high"])) | (b <= e["low"])
+        up = acc["pa"] * (m - a) * (n - a) / ((a + 1) * (t - m - n + a + 1))
+        down = acc["pb"] * b * (t - m - n + b) / ((m - b + 1) * (n - b + 1))
+        kept = lambda x: {"a": a, "pa": acc["pa"], "b": b, "pb": acc["pb"]} | x
+
+        def to(k: Column, q: Column, names: tuple[str, str]) -> Column:
+            return _let(q, lambda p: F.struct(*[v.alias(c) for c, v in kept({names[0]: k, names[1]: p}).items()], (acc["u"] - p).alias("u"), F.when(acc["u"] <= p, k).alias("k")))
+
+        done = acc["k"].isNotNull() | ((a >= e["high"]) & (b <= e["low"]))
+        return F.when(done, acc).when(rises, to(a + 1, up, ("a", "pa"))).otherwise(to(b - 1, down, ("b", "pb")))
+
+    return _let(given, draw)
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -117,8 +128,8 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def one(acc: Column, x: Column) -> Column:
             u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("lo"), F.col("hi"), F.size(acc["out"])), 11).cast("double") + 0.5) / float(2**53)
-            k = hypergeometric(u, acc["total"], x, acc["draw"])
-            return F.struct((acc["total"] - x).alias("total"), (acc["draw"] - k).alias("draw"), F.concat(acc["out"], F.array(k)).alias("out"))
+            split = lambda k: F.struct((acc["total"] - x).alias("total"), (acc["draw"] - k).alias("draw"), F.concat(acc["out"], F.array(k)).alias("out"))
+            return _let(hypergeometric(u, acc["total"], x, acc["draw"]), split)
 
         begin = F.struct(F.col("all").alias("total"), F.col("draw").alias("draw"), F.array().cast("array<bigint>").alias("out"))
         node = node.withColumn("left", F.aggregate("n", begin, one, lambda acc: acc["out"]))
@@ -173,8 +184,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
         # Passes follow one another on the source's line; a block is a run of it.
         along = (x["pass"] + F.col("_h") / WHOLE) * F.col("source_size") / F.greatest(F.floor("target"), F.lit(1))
         block = F.least(F.col("blocks") - 1, F.floor(along * F.col("blocks")).cast("long"))
-        moved = _permuted(block, F.col("blocks"), seed)
-        shard = F.element_at(F.filter("_deal", lambda d: d["first"] <= moved), -1)["shard"]
+        shard = _let(_permuted(block, F.col("blocks"), seed), lambda moved: F.element_at(F.filter("_deal", lambda d: d["first"] <= moved), -1)["shard"])
         return F.struct(x["pass"].alias("pass"), x["words"].alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), x["pass"]).alias("place"))
 
     out = out.withColumn("copies", F.transform(F.filter(passes, lambda x: x["words"] > 0), place_of))
