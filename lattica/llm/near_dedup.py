@@ -7,18 +7,23 @@ signature has values; the values are banded as usual.
 1. Documents with equal shingle sets form one class (a 128-bit digest of the
    set); only one of each goes on, so exact copies never meet in a bucket.
 2. Classes in one bucket of a band are candidates.  A bucket of m classes is
-   not expanded into pairs: each class is first checked against the bucket's
-   most central class (that with the most bucket mates over all bands).
-3. Where a bucket still holds several components, classes outside the central
-   one are checked against those of its spread-out members that look nearest by
-   signature; and then, in the buckets that still hold several components,
-   every pair of different components that shares a band, once, unless the
+   not expanded into pairs: each class is first checked against one class, the
+   most central (that with the most bucket mates over all bands) of all that
+   stand in its buckets.
+3. In buckets that still hold several components, each class outside the most
+   central one's component is checked against that one of the component's
+   spread-out members which looks nearest by signature, for some rounds; and
+   then against every class of its buckets in another component, unless the
    signatures put the pair far (``margin``) below the threshold.  This last
    step makes the result whole: no bucket, partner or pair is capped.
 4. Links are confirmed on the full sets (64-bit shingle hashes of whole texts,
    sorted; the chance that a collision changes a comparison is below 1e-9).
    Components of the links give each document its ``component_id``.
 
+Lists of keys, buckets and pairs are broadcast if a count shows that they are
+few (``FEW`` narrow rows), so that whole texts are not shuffled to find the few
+that are compared; beyond that Spark shuffles these joins.
+
 With four values a band, so many bands are used that two documents exactly at
 the threshold share none with a chance of at most ``miss``.
 
@@ -38,13 +43,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import components
 from .textvec import Powers, mix64, set_key, shingles
 
 ROWS = 4
 #: Spread-out members of a bucket's central component that others are checked against.
 REPRESENTATIVES = 8
+#: Most rows, of a few numbers each, of a list that may be broadcast.
+FEW = 500_000
 
 
 def bands_for(threshold: float, miss: float) -> int:
@@ -64,7 +71,7 @@ def min_max(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
-    """doc_id, key (of the shingle set), n_shingles, bands and sig for each row."""
+    """doc_id, key (of the shingle set), n_shingles, bands and sketch (eight bits of each value) for each row."""
     perms = bands * ROWS // 2
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,19 +94,20 @@ def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
                 for v in sig.reshape(bands, ROWS).T:
                     h = mix64(h ^ v) + v
                 buckets.append(h.view(np.int64))
-                sigs.append(sig.astype(np.uint32).view(np.int32))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "key": keys, "n_shingles": counts, "bands": buckets, "sig": sigs})
+                sigs.append((mix64(sig) & np.uint64(255)).astype(np.uint8).view(np.int8))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "key": keys, "n_shingles": counts, "bands": buckets, "sketch": sigs})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key binary, n_shingles long, bands array<long>, sig array<int>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key binary, n_shingles long, bands array<long>, sketch array<tinyint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of ``pairs(a, a_doc, b, b_doc)``, keys and a document of each, those that reach ``percent``."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a_doc").alias("_id")).unionByName(pairs.select(F.col("b_doc").alias("_id"))).distinct()
-    texts = cut(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"))
-    of = lambda x: texts.select(F.col("doc_id").alias(f"{x}_doc"), F.col("text").alias(f"{x}_text"))
-    full = pairs.join(of("b"), "b_doc").join(of("a"), "a_doc").select("a", "a_text", "b", "b_text")
+
+    def with_text(x: str) -> DataFrame:
+        own = texts.select(F.col("doc_id").alias(f"{x}_doc"), F.col("text").alias(f"{x}_text"))
+        return own.join(small(pairs, FEW), f"{x}_doc").select("a", "b", f"{x}_text")
+
+    full = with_text("a").join(with_text("b"), ["a", "b"]).select("a", "a_text", "b", "b_text").sortWithinPartitions("a")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, known = Powers(), {}
@@ -128,65 +136,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return cut(full.mapInPandas(run, "a binary, b binary").distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, margin: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, margin: float = 0.2, rounds: int = 2) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     ``percent`` is the least share, in hundredths, of the intersection in the
     union of two sets that links them.
     """
-    bands = bands_for(percent / 100, miss)
-    every = cut(signatures(docs, k, bands))
+    every = cut(signatures(docs, k, bands_for(percent / 100, miss)))
     classes = cut(
         every.where("n_shingles > 0 and doc_id is not null").groupBy("key")
-        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    rows = classes.select("key", "doc", "n", F.posexplode("bands").alias("band", "h"))
-    shared = cut(rows.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1"))
-    members = cut(rows.join(shared, ["band", "h"]))
-    mates = members.groupBy(F.col("key").alias("_k")).agg(F.sum("m").alias("mates"))
-    ranked = members.join(cut(mates), F.col("key") == F.col("_k"))
-    centres = cut(ranked.groupBy("band", "h").agg(F.max(F.struct("mates", "key", "doc", "n")).alias("c"))).select("band", "h", F.col("c.key").alias("a"), F.col("c.doc").alias("a_doc"), F.col("c.n").alias("a_n"))
-    fits = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
-    stars = members.join(centres, ["band", "h"]).where((F.col("key") != F.col("a")) & fits).select("a", "a_doc", F.col("key").alias("b"), F.col("doc").alias("b_doc")).distinct()
-    edges = confirmed(stars, docs, k, percent)
+    rows = classes.select("key", "doc", "n", F.explode("bands").alias("h"))
+    shared = cut(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+    members = cut(rows.join(small(shared, FEW), "h"))
+    mates = members.groupBy("key").agg(F.sum("m").alias("mates"))
+    members = cut(members.drop("m").join(small(cut(mates), FEW), "key"))
+    ids = members.select(F.col("doc").alias("_id")).distinct()
+    texts = cut(docs.select("doc_id", "text").join(small(cut(ids), FEW), F.col("doc_id") == F.col("_id"), "left_semi"))
+
+    centres = cut(members.groupBy("h").agg(F.max(F.struct("mates", "key", "doc", "n")).alias("c")))
+    fits = lambda m: 100 * F.least("n", m) >= percent * F.greatest("n", m)
+    stars = members.join(small(centres, FEW), "h").where((F.col("key") != F.col("c.key")) & fits(F.col("c.n"))).groupBy("key", "doc").agg(F.max("c").alias("c"))
+    tried = cut(_pairs(stars.select("key", "doc", F.col("c.key").alias("a_key"), F.col("c.doc").alias("a_doc"))))
+    edges = confirmed(tried, texts, k, percent)
     roots = components(edges)
 
-    # Buckets that still hold several components, apart from pairs with the centre, which are checked.
-    members = members.where("m > 2").join(centres.select("band", "h", "a"), ["band", "h"])
     near = percent / 100 - margin
-    for last in (False, True):
-        placed = cut(members.join(roots.withColumnRenamed("node", "_n"), F.col("key") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "key")).drop("_n"))
-        mixed = placed.where("key != a").groupBy("band", "h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "h")
-        placed = cut(placed.join(cut(mixed), ["band", "h"]))
-        wide = cut(placed.join(classes.select(F.col("key").alias("_k"), "bands", "sig"), F.col("key") == F.col("_k")).drop("_k"))
-        central = wide.where("key = a").select("band", "h", F.col("root").alias("main"))
-        wide = cut(wide.where("key != a").join(cut(central), ["band", "h"]))
+    alike = F.aggregate(F.zip_with("sketch", "a_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size("sketch")
+    whole = ("key", "doc", "n", "root", "sketch")
+    for last in [False] * rounds + [True]:
+        # buckets of several components, and the component of the most central class of each
+        placed = members.join(small(roots, FEW), F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+        placed = cut(placed)
+        held = placed.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("mates", "key", "root")).alias("c"))
+        mixed = cut(held.where("r0 != r1").select("h", F.col("c.root").alias("main")))
+        wide = placed.join(small(mixed, FEW), "h").join(classes.select(F.col("key").alias("_k"), "sketch"), F.col("key") == F.col("_k")).drop("_k")
+        wide = cut(wide)
         right = wide
         if not last:
-            picks = [F.min_by(F.struct("key", "doc", "n", "root", "bands", "sig"), F.xxhash64(F.lit(i), "key")) for i in range(REPRESENTATIVES)]
-            chosen = wide.where("root = main").groupBy("band", "h").agg(F.array(*picks).alias("x"))
-            right = cut(chosen.select("band", "h", F.explode(F.array_distinct("x")).alias("x")).select("band", "h", "x.*"))
-        other = right.select("band", "h", *[F.col(c).alias(f"a_{c}") for c in ("key", "doc", "n", "root", "bands", "sig")])
-        alike = F.aggregate(F.zip_with("sig", "a_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size("sig")
-        earlier = F.exists(F.zip_with(F.slice("bands", F.lit(1), F.col("band")), F.slice("a_bands", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
-        left = wide if last else wide.where("root != main")
-        sides = (F.col("root") != F.col("a_root")) & fits & ((F.col("key") < F.col("a_key")) if last else F.lit(True))
-        on = (left["band"] == other["band"]) & (left["h"] == other["h"]) & sides
-        left = left.withColumnRenamed("h", "_h")
-        other = other.withColumnsRenamed({"band": "_band2", "h": "_h2"})
-        on = (F.col("band") == F.col("_band2")) & (F.col("_h") == F.col("_h2")) & sides & ~earlier & (alike >= near)
-        pairs = left.join(other, on).select(F.col("a_key").alias("a"), "a_doc", F.col("key").alias("b"), F.col("doc").alias("b_doc"), alike.alias("alike"))
-        if not last:  # of the spread-out members the three that look nearest
-            three = pairs.groupBy("b", "b_doc").agg(*[F.max_by(F.struct("a", "a_doc"), F.struct("alike", F.xxhash64(F.lit(i), "a"))).alias(f"x{i}") for i in range(1)], F.min_by(F.struct("a", "a_doc"), F.xxhash64("a", "b")).alias("x1"), F.max_by(F.struct("a", "a_doc"), F.xxhash64("a", "b")).alias("x2"))
-            pairs = three.select("b", "b_doc", F.explode(F.array_distinct(F.array("x0", "x1", "x2"))).alias("x")).select("x.a", "x.a_doc", "b", "b_doc")
-        more = confirmed(pairs.select("a", "a_doc", "b", "b_doc").distinct(), docs, k, percent)
-        edges = edges.unionByName(more)
-        roots = components(edges)
-
-    known = classes.select("key", "doc").join(roots.withColumnRenamed("node", "_n"), F.col("key") == F.col("_n"), "left").select("key", "doc", F.coalesce("root", "key").alias("root"))
+            picks = [F.min_by(F.struct(*whole), F.xxhash64(F.lit(i), "key")) for i in range(REPRESENTATIVES)]
+            chosen = wide.where("root = main").groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("x"))
+            right = cut(chosen.select("h", F.explode("x").alias("x")).select("h", "x.*"))
+        right = right.select(F.col("h").alias("_h"), *[F.col(c).alias(f"a_{c}") for c in whole])
+        close = (F.col("h") == F.col("_h")) & (F.col("root") != F.col("a_root")) & fits(F.col("a_n")) & (alike >= near)
+        found = wide.where("root != main").join(right, close)
+        a, b = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), _pairs(found.select("key", "doc", "a_key", "a_doc", alike.alias("alike")), "alike", "key")
+        new = b.join(small(cut(a), FEW), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+        if not last:  # the one that looks nearest
+            new = new.groupBy("key").agg(F.max_by(F.struct("a", "a_doc", "b", "b_doc"), F.struct("alike", "a", "b")).alias("x")).select("x.*")
+        new = cut(new.select("a", "a_doc", "b", "b_doc").distinct())
+        tried = tried.unionByName(new)
+        more = confirmed(new, texts, k, percent)
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            roots = components(edges)
+
+    # a class that links with nothing has its own documents' least id
+    known = classes.select("key", "doc").join(small(roots, FEW), F.col("key") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "key").alias("root"))
     known = cut(known)
-    least = cut(known.groupBy("root").agg(F.min("doc").alias("component")))
-    named = cut(known.join(least, "root").select(F.col("key").alias("_key"), "component"))
+    least = cut(known.where("root != key").groupBy("root").agg(F.min("doc").alias("_least")).withColumnRenamed("root", "_r"))
+    named = known.join(small(least, FEW), F.col("root") == F.col("_r"), "left").select(F.col("key").alias("_key"), F.least("doc", "_least").alias("component"), "root", "_r", "doc")
+    # the root itself is not among those above, and may hold the least id
+    heads = cut(named.where("_key = root and _r is not null").select(F.col("root").alias("_r2"), F.col("component").alias("_c")))
+    named = cut(named.join(small(heads, FEW), F.col("root") == F.col("_r2"), "left").select("_key", F.coalesce("_c", "doc").alias("component")))
     out = every.select("doc_id", "key", "n_shingles").join(named, (F.col("key") == F.col("_key")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _pairs(found: DataFrame, *more: str) -> DataFrame:
+    """``found(key, doc, a_key, a_doc)`` as pairs with a < b."""
+    swap = F.col("key") < F.col("a_key")
+    either = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    return found.select(either("key", "a_key").alias("a"), either("doc", "a_doc").alias("a_doc"), either("a_key", "key").alias("b"), either("a_doc", "doc").alias("b_doc"), *more)
