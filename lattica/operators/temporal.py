@@ -98,7 +98,7 @@ def unique_states(panel: DataFrame) -> DataFrame:
 def transitions(panel: DataFrame) -> DataFrame:
     """For each state and node: the sum of 1 / (nodes flipped) over the transitions out of it that flip the node."""
     after = F.lead("state").over(W.partitionBy("subject", "node").orderBy("step"))
-    moves = panel.withColumn("_f", F.when(after != F.col("state"), 1).otherwise(0)).where(after.isNotNull() | F.lit(True))
+    moves = panel.withColumn("_f", F.when(after != F.col("state"), 1).otherwise(0))
     per_step = moves.groupBy("subject", "step").agg(F.sum("_f").alias("n_flipped"))
     flipped = moves.where("_f = 1").select("subject", "step", "node").join(per_step, ["subject", "step"]).join(state_keys(panel), ["subject", "step"])
     return flipped.groupBy("subject", "key", "node").agg(F.sum(1 / F.col("n_flipped").cast("double")).alias("weight"))

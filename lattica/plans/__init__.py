@@ -1 +1,15 @@
-"""Lattica: panel analytics on Spark DataFrames."""
+"""Plans: the registered queries of the panel operators and models, with their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from . import panel
+
+    return dict(panel.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import panel
+
+    return dict(panel.SQL)
