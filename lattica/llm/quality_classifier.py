@@ -7,9 +7,9 @@ the one before it is a pair of its own kind, whatever the word.  Vectors and
 layer are trained together by stochastic gradient descent in numpy.
 
 Training reads at most ``most_rows`` labelled documents, those of least hash
-(a documented bound; whole texts).  Their features are counted in the tasks, so
-that the driver gets at most ``buckets`` numbers a document.  A score then is a
-sum over one number a bucket, and no vector leaves the driver.
+(a documented bound; whole texts).  Their features are counted in the tasks, at
+most ``buckets`` numbers a document, and one task trains.  A score then is a
+sum over one number a bucket, which is all that reaches the driver.
 
 Scores read ``text`` alone.  Null and empty texts score the trained prior (an
 average of nothing).  Null labels are not used; of several labels of a document
@@ -88,12 +88,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: i
             got = [np.unique(features(t, buckets, powers), return_counts=True) for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["_y"], "f": [g[0].astype(np.int32) for g in got], "n": [g[1].astype(np.float32) for g in got]})
 
-    got = rows.select("doc_id", "text", "_y").mapInPandas(run, "doc_id long, y int, f array<int>, n array<float>").toPandas()
+    counted = rows.select("doc_id", "text", "_y").mapInPandas(run, "doc_id long, y int, f array<int>, n array<float>")
+
+    def fitted(got: pd.DataFrame) -> pd.DataFrame:
+        weight, bias = fit(got, buckets, dim, epochs, rate, seed)
+        return pd.DataFrame({"weight": [weight], "bias": [bias]})
+
+    # at most most_rows documents, of at most ``buckets`` features each, meet in the one task that trains
+    out = counted.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fitted, "weight array<float>, bias double").first()
+    return Classifier(np.zeros(buckets, np.float32), 0.0) if out is None else Classifier(np.array(out.weight, np.float32), out.bias)
+
+
+def fit(got: pd.DataFrame, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+    """Weight of each bucket and bias, by stochastic gradient descent over documents (y, f, n)."""
     got = got.sort_values(["doc_id", "y"], kind="stable", ignore_index=True)
     y = got["y"].to_numpy(np.float64)
-    share = y.mean() if len(y) else 0.5
+    share = y.mean()
     if not 0 < share < 1:
-        return Classifier(np.zeros(buckets, np.float32), float(np.clip(np.log((share + 1e-3) / (1 - share + 1e-3)), -6, 6)))
+        return np.zeros(buckets, np.float32), float(np.clip(np.log((share + 1e-3) / (1 - share + 1e-3)), -6, 6))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
@@ -114,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: i
             layer -= lr * np.outer(mean, p)
             bias -= lr * 0.1 * p
             vectors[f] -= (lr * min(len(f), 200)) * w[:, None] * back
-    return Classifier((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
