@@ -12,14 +12,20 @@ signature has values; the values are banded as usual.
    stand in its buckets.
 3. In buckets that still hold several components, each class outside the most
    central one's component is checked against that one of the component's
-   spread-out members which looks nearest by signature, for some rounds; and
-   then against every class of its buckets in another component, unless the
-   signatures put the pair far (``margin``) below the threshold.  This last
-   step makes the result whole: no bucket, partner or pair is capped.
+   spread-out members which looks nearest by sketch, for some rounds; and
+   then against every class of its buckets in another component, unless their
+   sketches differ by more than a pair at the threshold can.  This last step
+   makes the result whole: no bucket, partner or pair is capped.
 4. Links are confirmed on the full sets (64-bit shingle hashes of whole texts,
    sorted; the chance that a collision changes a comparison is below 1e-9).
    Components of the links give each document its ``component_id``.
 
+A sketch holds the parity of the number of shingles in each of ``BITS`` cells (an
+odd sketch).  Two sketches differ in no more cells than the sets differ in
+shingles, so for sets of up to ``SAMPLE`` shingles a pair is never dropped
+wrongly; of larger sets the shingles below a power of two are sketched, and the
+bound has six standard deviations to spare.
+
 Lists of keys, buckets and pairs are broadcast if a count shows that they are
 few (``FEW`` narrow rows), so that whole texts are not shuffled to find the few
 that are compared; beyond that Spark shuffles these joins.
@@ -50,6 +56,8 @@ from .textvec import Powers, mix64, set_key, shingles
 ROWS = 4
 #: Spread-out members of a bucket's central component that others are checked against.
 REPRESENTATIVES = 8
+#: Cells of a sketch, and the most shingles (about) that go into one.
+BITS, SAMPLE = 1024, 2048
 #: Most rows, of a few numbers each, of a list that may be broadcast.
 FEW = 500_000
 
@@ -70,8 +78,21 @@ def min_max(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high]) >> np.uint64(32)
 
 
+def level_of(n: int) -> int:
+    """Halvings after which about ``SAMPLE`` of n shingles are left."""
+    return max(0, (n - 1).bit_length() - SAMPLE.bit_length() + 1)
+
+
+def odd_sketch(s: np.ndarray, level: int) -> np.ndarray:
+    """Parity of each cell as signed words, over the shingles whose upper ``level`` bits are 0."""
+    if level:
+        s = s[: np.searchsorted(s, np.uint64(1) << np.uint64(64 - level))]  # sorted
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
-    """doc_id, key (of the shingle set), n_shingles, bands and sketch (eight bits of each value) for each row."""
+    """doc_id, key (of the shingle set), n_shingles, bands, and the sketches of the set's level and the next, for each row."""
     perms = bands * ROWS // 2
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,24 +101,26 @@ def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         powers = Powers()
         for part in parts:
-            keys, counts, buckets, sigs = [], [], [], []
+            keys, counts, buckets, fine, coarse = [], [], [], [], []
             for text in part["text"]:
                 s = shingles(text, k, powers)
                 keys.append(set_key(s))
                 counts.append(len(s))
                 if not len(s):
                     buckets.append(None)
-                    sigs.append(None)
+                    fine.append(None)
+                    coarse.append(None)
                     continue
                 sig = min_max(s, a, b)
                 h = salt.copy()
                 for v in sig.reshape(bands, ROWS).T:
                     h = mix64(h ^ v) + v
                 buckets.append(h.view(np.int64))
-                sigs.append((mix64(sig) & np.uint64(255)).astype(np.uint8).view(np.int8))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "key": keys, "n_shingles": counts, "bands": buckets, "sketch": sigs})
+                fine.append(odd_sketch(s, level_of(len(s))))
+                coarse.append(odd_sketch(s, level_of(len(s)) + 1))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "key": keys, "n_shingles": counts, "bands": buckets, "fine": fine, "coarse": coarse})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key binary, n_shingles long, bands array<long>, sketch array<tinyint>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key binary, n_shingles long, bands array<long>, fine array<long>, coarse array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -136,7 +159,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return cut(full.mapInPandas(run, "a binary, b binary").distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, margin: float = 0.2, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 2) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     ``percent`` is the least share, in hundredths, of the intersection in the
@@ -145,7 +168,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     every = cut(signatures(docs, k, bands_for(percent / 100, miss)))
     classes = cut(
         every.where("n_shingles > 0 and doc_id is not null").groupBy("key")
-        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("fine").alias("fine"), F.first("coarse").alias("coarse"))
     )
     rows = classes.select("key", "doc", "n", F.explode("bands").alias("h"))
     shared = cut(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
@@ -162,29 +185,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     edges = confirmed(tried, texts, k, percent)
     roots = components(edges)
 
-    near = percent / 100 - margin
-    alike = F.aggregate(F.zip_with("sketch", "a_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size("sketch")
-    whole = ("key", "doc", "n", "root", "sketch")
+    # the most that two sets at the threshold may differ in, as seen in their sketches
+    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(F.col(n).cast("double"))) - (SAMPLE.bit_length() - 1)).cast("int")
+    common = F.greatest(F.col("level"), F.col("a_level"))
+    of = lambda side: F.when(F.col(f"{side}level") == common, F.col(f"{side}fine")).otherwise(F.col(f"{side}coarse"))
+    differ = F.aggregate(F.zip_with(of(""), of("a_"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    scale = F.pow(F.lit(2.0), common)
+    most = (100 - percent) / (100 + percent) * (F.col("n") + F.col("a_n")) / scale
+    most = F.when(common > 0, most + 6 * F.sqrt(most)).otherwise(most)
+    cells = BITS / 2 * (1 - F.exp(-2 * most / BITS))  # expected of so many differences
+    near = differ <= F.least(most, cells + 6 * F.sqrt(cells)) + 1e-9
+    apart = differ * scale / (F.col("n") + F.col("a_n"))
+    whole = ("key", "doc", "n", "root", "level", "fine", "coarse")
     for last in [False] * rounds + [True]:
         # buckets of several components, and the component of the most central class of each
         placed = members.join(small(roots, FEW), F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
         placed = cut(placed)
         held = placed.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("mates", "key", "root")).alias("c"))
         mixed = cut(held.where("r0 != r1").select("h", F.col("c.root").alias("main")))
-        wide = placed.join(small(mixed, FEW), "h").join(classes.select(F.col("key").alias("_k"), "sketch"), F.col("key") == F.col("_k")).drop("_k")
-        wide = cut(wide)
+        wide = placed.join(small(mixed, FEW), "h").join(classes.select(F.col("key").alias("_k"), "fine", "coarse"), F.col("key") == F.col("_k")).drop("_k")
+        wide = cut(wide.withColumn("level", level("n")))
         right = wide
         if not last:
             picks = [F.min_by(F.struct(*whole), F.xxhash64(F.lit(i), "key")) for i in range(REPRESENTATIVES)]
             chosen = wide.where("root = main").groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("x"))
             right = cut(chosen.select("h", F.explode("x").alias("x")).select("h", "x.*"))
         right = right.select(F.col("h").alias("_h"), *[F.col(c).alias(f"a_{c}") for c in whole])
-        close = (F.col("h") == F.col("_h")) & (F.col("root") != F.col("a_root")) & fits(F.col("a_n")) & (alike >= near)
+        close = (F.col("h") == F.col("_h")) & (F.col("root") != F.col("a_root")) & fits(F.col("a_n")) & near
         found = wide.where("root != main").join(right, close)
-        a, b = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), _pairs(found.select("key", "doc", "a_key", "a_doc", alike.alias("alike")), "alike", "key")
+        a, b = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), _pairs(found.select("key", "doc", "a_key", "a_doc", apart.alias("apart")), "apart", "key")
         new = b.join(small(cut(a), FEW), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
         if not last:  # the one that looks nearest
-            new = new.groupBy("key").agg(F.max_by(F.struct("a", "a_doc", "b", "b_doc"), F.struct("alike", "a", "b")).alias("x")).select("x.*")
+            new = new.groupBy("key").agg(F.min_by(F.struct("a", "a_doc", "b", "b_doc"), F.struct("apart", "a", "b")).alias("x")).select("x.*")
         new = cut(new.select("a", "a_doc", "b", "b_doc").distinct())
         tried = tried.unionByName(new)
         more = confirmed(new, texts, k, percent)
