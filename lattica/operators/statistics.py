@@ -155,7 +155,7 @@ def power_law_grid(counts: DataFrame, keys: Sequence[str], value: str, n: str, x
     seen = used.select(*keys, value, F.sum(n).over(run).alias("_c")).join(best, list(keys))
     fitted = 1 - zeta_from(F.col("exponent"), F.col(value) + 1, terms) / F.col("z")
     d = F.abs(ratio(F.col("_c"), F.col("_n")) - fitted)
-    return seen.groupBy(*keys).agg(F.first("exponent").alias("exponent"), F.first("likelihood").alias("likelihood"), F.max(d).alias("ks"))
+    return seen.withColumn("_d", d).groupBy(*keys).agg(F.first("exponent").alias("exponent"), F.first("likelihood").alias("likelihood"), F.max("_d").alias("ks"))
 
 
 def zeta_from(exponent: Column, first: Column, terms: int) -> Column:

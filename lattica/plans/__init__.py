@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import panel
+    from . import models, panel  # noqa: F401  models adds its own
 
     return dict(panel.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import panel
+    from . import models, panel  # noqa: F401
 
     return dict(panel.SQL)
