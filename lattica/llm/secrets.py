@@ -63,7 +63,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: i
     in (digests in hexadecimal and base64, upper-case and mixed identifiers).
     Ordinary ones are the words of at most ``sample_docs`` documents, those of
     least hash, outside the patterns' matches, alone and joined in pairs as
-    identifiers are.  Both bounds are parameters, and the only sample taken.
+    identifiers are.  Both bounds are parameters, and the only sample taken (rows
+    that repeat the last id come along).  Hashes alone are sorted; the texts of
+    the sample stay in the tasks that read them.
     """
     spark = docs.sparkSession
     d = lambda i: F.sha2(F.concat(F.lit(f"{i}:"), F.col("id").cast("string")), 256)
@@ -72,7 +74,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: i
     kinds = [d(1), base64, F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(d(2), d(3)))), "[+/=]", ""), 1, 32)), F.regexp_replace(F.base64(F.unhex(d(4))), "[+/=]", "")]
     text = F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int"))
     random = raw.select(text.alias("text"), F.lit(1).alias("label"))
-    chosen = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    held = docs.where("text is not null").select("text", F.xxhash64("doc_id").alias("rank"))
+    last = held.select("rank").orderBy("rank").limit(sample_docs).agg(F.max("rank")).first()[0]
+    chosen = held.where(F.col("rank") <= F.lit(last)).select("text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word = re.compile(r"[A-Za-z]{4,}[A-Za-z0-9_-]*")
@@ -85,7 +89,7 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: i
                 out += words
                 out += [a + "_" + b for a, b in zip(words[::2], words[1::2], strict=False)]
                 out += [a.lower() + b.capitalize() for a, b in zip(words[::3], words[1::3], strict=False)]
-            yield pd.DataFrame({"text": out, "label": 0})
+            yield pd.DataFrame({"text": pd.Series(out, dtype=object), "label": np.zeros(len(out), np.int32)})
 
     return random.unionByName(chosen.mapInPandas(run, "text string, label int"))
 
