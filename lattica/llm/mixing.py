@@ -8,13 +8,15 @@
    rest is used up; only the last of them is taken in part, so that the words
    taken equal the target, rounded down.  The cut is found digit by digit of
    the hash from word sums of at most 256 buckets a source, never by sorting.
-3. The words taken from each source are cut into blocks, runs of that order.
+3. The words taken from each source are cut into blocks of ``block_words``, runs
+   of that order.  A copy goes whole to the block of its first word, so a run of
+   blocks holds its words but for the copies that reach over its two ends.
    A binary tree splits the exact block quotas among the output shards: each
    node draws its left child's counts from the multivariate hypergeometric
    distribution by inverting its probability function.
 4. A source's blocks are permuted by an affine map and dealt to the shards in
    disjoint ranges of their new numbers; rows are shuffled inside each shard
-   by a hash.
+   by a hash (``dealt``, ``write``).
 
 Only built-in functions are used, and all draws come from hashes of ``seed``,
 so that reruns agree.
@@ -34,10 +36,6 @@ from pyspark.sql import functions as F
 
 from .common import count_words, cut, small
 
-#: Bits of the hash that order uses; each search step reads eight.
-STEPS = (55, 47, 39)
-WHOLE = 2.0**63
-
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     """Add ``target`` to one row a source with its words ``source_size``.
@@ -148,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     """All rows of ``docs`` with size, source_size, target, taken and ``copies``.
 
     ``copies`` lists the shares of a document in the mix, a struct of pass,
-    words, shard and place (the order inside the shard), one for each pass that
+    words, block, shard and place (the order inside the shard), one for each pass that
     takes it.  ``taken`` is the sum of their words.
     """
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
@@ -158,38 +156,34 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     whole = F.floor(F.col("target")).cast("long")
     by_source = by_source.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long"))
     by_source = cut(by_source.withColumn("rest", whole - F.col("passes") * F.col("source_size")))
-    # The place in the order at which the rest is used up, and the words still missing there.
-    place = by_source.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_prefix"), F.col("rest").alias("_rest"))
-    done = 63
-    for shift in (*STEPS, 0):
-        here = F.col("_s").eqNullSafe(F.col("source"))
-        inside = slim.join(small(place), here & ((F.shiftright("_h", done) == F.col("_prefix")) if done < 63 else F.lit(True)))
-        sums = inside.groupBy("_s", "_rest", F.shiftright("_h", shift).alias("_b")).agg(F.sum("size").alias("_words"))
-        run = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-        sums = sums.withColumn("_cum", F.sum("_words").over(run)).where(F.col("_cum") > F.col("_rest"))
-        place = cut(sums.groupBy("_s").agg(F.min(F.struct("_b", (F.col("_rest") - F.col("_cum") + F.col("_words")).alias("r"), "_words")).alias("x")).select("_s", F.col("x._b").alias("_prefix"), F.col("x.r").alias("_rest"), F.col("x._words").alias("_words")))
-        done = shift
-    ties = slim.join(small(place), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_h") == F.col("_prefix"))).groupBy("_s").agg(F.count("*").alias("_ties"))
-    place = place.join(ties.withColumnRenamed("_s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2"))).select("_s", F.col("_prefix").alias("_edge"), F.floor(F.col("_rest") / F.col("_ties")).alias("_part"))
-    params = by_source.join(place, F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s")
-    params = params.withColumn("blocks", F.ceil(F.floor(F.col("target")) / block_words).cast("long"))
+    # The words before each document: those of the buckets before its own, and of its bucket's documents before it.
+    bits = max(8, (slim.count() >> 16).bit_length())
+    bucket = F.shiftright("_h", 63 - bits)
+    sums = slim.groupBy(F.col("source").alias("_s"), bucket.alias("_b")).agg(F.sum("size").alias("_words"))
+    run = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    base = cut(sums.select("_s", "_b", F.coalesce(F.sum("_words").over(run), F.lit(0).cast("long")).alias("_base")))
+    own = W.partitionBy("source", "_bucket")
+    docs = docs.withColumn("_bucket", bucket).withColumn("_cum", F.sum("size").over(own.orderBy("_h").rangeBetween(W.unboundedPreceding, 0)))
+    docs = docs.withColumn("_ties", F.count("*").over(W.partitionBy("source", "_bucket", "_h")))
+    docs = docs.join(small(base), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s")
+    docs = docs.withColumn("_before", F.col("_base") + F.col("_cum") - F.col("_ties") * F.col("size"))
+    params = by_source.withColumn("blocks", F.ceil(F.floor(F.col("target")) / block_words).cast("long"))
     deal = cut(split_tree(cut(params.select("source", "blocks")), shards, seed))
     deal = deal.groupBy(F.col("source").alias("_s")).agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("_deal"))
     params = cut(params.join(deal, F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s").withColumnRenamed("source", "_s"))
     out = docs.join(small(params), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    last = F.when(F.col("_edge").isNull() | (F.col("_h") > F.col("_edge")), 0).when(F.col("_h") < F.col("_edge"), F.col("size")).otherwise(F.least(F.col("_part"), F.col("size"))).cast("long")
+    last = F.least(F.floor(F.greatest(F.col("rest") - F.col("_before"), F.lit(0)) / F.col("_ties")), F.col("size")).cast("long")
     passes = F.transform(F.sequence(F.lit(0), F.col("passes").cast("int")), lambda i: F.struct(i.alias("pass"), F.when(i < F.col("passes"), F.col("size")).otherwise(last).alias("words")))
 
     def place_of(x: Column) -> Column:
-        # Passes follow one another on the source's line; a block is a run of it.
-        along = (x["pass"] + F.col("_h") / WHOLE) * F.col("source_size") / F.greatest(F.floor("target"), F.lit(1))
-        block = F.least(F.col("blocks") - 1, F.floor(along * F.col("blocks")).cast("long"))
+        # Passes follow one another on the source's line of words; a block is a run of it.
+        block = F.floor((x["pass"] * F.col("source_size") + F.col("_before")) / block_words).cast("long")
         shard = _let(_permuted(block, F.col("blocks"), seed), lambda moved: F.element_at(F.filter("_deal", lambda d: d["first"] <= moved), -1)["shard"])
-        return F.struct(x["pass"].alias("pass"), x["words"].alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), x["pass"]).alias("place"))
+        return F.struct(x["pass"].alias("pass"), x["words"].alias("words"), block.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), x["pass"]).alias("place"))
 
     out = out.withColumn("copies", F.transform(F.filter(passes, lambda x: x["words"] > 0), place_of))
     out = out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
-    return out.drop("_h", "_edge", "_part", "_deal", "passes", "rest", "blocks")
+    return out.drop("_h", "_bucket", "_b", "_base", "_cum", "_ties", "_before", "_deal", "passes", "rest", "blocks")
 
 
 def _permuted(block: Column, n: Column, seed: int) -> Column:
@@ -199,9 +193,19 @@ def _permuted(block: Column, n: Column, seed: int) -> Column:
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row for each copy, with its pass, words, shard and place.
+    """One row for each copy, with its pass, words, block, shard and place."""
+    return mixed.select("*", F.explode("copies").alias("_c")).select(*[c for c in mixed.columns if c not in ("copies", "taken")], "_c.*")
+
+
+def dealt(copies: DataFrame) -> DataFrame:
+    """``emit``'s rows by shard, shuffled locally: in order of place in each shard.
 
-    Write it by ``repartition("shard").sortWithinPartitions("shard", "place")``
-    for shards that are shuffled locally.
+    Partitions are ranges of shard and place, so a shard may go over several,
+    that follow one another.
     """
-    return mixed.select("*", F.explode("copies").alias("_c")).select(*[c for c in mixed.columns if c not in ("copies", "taken")], "_c.*")
+    return copies.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+
+
+def write(copies: DataFrame, path: str) -> None:
+    """Write ``emit``'s rows, a folder a shard; its files in order of name are its rows in order of place."""
+    dealt(copies).write.partitionBy("shard").parquet(path)

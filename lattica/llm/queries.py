@@ -94,8 +94,10 @@ def encoded(docs: DataFrame, model_name: str = PIECE_MODEL) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard and place list those of a document's copies, in order of pass."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    listed = lambda field: F.array_join(F.transform("copies", lambda x: x[field]), ",").alias(field)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", listed("shard"), listed("place"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
