@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import mixing, near_dedup, quality_classifier, secrets
-from lattica.llm.common import shared_dir, table
+from lattica.llm.common import cut, shared_dir, small, table
 from lattica.llm.queries import encoded
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,11 +26,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least id, of each group of near duplicates (five-word shingles, 0.8)."""
-    found = near_dedup.near_duplicates(docs, k=5, percent=80)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    return kept.select(*COLUMNS)
+    """Keep one document, that of the least id, of each group of near duplicates (five-word shingles, 0.8).
+
+    Rows are told apart by id and text: an id on two texts loses only those that
+    are copies.  If the least id of a group has several rows in it, one text (of
+    least hash) and one row of it stay; so does one of wholly repeated rows
+    without words.  Rows without an id all stay.
+    """
+    found = cut(near_dedup.grouped(docs, k=5, percent=80).select("doc_id", "text_hash", "component_key", "kept"))
+    gone = found.where("not kept").select("doc_id", "text_hash")
+    alone = F.when(F.col("component_key").isNull(), F.col("text_hash"))
+    heads = found.where("kept and doc_id is not null").groupBy("doc_id", "component_key", alone.alias("alone"))
+    heads = cut(heads.agg(F.min("text_hash").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n", "alone"))
+    docs = docs.select(*COLUMNS)
+    if not heads.limit(1).count():
+        return _without(docs, gone)
+    rows = found.where("kept").join(heads.withColumnsRenamed({"doc_id": "_d", "component_key": "_k"}), (F.col("doc_id") == F.col("_d")) & F.col("component_key").eqNullSafe(F.col("_k")))
+    gone = gone.union(rows.where("component_key is not null and text_hash != head").select("doc_id", "text_hash"))
+    again = heads.select("doc_id", F.col("head").alias("text_hash"))
+    # the repeated heads are cut out, and one row of each put back
+    of = again.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    own = docs.join(small(cut(of)), (F.col("doc_id") == F.col("_d")) & (near_dedup.text_hash() == F.col("_h")), "left_semi")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = own.groupBy("doc_id", near_dedup.text_hash()).agg(F.min(F.struct(*rest, "text")).alias("x")).select("doc_id", "x.*")
+    return _without(docs, gone.union(again)).unionByName(one).select(*COLUMNS)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone(doc_id, text_hash)``."""
+    gone = cut(gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct())
+    return docs.join(small(gone, near_dedup.FEW), (F.col("doc_id") == F.col("_d")) & (near_dedup.text_hash() == F.col("_h")), "left_anti")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small
@@ -91,8 +91,13 @@ def odd_sketch(s: np.ndarray, level: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def text_hash() -> Column:
+    """Tells apart the texts that stand under one doc_id."""
+    return F.xxhash64("text").alias("text_hash")
+
+
 def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
-    """doc_id, key (of the shingle set), n_shingles, bands, and the sketches of the set's level and the next, for each row."""
+    """doc_id, text_hash, key (of the shingle set), n_shingles, bands, and the sketches of the set's level and the next, for each row."""
     perms = bands * ROWS // 2
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,9 +123,9 @@ def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
                 buckets.append(h.view(np.int64))
                 fine.append(odd_sketch(s, level_of(len(s))))
                 coarse.append(odd_sketch(s, level_of(len(s)) + 1))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "key": keys, "n_shingles": counts, "bands": buckets, "fine": fine, "coarse": coarse})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "key": keys, "n_shingles": counts, "bands": buckets, "fine": fine, "coarse": coarse})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key binary, n_shingles long, bands array<long>, fine array<long>, coarse array<long>")
+    return docs.select("doc_id", "text", text_hash()).mapInPandas(run, "doc_id long, text_hash long, key binary, n_shingles long, bands array<long>, fine array<long>, coarse array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -165,6 +170,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     ``percent`` is the least share, in hundredths, of the intersection in the
     union of two sets that links them.
     """
+    return grouped(docs, k, percent, miss, rounds).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 2) -> DataFrame:
+    """``near_duplicates`` with each row's text_hash and component_key, a key of its component.
+
+    Where one id stands on several texts, two components may have the same
+    component_id, but not the same key.  Rows that link with nothing for want
+    of shingles or an id have none.
+    """
     every = cut(signatures(docs, k, bands_for(percent / 100, miss)))
     classes = cut(
         every.where("n_shingles > 0 and doc_id is not null").groupBy("key")
@@ -231,10 +246,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     named = known.join(small(least, FEW), F.col("root") == F.col("_r"), "left").select(F.col("key").alias("_key"), F.least("doc", "_least").alias("component"), "root", "_r", "doc")
     # the root itself is not among those above, and may hold the least id
     heads = cut(named.where("_key = root and _r is not null").select(F.col("root").alias("_r2"), F.col("component").alias("_c")))
-    named = cut(named.join(small(heads, FEW), F.col("root") == F.col("_r2"), "left").select("_key", F.coalesce("_c", "doc").alias("component")))
-    out = every.select("doc_id", "key", "n_shingles").join(named, (F.col("key") == F.col("_key")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
+    named = cut(named.join(small(heads, FEW), F.col("root") == F.col("_r2"), "left").select("_key", F.coalesce("_c", "doc").alias("component"), F.col("root").alias("component_key")))
+    out = every.select("doc_id", "text_hash", "key", "n_shingles").join(named, (F.col("key") == F.col("_key")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "component_key", kept)
 
 
 def _pairs(found: DataFrame, *more: str) -> DataFrame:

@@ -68,6 +68,24 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_stage_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda name, n=40, more="": " ".join(f"{name}{i}" for i in range(n)) + more
+    rows = [
+        (1, text("a"), "en"), (1, text("a"), "de"), (1, text("a"), "de"), (2, text("a"), "en"),  # repeated rows of the least id
+        (3, text("b"), "en"), (4, text("b", more=" x"), "en"), (4, text("c"), "en"),  # an id on a copy and on a clean text
+        (5, text("d"), "en"), (5, text("d", more=" y"), "en"), (6, text("d"), "en"),  # two texts of the least id in one group
+        (7, text("e"), "en"), (8, text("e"), "en"), (7, text("f"), "en"), (9, text("f"), "en"),  # two groups of one least id
+        (10, "", "en"), (10, "", "en"), (10, None, "en"), (None, text("a"), "en"), (None, text("a"), "en"),
+    ]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], DOCS)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    have = sorted((x.doc_id or 0, (x.text or "-")[:2]) for x in got)
+    assert have == sorted([(1, "a0"), (3, "b0"), (4, "c0"), (5, "d0"), (7, "e0"), (7, "f0"), (10, "-"), (10, "-"), (0, "a0"), (0, "a0")])
+    assert [x.lang for x in got if x.doc_id == 1] == ["de"]
+
+
 def test_near_dedup_links_a_long_chain(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(10 - k, " ".join(words[: 200 + 12 * k])) for k in range(8)]
