@@ -3,7 +3,9 @@
 Two first-order character models, of random strings and of ordinary words and
 identifiers, are counted by Spark from labelled samples (text, label) and
 compared by log-likelihood ratio on every token of a text that could hold a
-secret.  The models are two tables of fixed size, whatever the sample.
+secret.  The models are two tables of fixed size, whatever the sample.  A token
+that is not random as a whole, or holds a match of a pattern, is searched for its
+best windows; what such a window adds to the patterns' spans is a span too.
 
 Null and empty texts hold nothing.  Offsets are code points, ends exclusive.
 Repeated rows are scanned alike.  Other columns than ``text`` are carried along
@@ -27,11 +29,17 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Tokens that the models judge.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: What a token's parts stand between.
+BREAK = re.compile(r"[+/_=-]")
+WORD = re.compile(r"[A-Za-z]{4,}[A-Za-z0-9_-]*")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET)
 CODE = np.full(128, -1, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(SIZE)
+#: Pairs with a character that no ordinary sample holds; in paths they are no sign of randomness.
+FOREIGN = np.array([a in "+/=" or b in "+/=" for a in ALPHABET for b in ALPHABET])
 #: Mean log-likelihood ratio a character, in bits, from which a token counts as random.
 LEAST_BITS = 1.0
 
@@ -56,16 +64,21 @@ def pair_codes(token: str) -> np.ndarray:
     return c[:-1] * SIZE + c[1:]
 
 
-def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: int = 4000) -> DataFrame:
+def ordinary(text: str) -> str:
+    """The words outside the patterns' matches, alone and joined in pairs as identifiers are, by lines."""
+    for start, _, end in sorted(base_spans(text), reverse=True):
+        text = text[:start] + " " + text[end:]
+    words = WORD.findall(text)
+    out = words + [a + "_" + b for a, b in zip(words[::2], words[1::2], strict=False)]
+    return "\n".join(out + [a.lower() + b.capitalize() for a, b in zip(words[::3], words[1::3], strict=False)])
+
+
+def labelled_samples(docs: DataFrame, random_strings: int = 4000) -> DataFrame:
     """Samples (text, label) for training: 1 random, 0 ordinary.
 
     Random strings are drawn uniformly from the alphabets that keys are written
     in (digests in hexadecimal and base64, upper-case and mixed identifiers).
-    Ordinary ones are the words of at most ``sample_docs`` documents, those of
-    least hash, outside the patterns' matches, alone and joined in pairs as
-    identifiers are.  Both bounds are parameters, and the only sample taken (rows
-    that repeat the last id come along).  Hashes alone are sorted; the texts of
-    the sample stay in the tasks that read them.
+    Ordinary ones are the texts of all documents, of which the words count.
     """
     spark = docs.sparkSession
     d = lambda i: F.sha2(F.concat(F.lit(f"{i}:"), F.col("id").cast("string")), 256)
@@ -74,30 +87,13 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: i
     kinds = [d(1), base64, F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(d(2), d(3)))), "[+/=]", ""), 1, 32)), F.regexp_replace(F.base64(F.unhex(d(4))), "[+/=]", "")]
     text = F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int"))
     random = raw.select(text.alias("text"), F.lit(1).alias("label"))
-    held = docs.where("text is not null").select("text", F.xxhash64("doc_id").alias("rank"))
-    last = held.select("rank").orderBy("rank").limit(sample_docs).agg(F.max("rank")).first()[0]
-    chosen = held.where(F.col("rank") <= F.lit(last)).select("text")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word = re.compile(r"[A-Za-z]{4,}[A-Za-z0-9_-]*")
-        for part in parts:
-            out = []
-            for t in part["text"]:
-                for start, _, end in sorted(base_spans(t), reverse=True):
-                    t = t[:start] + " " + t[end:]
-                words = word.findall(t)
-                out += words
-                out += [a + "_" + b for a, b in zip(words[::2], words[1::2], strict=False)]
-                out += [a.lower() + b.capitalize() for a, b in zip(words[::3], words[1::3], strict=False)]
-            yield pd.DataFrame({"text": pd.Series(out, dtype=object), "label": np.zeros(len(out), np.int32)})
-
-    return random.unionByName(chosen.mapInPandas(run, "text string, label int"))
+    return random.unionByName(docs.where("text is not null").select("text", F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray | None:
     """Log-likelihood ratio in bits of each pair of characters, random over ordinary.
 
-    Pairs are counted where the samples are; at most two tables of
+    Pairs are counted where the samples are, of label 0 in ``ordinary``; at most two tables of
     ``SIZE ** 2`` sums reach the driver.
     """
 
@@ -105,10 +101,12 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray | None:
         sums = np.zeros((2, SIZE * SIZE), np.int64)
         for part in parts:
             for text, label in zip(part["text"], part["label"], strict=True):
+                if text and label == 0:
+                    text = ordinary(text)
                 if text and len(text) > 1 and label in (0, 1) and text.isascii():
                     c = CODE[np.frombuffer(text.encode(), np.uint8)]
                     ok = (c[:-1] >= 0) & (c[1:] >= 0)
-                    np.add.at(sums[int(label)], (c[:-1] * SIZE + c[1:])[ok], 1)
+                    sums[int(label)] += np.bincount((c[:-1] * SIZE + c[1:])[ok], minlength=SIZE * SIZE)
         at = np.nonzero(sums)
         yield pd.DataFrame({"label": at[0], "pair": at[1], "n": sums[at]})
 
@@ -119,20 +117,51 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray | None:
     if not counts.sum(axis=(1, 2)).all():
         return None
     p = (counts + smoothing) / (counts + smoothing).sum(axis=2, keepdims=True)
-    return np.log2(p[1] / p[0]).ravel()
+    return np.where(FOREIGN, 0.0, np.log2(p[1] / p[0]).ravel())
+
+
+def best_windows(token: str, model: np.ndarray, least_bits: float) -> list[tuple[int, int]]:
+    """The windows of ``LEAST`` characters or more whose mean reaches ``least_bits``, the best of all first, then
+    those on either side of it; each reaches out to the ends of the parts that it begins and ends in."""
+    over = np.concatenate([[0.0], np.cumsum(model[pair_codes(token)] - least_bits)])  # of the pairs before a character
+    at = [m.start() for m in BREAK.finditer(token)]
+    first, last = np.array([0, *(x + 1 for x in at)]), np.array([*at, len(token)])
+    out, todo = [], [(0, len(token))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < LEAST:
+            continue
+        begins, ends = over[low : high - LEAST + 1], over[low + LEAST - 1 : high]
+        gain = ends - np.minimum.accumulate(begins)
+        end = int(gain.argmax())
+        if gain[end] < 0:
+            continue
+        start = low + int(begins[: end + 1].argmin())
+        end = low + LEAST + end
+        start = max(low, int(first[np.searchsorted(first, start, "right") - 1]))
+        end = min(high, int(last[np.searchsorted(last, end)]))
+        out.append((start, end))
+        todo += [(low, start), (end, high)]
+    return out
 
 
 def all_spans(text: str, model: np.ndarray | None, least_bits: float = LEAST_BITS) -> list[Span]:
-    """The patterns' spans and those tokens, apart from them, that the models call random."""
+    """The patterns' spans, and what the models call random apart from them."""
     found = base_spans(text)
     if model is not None:
-        taken = [(s, e) for s, _, e in found]
+        taken = sorted((s, e) for s, _, e in found)
         for m in TOKEN.finditer(text):
-            token = m.group()
-            if any(s < m.end() and m.start() < e for s, e in taken):
+            token, at = m.group(), m.start()
+            mine = [(s, e) for s, e in taken if s < m.end() and at < e]
+            if not mine and model[pair_codes(token)].mean() >= least_bits:
+                found.append((at, 3, m.end()))
                 continue
-            if model[pair_codes(token)].mean() >= least_bits:
-                found.append((m.start(), 3, m.end()))
+            for start, end in best_windows(token, model, least_bits):
+                start, end = start + at, end + at
+                for s, e in [*mine, (end, end)]:
+                    if start < min(s, end):
+                        found.append((start, 3, min(s, end)))
+                    start = max(start, e)
     return sorted(found)
 
 

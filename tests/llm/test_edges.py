@@ -46,6 +46,26 @@ def test_random_tokens_stand_out(spark, smoke):
     assert [len(x.spans) for x in secrets.scan(rows, model).collect()] == [1, 0]
 
 
+def test_random_parts_of_tokens(spark, smoke):
+    """A value behind a long name, and the rest of a secret around a run of hexadecimal digits."""
+    model = secrets.train(secrets.labelled_samples(spark.read.parquet(f"{smoke}/documents.parquet")))
+    name, value = "database_connection_credential=", "q7Zx9QpL2vRt7KmW4sYb"
+    assert secrets.all_spans(name + value, model)[-1][2] == len(name + value)
+    behind = "/usr/local/share/application/configuration/" * 4
+    assert secrets.all_spans(behind + value, model) == [(len(behind), 3, len(behind + value))]
+    mixed = "Zx9QpL2vRtKW" + "0123456789abcdef" + "Qm4sYpNxTkWv"
+    assert secrets.all_spans(f"see {mixed} there", model) == [(4, 3, 16), (16, 2, 32), (32, 3, 44)]
+    assert secrets.all_spans(behind, model) == []
+
+
+def test_ordinary_pairs_of_all_documents(spark):
+    """The model follows every document, not those of least hash."""
+    word = "qzjxqzjxqzjxqzjx"
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(word).alias("text"))
+    counted = secrets.labelled_samples(docs).where("label = 0")
+    assert sum(secrets.ordinary(x.text).split("\n").count(word) for x in counted.collect()) == 4000
+
+
 def test_url_filters(spark):
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://A.Example.org/es/x?q"), (4, "http://bad.net/x"), (5, "http://bad.net/y")], "page_id long, url string")
     outcomes = spark.createDataFrame([("http://bad.net/x", 1)] * 40 + [("http://good.net/", 0)] * 400 + [("http://x.net/", None)], "url string, bad int")
