@@ -7,14 +7,17 @@ before it kept; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import mixing, near_dedup, quality_classifier, secrets
-from lattica.llm.common import cut, shared_dir, small, table
+from lattica.llm.common import bounded_batches, cut, remove, shared_dir, small, swept, table, written
 from lattica.llm.queries import encoded
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -80,21 +83,37 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return encoded(docs.select("doc_id", "source", "text")).drop("text")
 
 
+def _bounded(stage: Stage) -> Stage:
+    """A stage whose Python workers get batches of bounded bytes."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("near duplicates", near_dedup_stage),
-    ("secret scans", secret_stage),
-    ("mixing sources", mixing_stage),
-    ("sentencepiece", encoding_stage),
+    ("quality classifier", _bounded(quality_stage)),
+    ("near duplicates", _bounded(near_dedup_stage)),
+    ("secret scans", _bounded(secret_stage)),
+    ("mixing sources", _bounded(mixing_stage)),
+    ("sentencepiece", _bounded(encoding_stage)),
 ]
 #: The classifier, the near-duplicate groups and the encoder cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what the stages before it wrote is removed as soon as the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path, mark = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}", len(written)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        swept(mark, docs)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

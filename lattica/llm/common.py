@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,21 +14,49 @@ SPACE = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Most rows of a table that may be broadcast; all such tables have narrow rows.
 BROADCAST_ROWS = 20_000
+ARROW = "spark.sql.execution.arrow"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, as whole texts stand in them.
+
+    Settings that the session names itself stay.
+    """
+    for key, value in ((f"{ARROW}.maxBytesPerBatch", str(4 << 20)), (f"{ARROW}.maxRecordsPerBatch", "512")):
+        if spark.conf.get(key) in ("10000", str((1 << 31) - 1), str(64 << 20), "64MB", "2147483647b", "67108864b"):
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is named (tests), one of this machine."""
+    """The folder that all executors share; only where none is named and all run on this machine (tests), one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders that ``cut`` has written and nothing has removed, in order.
+written: list[str] = []
+
+
+def swept(since: int, *results: DataFrame) -> None:
+    """Remove what was cut after the first ``since`` tables and is not read by ``results``."""
+    if len(written) == since:
+        return
+    read = {m[0] for df in results for f in df.inputFiles() if (m := re.search(r"cut-[0-9a-f]{32}", f))}
+    for path in [p for p in written[since:] if p[-36:] not in read]:
+        remove(results[0].sparkSession, path)
+        written.remove(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, without its lineage.
 
@@ -37,6 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,3 +87,9 @@ def lower_ascii(c: Column) -> Column:
 def count_words(c: Column) -> Column:
     """Number of runs of characters other than white space; null counts as none."""
     return F.coalesce(F.regexp_count(c, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

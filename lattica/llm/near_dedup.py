@@ -58,6 +58,8 @@ ROWS = 4
 REPRESENTATIVES = 8
 #: Cells of a sketch, and the most shingles (about) that go into one.
 BITS, SAMPLE = 1024, 2048
+#: Shingles of texts compared before that a worker keeps, 8 bytes each.
+MOST_HELD = 1 << 20
 #: Most rows, of a few numbers each, of a list that may be broadcast.
 FEW = 500_000
 
@@ -138,15 +140,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     full = with_text("a").join(with_text("b"), ["a", "b"]).select("a", "a_text", "b", "b_text").sortWithinPartitions("a")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, known = Powers(), {}
+        powers, known, held = Powers(), {}, [0]
 
         def get(key: bytes, text: str) -> np.ndarray | None:
             if (s := known.get(key)) is None:
                 s = shingles(text, k, powers)
                 if set_key(s) != key:  # another text under the same doc_id
                     return None
-                if len(known) >= 128:
+                held[0] += len(s)
+                if held[0] > MOST_HELD:  # at most about so many shingles are kept
                     known.clear()
+                    held[0] = len(s)
                 known[key] = s
             return s
 

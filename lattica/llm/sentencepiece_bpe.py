@@ -31,8 +31,8 @@ import ahocorasick
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PART = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
-#: Parts whose ids a worker keeps at most.
-KEPT = 500_000
+#: Parts whose ids a worker keeps at most, each of ``LONGEST`` characters at most.
+KEPT, LONGEST = 200_000, 32
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -213,10 +213,12 @@ class Model:
         if len(self.fits) > 2 * KEPT:
             self.fits.clear()
         parts = PART.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
-        kept = self.parts
+        kept, long = self.parts, {}
         for p in parts:
-            if p not in kept:
-                kept[p] = self.part_ids(p)
+            if p not in kept and p not in long:
+                (kept if len(p) <= LONGEST else long)[p] = self.part_ids(p)
+        if long:
+            return [i for p in parts for i in (long[p] if p in long else kept[p])]
         return list(chain.from_iterable(map(kept.__getitem__, parts)))
 
     def decode(self, ids: Sequence[int]) -> str:
