@@ -71,11 +71,11 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each time that the mix takes a document, by shard and in the order of the local shuffle.
 
-    The one document of a source that the mix takes in part is in, whole, if the
-    part is at least half of it.
+    Every copy is a whole document, so a source may give more words than its
+    target by less than one document, that which its last words begin.
+    Documents without words are never taken.
     """
-    copies = mixing.emit(mixing.mix(docs.select(*COLUMNS)))
-    return mixing.dealt(copies.where("2 * words >= size")).select(*COLUMNS)
+    return mixing.dealt(mixing.emit(mixing.mix(docs.select(*COLUMNS)))).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,28 +2,33 @@
 
 1. Each source's target is its weight's share of all words, at most ``most``
    times its own words; what that cuts off goes to the others by weight.
-2. Documents stand in a fixed pseudo-random order in their source (a hash of
-   id and text).  A target of q whole passes and a rest takes every document
-   q times and, in a last pass, the first documents of that order until the
-   rest is used up; only the last of them is taken in part, so that the words
-   taken equal the target, rounded down.  The cut is found digit by digit of
-   the hash from word sums of at most 256 buckets a source, never by sorting.
-3. The words taken from each source are cut into blocks of ``block_words``, runs
-   of that order.  A copy goes whole to the block of its first word, so a run of
-   blocks holds its words but for the copies that reach over its two ends.
-   A binary tree splits the exact block quotas among the output shards: each
-   node draws its left child's counts from the multivariate hypergeometric
-   distribution by inverting its probability function.
-4. A source's blocks are permuted by an affine map and dealt to the shards in
-   disjoint ranges of their new numbers; rows are shuffled inside each shard
-   by a hash (``dealt``, ``write``).
+2. Documents stand on a line of words in their source, in a fixed pseudo-random
+   order (a hash of id and text).  The words before each are found digit by
+   digit of the hash, from sums over ranges of it, never by sorting a source.
+   The line is cut into blocks of ``block_words`` words (longer ones where a
+   source would have over ``most_blocks``); a document is whole in the block of
+   its first word.
+3. A source's quota is a number of blocks: all of them for each whole pass that
+   its target holds, and in a last pass, in an order of its own, as many as its
+   rest of words fills by the blocks' exact words.  The last block is taken in
+   part, up to the last word of the target.
+4. A binary tree splits the quotas among the output shards: each node draws its
+   left child's counts from the multivariate hypergeometric distribution by
+   inverting its probability function.
+5. Each pass permutes a source's blocks by an affine map.  The shards draw
+   disjoint ranges of the numbers so given, and what no shard has drawn is not in the
+   mix: shard, place and ``taken`` all come from the draws.  Rows are shuffled
+   inside each shard by a hash (``dealt``, ``write``).
 
 Only built-in functions are used, and all draws come from hashes of ``seed``,
-so that reruns agree.
+so that reruns agree.  Sources are assumed to be few enough for a table with a
+row a source to stand in one task; that is all that such windows hold.
 
 Null and empty texts have size 0 and are never taken; a null source is a source
 of its own, last in order.  A source without words has target 0.  Rows that are
 wholly equal stand at the same place of the order and share what it is given.
+Texts of any length count whole.  Tables without rows give none.  Columns named
+as those that are added are replaced; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -89,7 +94,7 @@ def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> C
         t, m, n, k = g["t"], g["m"], g["d"], e["mode"]
         plus, minus = F.array(m, t - m, n, t - n), F.array(k, m - k, n - k, t - m - n + k, t)
         total_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + _ln_factorial(x))
-        # twelve standard deviations on either side at most
+        # beyond twelve standard deviations on either side lies less than the 2 ** -54 that u keeps from 0 and 1
         var = n * m * (t - m) * (t - n) / (F.greatest(t, F.lit(1.0)) * F.greatest(t, F.lit(1.0)) * F.greatest(t - 1, F.lit(1.0)))
         steps = F.least(e["high"] - e["low"], F.ceil(24 * F.sqrt(var) + 40)).cast("int")
         start = lambda p: F.struct(k.alias("a"), p.alias("pa"), k.alias("b"), p.alias("pb"), (g["u"] - p).alias("u"), F.when(g["u"] <= p, k).alias("k"))
@@ -142,54 +147,86 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return rows.withColumn("first", first)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, shards: int = 16, block_words: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, shards: int = 16, block_words: int = 4096, most_blocks: int = 1 << 16, seed: int = 17) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target, taken and ``copies``.
 
     ``copies`` lists the shares of a document in the mix, a struct of pass,
     words, block, shard and place (the order inside the shard), one for each pass that
     takes it.  ``taken`` is the sum of their words.
     """
+    docs = docs.drop("size", "source_size", "target", "taken", "copies", "_h", "_p", "_before", "_ties", "_block")
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
     docs = docs.withColumn("size", count_words(F.col("text"))).withColumn("_h", h)
     slim = cut(docs.select("source", "_h", "size"))
     by_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    words = F.greatest(F.lit(block_words), F.ceil(F.col("source_size") / most_blocks)).cast("long")
+    by_source = by_source.withColumn("block_words", words).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
     whole = F.floor(F.col("target")).cast("long")
     by_source = by_source.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long"))
     by_source = cut(by_source.withColumn("rest", whole - F.col("passes") * F.col("source_size")))
-    # The words before each document: those of the buckets before its own, and of its bucket's documents before it.
+    docs = _on_lines(docs, slim, by_source)
+    quotas, last = _quotas(_on_lines(slim, slim, by_source), by_source, seed)
+    deal = cut(split_tree(cut(quotas), shards, seed)).where("blocks > 0")
+    deal = deal.groupBy(F.col("source").alias("_s")).agg(F.sort_array(F.collect_list(F.struct("first", "shard", "blocks"))).alias("deal"))
+    given = by_source.join(deal, F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s")
+    given = given.join(last, F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s")
+    given = cut(given.select(F.col("source").alias("_s"), F.struct(*[c for c in given.columns if c != "source"]).alias("_p")))
+    out = docs.join(small(given), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    p = lambda name: F.col(f"_p.{name}")
+    # of the last pass's last block only the first words are taken; equal rows share theirs
+    part = F.floor(F.greatest(p("cut_words") - (F.col("_before") - p("cut_start")), F.lit(0)) / F.col("_ties"))
+    ends = F.when(F.col("_block") == p("cut_block"), F.least(part, F.col("size"))).otherwise(F.col("size"))
+
+    def copy(i: Column) -> Column:
+        number = i * p("blocks") + _permuted(F.col("_block"), p("blocks"), i, seed)
+        drawn = F.filter(p("deal"), lambda d: (d["first"] <= number) & (number < d["first"] + d["blocks"]))
+        n = F.when(i < p("passes"), F.col("size")).otherwise(ends).cast("long")
+        return F.struct(i.alias("pass"), n.alias("words"), F.col("_block").alias("block"), F.get(drawn, F.lit(0))["shard"].alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), i).alias("place"))
+
+    every = F.transform(F.sequence(F.lit(0), p("passes").cast("int")), copy)
+    out = out.withColumn("copies", F.filter(every, lambda x: x["shard"].isNotNull() & (x["words"] > 0)))
+    out = out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
+    kept = [c for c in docs.columns if c not in ("_h", "_before", "_ties", "_block")]
+    return out.select(*kept, p("source_size").alias("source_size"), p("target").alias("target"), "copies", "taken")
+
+
+def _on_lines(docs: DataFrame, slim: DataFrame, by_source: DataFrame) -> DataFrame:
+    """Add to ``docs(source, _h, size)`` the words before each on its source's line, the rows at its place, and its block."""
     bits = max(8, (slim.count() >> 16).bit_length())
     bucket = F.shiftright("_h", 63 - bits)
     sums = slim.groupBy(F.col("source").alias("_s"), bucket.alias("_b")).agg(F.sum("size").alias("_words"))
     run = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    base = cut(sums.select("_s", "_b", F.coalesce(F.sum("_words").over(run), F.lit(0).cast("long")).alias("_base")))
+    base = sums.select("_s", "_b", F.coalesce(F.sum("_words").over(run), F.lit(0).cast("long")).alias("_base"))
+    per = by_source.select(F.col("source").alias("_s2"), F.col("block_words").alias("_length"), F.col("blocks").alias("_most"))
+    base = small(cut(base.join(small(per), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")))
     own = W.partitionBy("source", "_bucket")
-    docs = docs.withColumn("_bucket", bucket).withColumn("_cum", F.sum("size").over(own.orderBy("_h").rangeBetween(W.unboundedPreceding, 0)))
-    docs = docs.withColumn("_ties", F.count("*").over(W.partitionBy("source", "_bucket", "_h")))
-    docs = docs.join(small(base), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s")
-    docs = docs.withColumn("_before", F.col("_base") + F.col("_cum") - F.col("_ties") * F.col("size"))
-    params = by_source.withColumn("blocks", F.ceil(F.floor(F.col("target")) / block_words).cast("long"))
-    deal = cut(split_tree(cut(params.select("source", "blocks")), shards, seed))
-    deal = deal.groupBy(F.col("source").alias("_s")).agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("_deal"))
-    params = cut(params.join(deal, F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s").withColumnRenamed("source", "_s"))
-    out = docs.join(small(params), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    last = F.least(F.floor(F.greatest(F.col("rest") - F.col("_before"), F.lit(0)) / F.col("_ties")), F.col("size")).cast("long")
-    passes = F.transform(F.sequence(F.lit(0), F.col("passes").cast("int")), lambda i: F.struct(i.alias("pass"), F.when(i < F.col("passes"), F.col("size")).otherwise(last).alias("words")))
-
-    def place_of(x: Column) -> Column:
-        # Passes follow one another on the source's line of words; a block is a run of it.
-        block = F.floor((x["pass"] * F.col("source_size") + F.col("_before")) / block_words).cast("long")
-        shard = _let(_permuted(block, F.col("blocks"), seed), lambda moved: F.element_at(F.filter("_deal", lambda d: d["first"] <= moved), -1)["shard"])
-        return F.struct(x["pass"].alias("pass"), x["words"].alias("words"), block.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), x["pass"]).alias("place"))
-
-    out = out.withColumn("copies", F.transform(F.filter(passes, lambda x: x["words"] > 0), place_of))
-    out = out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
-    return out.drop("_h", "_bucket", "_b", "_base", "_cum", "_ties", "_before", "_deal", "passes", "rest", "blocks")
-
-
-def _permuted(block: Column, n: Column, seed: int) -> Column:
-    """An affine permutation of 0 .. n-1: the multiplier is a prime that does not divide n."""
+    out = docs.withColumn("_bucket", bucket).withColumn("_cum", F.sum("size").over(own.orderBy("_h").rangeBetween(W.unboundedPreceding, 0)))
+    out = out.withColumn("_ties", F.count("*").over(W.partitionBy("source", "_bucket", "_h")))
+    out = out.join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    out = out.withColumn("_before", F.col("_base") + F.col("_cum") - F.col("_ties") * F.col("size"))
+    block = F.least(F.floor(F.col("_before") / F.col("_length")).cast("long"), F.col("_most") - 1)
+    return out.select(*docs.columns, "_before", "_ties", block.alias("_block"))
+
+
+def _quotas(line: DataFrame, by_source: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks that each source gives (source, blocks), and the block that it gives in part (_s, cut_block, cut_words, cut_start)."""
+    held = line.where("size > 0").groupBy(F.col("source").alias("_s"), "_block").agg(F.sum("size").alias("_words"), F.min("_before").alias("_start"))
+    held = held.join(small(by_source), F.col("_s").eqNullSafe(F.col("source")))
+    held = held.withColumn("_at", _permuted(F.col("_block"), F.col("blocks"), F.col("passes"), seed))
+    run = W.partitionBy("_s").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # of at most most_blocks rows
+    before = F.coalesce(F.sum("_words").over(run), F.lit(0).cast("long"))
+    drawn = cut(held.withColumn("_sum", before).where(F.col("_sum") < F.col("rest")).withColumn("_left", F.col("rest") - F.col("_sum")))
+    last = drawn.groupBy("_s").agg(F.max_by(F.struct("_block", "_left", "_start", "_at"), "_at").alias("x"))
+    last = cut(last.select("_s", F.col("x._block").alias("cut_block"), F.col("x._left").alias("cut_words"), F.col("x._start").alias("cut_start"), (F.col("x._at") + 1).alias("_n")))
+    quotas = by_source.join(small(last), F.col("_s").eqNullSafe(F.col("source")), "left")
+    quotas = quotas.select("source", (F.col("passes") * F.col("blocks") + F.coalesce("_n", F.lit(0))).cast("long").alias("blocks"))
+    return quotas, last.drop("_n")
+
+
+def _permuted(block: Column, n: Column, pass_: Column, seed: int) -> Column:
+    """An affine permutation of 0 .. n-1 for each pass: the multiplier is a prime that does not divide n."""
     a = F.when(n % 1000003 != 0, 1000003).otherwise(998244353)
-    return F.pmod(block * a + F.pmod(F.xxhash64(F.lit(seed), n), n), n)
+    return F.pmod(block * a + F.pmod(F.xxhash64(F.lit(seed), n, pass_.cast("long")), n), n)
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -139,50 +139,6 @@ def test_mixing(docs, none):
     assert copies.agg(F.sum("words")).first()[0] == sum(x.taken for x in got)
 
 
-def test_mixing_deals_exact_blocks(spark, tmp_path):
-    """Quotas of blocks, disjoint shards, and words of blocks and shards, with documents longer than a block."""
-    sizes = [(i, ("a", "b", None)[i % 3], 900 if i % 40 == 0 else 3 + i % 17) for i in range(600)]
-    longest, block = 900, 100
-    docs = spark.createDataFrame([(i, "w " * n, s) for i, s, n in sizes], "doc_id long, text string, source string")
-    mixed = mixing.mix(docs, shards=5, block_words=block).cache()
-    rows = mixing.emit(mixed).collect()
-    for s in ("a", "b", None):
-        own = [x for x in rows if x.source == s]
-        first = {}
-        for x in own:
-            assert first.setdefault(x.block, x.shard) == x.shard
-        # in order of the line, each block starts within one document of its place
-        before = 0
-        for b, n in sorted((b, sum(x.words for x in own if x.block == b)) for b in first):
-            assert b * block <= before + longest and before < (b + 1) * block
-            before += n
-        quotas = spark.createDataFrame([(s, -(-int(own[0].target) // block))], "source string, blocks long")
-        assert sum(x.words for x in own) == before == int(own[0].target) and max(first) < quotas.first().blocks
-    blocks = [(x.source, -(-int(x.target) // block)) for x in mixed.select("source", "target").distinct().collect()]
-    deal = mixing.split_tree(spark.createDataFrame(blocks, "source string, blocks long"), 5, 17).collect()
-    for s, n in blocks:
-        assert sum(x.blocks for x in deal if x.source == s) == n
-        for shard in range(5):
-            quota = sum(x.blocks for x in deal if (x.source, x.shard) == (s, shard))
-            own = [x for x in rows if (x.source, x.shard) == (s, shard)]
-            assert len({x.block for x in own}) <= quota
-            assert abs(sum(x.words for x in own) - quota * block) <= quota * longest
-    mixing.write(mixing.emit(mixed), str(tmp_path / "mix"))
-    for shard in range(5):
-        places = [x.place for f in sorted((tmp_path / "mix" / f"shard={shard}").glob("*.parquet")) for x in spark.read.parquet(str(f)).select("place").collect()]
-        assert places == sorted(places) and len(places) == sum(x.shard == shard for x in rows)
-
-
-def test_pipeline_writes_shards_in_order(spark, smoke, tmp_path):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{smoke}/documents.parquet")
-    want = mixing.emit(mixing.mix(docs)).where("2 * words >= size").orderBy("shard", "place").select("doc_id").collect()
-    corpus_pipeline.mixing_stage(spark, docs, smoke).write.parquet(str(tmp_path / "out"))
-    got = [x for f in sorted((tmp_path / "out").glob("*.parquet")) for x in spark.read.parquet(str(f)).select("doc_id").collect()]
-    assert got == want
-
-
 def test_nearest(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (8, [0.0, 1.0]), (None, [1.0, 1.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0])]
