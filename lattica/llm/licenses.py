@@ -1,16 +1,22 @@
 """License scans: a positional index of rare licence words.
 
-Templates are indexed by word, with postings (template, position).  For each
-file the licence words in it are ranked by inverse template frequency; the
-rarest are looked up, and each occurrence votes, through its postings, for a
-relative position of a template in the file.  The best supported position of a
-template is then scored by the share of the template's rare words that stand
-where it puts them (within a small slack), and its mandatory key phrases must
-stand word for word inside it.
+Templates are licence notices: the short forms in which a licence is named
+(``FORMS`` by ``NAMES``) and the openings of its full text.  The index holds the
+words that stand in at most a quarter of the templates, with their inverse
+template frequency (IDF) and postings (template, position).
+
+A file's licence words are looked up by falling IDF, ``look_up`` of them for each
+template that their postings name.  Each occurrence votes, with its word's IDF,
+for a relative position of the template in the file; the postings of a template
+intersect where its votes, within a small slack, meet.  A position is scored by
+the IDF of the template's rare words that stand in their places there.  From the
+``least`` share on it is a match if the template's mandatory key phrases stand
+word for word inside it; positions are tried by falling support.
 
 Null and empty texts have no words, no places and score 0.  Repeated rows are
-scanned alike.  Texts are processed whole.  Columns of the input are carried
-along; added columns replace those of the same name.
+scanned alike.  Texts of any length are processed whole.  Columns of the input
+are carried along; added columns replace those of the same name.  Tables without
+rows give none.
 """
 
 from __future__ import annotations
@@ -19,7 +25,8 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +41,29 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Public licence notices, and the phrases that each must hold.
-TEMPLATES = {
+# Licences by their public identifiers, and the names that notices give them.
+NAMES = {
+    "MIT": ("mit license",),
+    "Apache-2.0": ("apache license version 2 0", "apache 2 0 license"),
+    "GPL-2.0": ("gnu general public license version 2", "gnu gpl v2"),
+    "GPL-3.0": ("gnu general public license version 3", "gnu gpl v3"),
+    "LGPL-2.1": ("gnu lesser general public license version 2 1",),
+    "LGPL-3.0": ("gnu lesser general public license version 3",),
+    "AGPL-3.0": ("gnu affero general public license version 3",),
+    "MPL-2.0": ("mozilla public license version 2 0",),
+    "BSD-2-Clause": ("bsd 2 clause license",),
+    "BSD-3-Clause": ("bsd 3 clause license",),
+    "ISC": ("isc license",),
+    "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0 international license"),
+    "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"),
+    "CC-BY-ND-4.0": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"),
+    "CC0-1.0": ("cc0 1 0 universal",),
+}
+# The ways in which a notice names a licence.
+FORMS = ("licensed under the {}", "licensed under {}", "released under the {}", "distributed under the terms of the {}", "available under the {}")
+# Openings of full notices, and the phrases that each must hold.
+NOTICES = {
     "MIT": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
@@ -46,45 +74,50 @@ TEMPLATES = {
         "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing",
         ("apache license", "version 2 0"),
     ),
-    "GPL": (
+    "GPL-3.0": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
         "either version 3 of the license or at your option any later version",
-        ("gnu general public license", "free software foundation"),
+        ("gnu general public license", "free software foundation", "version 3"),
     ),
-    "BSD": (
+    "BSD-2-Clause": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         ("redistribution and use in source and binary forms", "following conditions are met"),
     ),
-    "CC-BY": (
-        "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit creativecommons org licenses by 4 0",
-        ("creative commons attribution",),
-    ),
     "ISC": (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
         "provided that the above copyright notice and this permission notice appear in all copies",
         ("with or without fee is hereby granted",),
     ),
 }
+Template = tuple[str, str, tuple[str, ...]]
+
+
+def templates_of(names: Mapping[str, Sequence[str]] = NAMES, forms: Sequence[str] = FORMS, notices: Mapping[str, tuple[str, Sequence[str]]] = NOTICES) -> list[Template]:
+    """(label, words, key phrases) of every name in every form, whose key phrase is the name, and of every notice."""
+    short = [(label, form.format(name), (name,)) for label, own in names.items() for name in own for form in forms]
+    return short + [(label, text, tuple(keys)) for label, (text, keys) in notices.items()]
 
 
 class Index:
-    """Postings of the templates' words, and the phrases as word lists."""
+    """Postings of the templates' rare words, and the phrases as word lists."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, Sequence[str]]], phrases: Mapping[str, str], look_up: int, slack: int) -> None:
+    def __init__(self, templates: Sequence[Template], phrases: Mapping[str, str], look_up: int, slack: int, least: float) -> None:
         self.phrases = [(p, tuple(p.split()), label) for p, label in phrases.items()]
-        self.first = re.compile("|".join(f"{re.escape(w[0])}" for _, w, _ in self.phrases)) if phrases else None
-        self.postings: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        self.words, self.keys = {}, {}
-        for name, (text, keys) in templates.items():
-            self.words[name] = WORD.findall(text)
-            self.keys[name] = [k.split() for k in keys]
-            for i, w in enumerate(self.words[name]):
-                self.postings[w].append((name, i))
-        held = {w: len({t for t, _ in p}) for w, p in self.postings.items()}
-        self.idf = {w: math.log(1 + len(templates) / n) for w, n in held.items()}
-        self.rare = {name: {w for w in words if held[w] <= max(1, len(templates) // 3)} for name, words in self.words.items()}
-        self.look_up, self.slack = look_up, slack
+        self.look_up, self.slack, self.least = look_up, slack, least
+        self.labels = [label for label, _, _ in templates]
+        self.keys = [[k.split() for k in keys] for _, _, keys in templates]
+        words = [WORD.findall(text) for _, text, _ in templates]
+        self.length = [len(w) for w in words]
+        held = Counter(w for own in words for w in set(own))
+        self.idf = {w: math.log1p(len(templates) / n) for w, n in held.items() if 4 * n <= max(4, len(templates))}
+        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.rare: list[list[tuple[int, str]]] = [[(p, w) for p, w in enumerate(own) if w in self.idf] for own in words]
+        for t, own in enumerate(self.rare):
+            for p, w in own:
+                self.postings[w].append((t, p))
+        self.templates = {w: list(Counter(t for t, _ in own).items()) for w, own in self.postings.items()}
+        self.weight = [sum(self.idf[w] for _, w in own) for own in self.rare]
 
     def places(self, words: list[str], joined: str) -> list[tuple[int, str]]:
         """Starts and labels of the places where a phrase's words follow one another."""
@@ -97,51 +130,70 @@ class Index:
                     out.append((i, label))
         return out
 
-    def templates_in(self, words: list[str], joined: str) -> dict[str, float]:
-        """The templates that the rarest licence words point to and whose key phrases stand, with their scores."""
-        if not any(any(f" {' '.join(k)} " in joined for k in keys) for keys in self.keys.values()):
+    def matches(self, words: list[str]) -> dict[str, tuple[int, float]]:
+        """Best start and score of each label of which a template stands in the file."""
+        idf = self.idf
+        held = idf.keys() & set(words)
+        present: dict[int, float] = defaultdict(float)
+        for w in held:
+            for t, n in self.templates[w]:
+                present[t] += n * idf[w]
+        likely = {t for t, x in present.items() if x >= self.least * self.weight[t] - 1e-9}
+        if not likely:
             return {}
         at: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
-            if w in self.postings:
+            if w in held:
                 at[w].append(i)
-        # the file's rarest licence words, of each template
-        best: dict[str, Counter] = defaultdict(Counter)
-        for name, rare in self.rare.items():
-            for w in sorted((w for w in at if w in rare), key=lambda w: (-self.idf[w], w))[: self.look_up]:
-                for t, p in self.postings[w]:
-                    if t == name:
-                        best[t].update(i - p for i in at[w])
-        out = {}
-        for name, votes in best.items():
-            offset = min(votes, key=lambda o: (-sum(votes[o + d] for d in range(-self.slack, self.slack + 1)), o))
-            rare = [(p, w) for p, w in enumerate(self.words[name]) if w in self.rare[name]]
-            hit = 0
-            for p, w in rare:
-                k = bisect_left(at.get(w, ()), offset + p - self.slack)
-                hit += bool(at.get(w)) and k < len(at[w]) and at[w][k] <= offset + p + self.slack
-            score = hit / len(rare)
-            window = f" {' '.join(words[max(0, offset - self.slack) : offset + len(self.words[name]) + self.slack])} "
-            if score >= 0.5 and all(f" {' '.join(k)} " in window for k in self.keys[name]):
-                out[name] = score
+        seen: Counter = Counter()
+        votes: dict[int, Counter] = defaultdict(Counter)
+        for w in sorted(held, key=lambda w: (-idf[w], w)):
+            for t, own in groupby(self.postings[w], key=lambda x: x[0]):
+                if t in likely and seen[t] < self.look_up:
+                    seen[t] += 1
+                    for _, p in own:
+                        for i in at[w]:
+                            votes[t][i - p] += idf[w]
+        out: dict[str, tuple[int, float]] = {}
+        for t, found in votes.items():
+            near = {o: sum(found[o + d] for d in range(-self.slack, self.slack + 1)) for o in list(found)}
+            best = out.get(self.labels[t], (0, 0.0))[1]
+            for o in sorted(near, key=lambda o: (-near[o], o)):
+                score = self.score(t, o, at)
+                if score >= self.least and score > best and self.verified(t, o, words):
+                    out[self.labels[t]] = (o, score)
+                    break
         return out
 
+    def score(self, t: int, offset: int, at: Mapping[str, list[int]]) -> float:
+        hit = 0.0
+        for p, w in self.rare[t]:
+            own = at.get(w, ())
+            k = bisect_left(own, offset + p - self.slack)
+            if k < len(own) and own[k] <= offset + p + self.slack:
+                hit += self.idf[w]
+        return hit / self.weight[t]
+
+    def verified(self, t: int, offset: int, words: list[str]) -> bool:
+        """Whether the template's key phrases stand word for word where it is put."""
+        window = f" {' '.join(words[max(0, offset - self.slack) : offset + self.length[t] + self.slack])} "
+        return all(f" {' '.join(k)} " in window for k in self.keys[t])
+
 
-def scan(docs: DataFrame, templates: Mapping[str, tuple[str, Sequence[str]]] | None = None, phrases: Mapping[str, str] | None = None, look_up: int = 24, slack: int = 3) -> DataFrame:
-    """``docs`` with n_words, places (start, label), matches (template, score) and score."""
-    index = Index(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, look_up, slack)
+def scan(docs: DataFrame, templates: Sequence[Template] | None = None, phrases: Mapping[str, str] | None = None, look_up: int = 24, slack: int = 3, least: float = 0.6) -> DataFrame:
+    """``docs`` with n_words, places (start, label), matches (template, start, score) and score."""
+    index = Index(templates_of() if templates is None else templates, PHRASES if phrases is None else phrases, look_up, slack, least)
 
     def one(text: str | None) -> tuple[int, list, list, float]:
         words = WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower()) if text else []
         if not words:
             return 0, [], [], 0.0
-        joined = f" {' '.join(words)} "
-        places = index.places(words, joined)
-        matches = sorted(index.templates_in(words, joined).items())
-        return len(words), sorted(places), matches, max([0.5 * bool(places), *(s for _, s in matches)])
+        places = index.places(words, f" {' '.join(words)} ")
+        matches = sorted((label, max(0, o), score) for label, (o, score) in index.matches(words).items())
+        return len(words), sorted(places), matches, min(1.0, max([0.5 * bool(places), *(s for _, _, s in matches)]))
 
     found = F.pandas_udf(
         lambda s: pd.DataFrame([one(t) for t in s], columns=["n_words", "places", "matches", "score"]),
-        "n_words long, places array<struct<start:long,label:string>>, matches array<struct<template:string,score:double>>, score double",
+        "n_words long, places array<struct<start:long,label:string>>, matches array<struct<template:string,start:long,score:double>>, score double",
     )
-    return docs.drop("n_words", "places", "matches", "score").withColumn("_f", found("text")).select("*", "_f.*").drop("_f")
+    return docs.drop("n_words", "places", "matches", "score", "_f").withColumn("_f", found("text")).select("*", "_f.*").drop("_f")

@@ -77,7 +77,7 @@ def test_url_filters(spark):
 
 def test_licenses(docs, none, spark):
     assert licenses.scan(docs.withColumn("score", F.lit(1))).count() == len(ROWS) and licenses.scan(none).count() == 0
-    notice = licenses.TEMPLATES["MIT"][0].upper()
+    notice = licenses.NOTICES["MIT"][0].upper()
     x = licenses.scan(spark.createDataFrame([(f"intro {notice} end",)], "text string")).first()
     assert [m.template for m in x.matches] == ["MIT"] and x.score == 1.0
 
