@@ -4,20 +4,24 @@ Labelled page outcomes (bad or not) are counted for each host, registered
 domain and suffix.  A suffix's rate of bad pages is shrunk towards the rate of
 all pages, a domain's towards its suffix's, a host's towards its domain's, each
 through a beta-binomial prior whose strength is estimated from the counts (by
-moments) at that level.  A host is blocked if even the lower bound of its
-posterior rate is above ``block_above``.  Only built-in functions are used.
+moments) at that level.  A host is blocked if its posterior, a beta distribution,
+puts its rate above a limit with at least the probability ``sure``; that is, if
+even the lower bound of its rate is above the limit, which is the rate of
+all pages unless named.  Only built-in functions are used; the beta distribution
+function is a continued fraction.
 
 The registered domain is a host's last two labels and the suffix its last one,
 unless ``suffixes`` names longer suffixes.  A null url, or one without ``://``,
 has an empty host and path, fits no rule and is judged by the empty host's
-outcomes.  Null outcomes are not counted.  Repeated rows are judged alike, and
+outcomes.  Urls of any length are read whole.  Null outcomes are not counted.  Repeated rows are judged alike, and
 each counts as an outcome.  A host without outcomes has its domain's rate, and
-so on; without any outcomes at all every page is allowed.
+so on; without any outcomes at all every page is allowed.  Tables without rows
+give none.  Columns named as those that are added are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,18 +79,62 @@ def _strength(counts: DataFrame, prior: str, low: float = 2.0, high: float = 100
     return high if rho <= 1 / (high + 1) else max(low, 1 / rho - 1)
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = (), z: float = 1.6449) -> DataFrame:
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which stands in the expression and is evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _ln_gamma(x: Column) -> Column:
+    """Stirling's series at x + 7, then down again."""
+    y = x + 7
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return series - F.log(x * (x + 1) * (x + 2) * (x + 3)) - F.log((x + 4) * (x + 5) * (x + 6))
+
+
+def beta_above(limit: Column, a: Column, b: Column) -> Column:
+    """Probability that a Beta(a, b) variable exceeds ``limit``, strictly between 0 and 1; a and b positive.
+
+    Lentz's continued fraction on the side where it converges, within some
+    multiple of the root of the larger parameter.
+    """
+    upper = limit < (a + 1) / (a + b + 2)  # the fraction gives the part below the limit
+    given = F.struct(F.when(upper, a).otherwise(b).alias("a"), F.when(upper, b).otherwise(a).alias("b"), F.when(upper, limit).otherwise(1 - limit).alias("x"), upper.alias("upper"))
+
+    def fraction(g: Column) -> Column:
+        a, b, x = g["a"], g["b"], g["x"]
+        first = 1 / (1 - (a + b) * x / (a + 1))
+        begin = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+        def half(acc: Column, term: Column) -> Column:
+            return _let(F.struct(acc["h"].alias("h"), (1 + term / acc["c"]).alias("c"), (1 / (1 + term * acc["d"])).alias("d")), lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (n["h"] * n["c"] * n["d"]).alias("h")))
+
+        def step(acc: Column, m: Column) -> Column:
+            even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+            return half(half(acc, even), odd)
+
+        terms = F.sequence(F.lit(1), (F.ceil(4 * F.sqrt(F.greatest(a, b))) + 40).cast("int"))
+        h = F.aggregate(F.transform(terms, lambda m: m.cast("double")), begin, step, lambda acc: acc["h"])
+        part = F.exp(a * F.log(x) + b * F.log(1 - x) + _ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b)) * h / a
+        return F.when(g["upper"], 1 - part).otherwise(part)
+
+    return _let(given, fraction)
+
+
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = (), limit: float | None = None) -> DataFrame:
     """One row for each host of ``pages(host)`` or ``outcomes(host, bad)``.
 
-    Columns: host, n, bad, rate (posterior mean) and low (its lower bound, from
-    the posterior's mean and standard deviation on the log-odds scale).
+    Columns: host, n, bad, rate (posterior mean) and above (the posterior
+    probability that the rate exceeds ``limit``, by default that of all pages).
     """
     both = outcomes.where("bad is not null").select("host", F.lit(1).alias("n"), F.col("bad").cast("long").alias("bad"))
     seen = pages.select("host", F.lit(0).alias("n"), F.lit(0).cast("long").alias("bad"))
     domain, suffix = _levels(F.col("host"), suffixes)
     hosts = cut(both.unionByName(seen).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", domain).withColumn("suffix", suffix))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    every = (float(total.bad) + 0.5) / (float(total.n) + 1) if total.n else 0.0
+    if not total.n:
+        return hosts.select("host", "n", "bad", F.lit(0.0).alias("rate"), F.lit(0.0).alias("above"))
+    every = (float(total.bad) + 0.5) / (float(total.n) + 1)
     by_suffix = cut(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("up", F.lit(every)))
     k = _strength(by_suffix, "up")
     by_suffix = by_suffix.withColumn("suffix_rate", (F.col("bad") + k * F.col("up")) / (F.col("n") + k)).select("suffix", "suffix_rate")
@@ -96,23 +144,20 @@ def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] =
     hosts = cut(hosts.join(small(cut(by_domain)), "domain"))
     k = _strength(hosts, "domain_rate")
     a, b = F.col("bad") + k * F.col("domain_rate"), F.col("n") - F.col("bad") + k * (1 - F.col("domain_rate"))
-    rate = a / (a + b)
-    # standard deviation of the log-odds of Beta(a, b), to second order
-    sd = F.sqrt(1 / F.greatest(a, F.lit(1e-9)) + 1 / F.greatest(b, F.lit(1e-9)))
-    odds = F.log(F.greatest(a, F.lit(1e-9)) / F.greatest(b, F.lit(1e-9)))
-    low = F.when(F.lit(every) > 0, 1 / (1 + F.exp(-(odds - z * sd)))).otherwise(0.0)
-    return hosts.select("host", "n", "bad", rate.alias("rate"), low.alias("low"))
+    above = beta_above(F.lit(every if limit is None else float(limit)), F.col("_a"), F.col("_b"))
+    return hosts.select("host", "n", "bad", a.alias("_a"), b.alias("_b")).select("host", "n", "bad", (F.col("_a") / (F.col("_a") + F.col("_b"))).alias("rate"), above.alias("above"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], block_above: float = 0.3, suffixes: Sequence[str] = ()) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and the host's n, bad, rate and low.
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], sure: float = 0.95, suffixes: Sequence[str] = (), limit: float | None = None) -> DataFrame:
+    """``pages`` with host, path, rule, verdict and the host's n, bad, rate and above.
 
     ``outcomes`` holds (url, bad).  A fitting rule decides; the host's
     reputation decides for the others.
     """
+    pages = pages.drop("host", "path", "rule", "verdict", "n", "bad", "rate", "above", "_host")
     pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     outcomes = outcomes.select(host_of(F.col("url")).alias("host"), "bad")
-    known = small(cut(reputation(pages, outcomes, suffixes).withColumnRenamed("host", "_host")))
+    known = small(cut(reputation(pages, outcomes, suffixes, limit).withColumnRenamed("host", "_host")))
     rule, says = rule_columns(rules, F.col("host"), F.col("path"))
     out = pages.join(known, F.col("host") == F.col("_host"), "left").drop("_host")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(says, F.when(F.col("low") > block_above, "block").otherwise("allow")))
+    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(says, F.when(F.col("above") >= sure, "block").otherwise("allow")))
