@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import ann, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_bpe, url_filters, warc
-from .common import shared_dir, table
+from .common import cut, remove, shared_dir, table
 
 # The rules of op3.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -58,7 +58,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read(spark, path, payloads=False))
+    captures = warc.assemble(cut(warc.read(spark, path, payloads=False)))
+    remove(spark, path)  # its records are read
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)", 1).try_cast("long")
     noted = F.col("metadata.fields")
     return captures.select(
