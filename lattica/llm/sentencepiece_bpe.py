@@ -9,10 +9,11 @@ is tried twice with the same outcome.
 
 Pieces never span a space mark that follows another character, so texts are cut
 there (and at line ends and unknown characters) and the parts' ids are kept by
-part; each Python worker keeps a bounded number of them.  Runs of several space
-marks, whose pieces have equal scores, are merged directly.
+part; each Python worker keeps a bounded number of them.
 
-Null and empty texts have no ids and decode to the empty text.  U+2581 counts as
+Null and empty texts have no ids and decode to the empty text.  Texts of any
+length are encoded whole, repeated rows alike; a table without rows gives none.
+Models with user-defined or unused pieces are refused.  U+2581 counts as
 a space, as in the library.  Unknown characters become byte pieces, or, in
 models without them, the unknown piece.
 """
@@ -20,7 +21,6 @@ models without them, the unknown piece.
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 import struct
 from collections.abc import Iterator, Sequence
@@ -91,6 +91,8 @@ class Model:
                     raise ValueError("models with a character map are not supported")
         if kind_of_model != 2 or strip:
             raise ValueError("only BPE models that keep white space are supported")
+        if USER in self.kinds or UNUSED in self.kinds:
+            raise ValueError("models with user-defined or unused pieces are not supported")
         self.prefix = bool(prefix)
         self.id = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
@@ -176,35 +178,10 @@ class Model:
         for known, run in runs:
             if not known:
                 out += [self.byte[b] for b in run.encode()] if self.byte else [self.unknown]
-            elif MARK * 2 in run:
-                out += self.merged(run) if len(run) <= 64 else self._long_run(run)
             else:
                 out += self.backtrack(run)
         return tuple(out)
 
-    def _long_run(self, run: str) -> list[int]:
-        """Many space marks: the same merges, but all of one score in a sweep."""
-        parts, nxt, prv = list(run), list(range(1, len(run) + 1)), list(range(-1, len(run) - 1))
-        heap: list[tuple[float, int, str]] = []
-
-        def push(k: int) -> None:
-            if k >= 0 and nxt[k] < len(parts) and (i := self.id.get(s := parts[k] + parts[nxt[k]])) is not None:
-                heapq.heappush(heap, (-self.scores[i], k, s))
-
-        for k in range(len(parts) - 1):
-            push(k)
-        while heap:
-            _, k, s = heapq.heappop(heap)
-            if not parts[k] or nxt[k] >= len(parts) or parts[k] + parts[nxt[k]] != s:
-                continue
-            j = nxt[k]
-            parts[k], parts[j], nxt[k] = s, "", nxt[j]
-            if nxt[k] < len(parts):
-                prv[nxt[k]] = k
-            push(k)
-            push(prv[k])
-        return [self.id[p] for p in parts if p]
-
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
