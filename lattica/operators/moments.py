@@ -1,9 +1,9 @@
 """Moments of states and values over time: means, products, covariance, correlation.
 
-Pairs are not made by a self-join.  :func:`node_pairs` gathers the nodes of one
-step in a row (as many as the panel has nodes, whatever the data's size) and
-expands the pairs i < j from there, so that sums over steps are combined before
-they are shuffled.
+Pairs are not made by a self-join.  Sums over steps are products of blocks of
+steps (see :mod:`lattica.operators.blocked`).  Where each step's pairs are asked
+for themselves, :func:`node_pairs` gathers the nodes of one step in a row (as
+many as the panel has nodes) and expands the pairs i < j from there.
 """
 
 from __future__ import annotations
@@ -13,6 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocked import observable_sums, pair_sums
+
+#: Observables are numbered i * STRIDE + j.
+STRIDE = 1 << 32
+
 
 def node_pairs(panel: DataFrame, value: str, keys: Sequence[str] = ("subject",), step: str = "step", diagonal: bool = False) -> DataFrame:
     """Rows (keys, step, i, j, x, y) of the pairs i < j (or i <= j) of nodes in each step."""
@@ -37,17 +42,14 @@ def state_mean(panel: DataFrame, keys: Sequence[str] = ("subject",), value: str
 
 def product_mean(panel: DataFrame, keys: Sequence[str] = ("subject",), value: str = "state") -> DataFrame:
     """Mean of x * y over the steps, for each pair i < j."""
-    return node_pairs(panel, value, keys).groupBy(*keys, "i", "j").agg(ratio(F.sum(F.col("x") * F.col("y")), F.count("*")).alias("product"))
+    return pair_sums(panel, value, keys).select(*keys, "i", "j", ratio(F.col("sxy"), F.col("n")).alias("product"))
 
 
 def pair_moments(panel: DataFrame, value: str = "state", keys: Sequence[str] = ("subject",)) -> DataFrame:
     """n, mean_i, mean_j, product, cov (1/n) and the two standard deviations (1/n) of each pair."""
-    x, y = F.col("x"), F.col("y")
-    sums = node_pairs(panel, value, keys).groupBy(*keys, "i", "j").agg(
-        F.count("*").alias("n"), F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(x * y).alias("_xy"), F.sum(x * x).alias("_xx"), F.sum(y * y).alias("_yy")
-    )
+    sums = pair_sums(panel, value, keys).withColumnsRenamed({"sx": "_x", "sy": "_y", "sxy": "_xy", "sxx": "_xx", "syy": "_yy"}).withColumn("n", F.col("n").cast("long"))
     mean = lambda c: ratio(F.col(c), F.col("n"))
-    # over integers n * sum(xy) - sum(x) * sum(y) is exact
+    # over whole numbers n * sum(xy) - sum(x) * sum(y) is exact
     cross = lambda a, b, ab: F.col("n") * F.col(ab) - F.col(a) * F.col(b)
     square = F.col("n") * F.col("n")
     return sums.select(
@@ -100,28 +102,30 @@ def binary_connectivity(panel: DataFrame, keys: Sequence[str] = ("subject",)) ->
 
 
 def observables(panel: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
-    """Every state and every product of two states, as rows (keys, step, node, value).
+    """Every state and every product of two states, as rows (keys, step, node, state).
 
-    ``node`` is i * 1000 + j for a product and i * 1000 + i for a single state.
+    ``node`` is i * STRIDE + j for a product and i * STRIDE + i for a single state.
     """
     both = node_pairs(panel, "state", keys, diagonal=True)
     value = F.when(F.col("i") == F.col("j"), F.col("x")).otherwise(F.col("x") * F.col("y"))
-    return both.select(*keys, "step", (F.col("i") * 1000 + F.col("j")).alias("node"), value.alias("state"))
+    return both.select(*keys, "step", (F.col("i") * F.lit(STRIDE) + F.col("j")).alias("node"), value.alias("state"))
 
 
 def fisher_information(panel: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
-    """Covariance (1/n) of all observables, a <= b.  Its size is that of the nodes to the fourth power; for few nodes."""
-    both = node_pairs(observables(panel, keys), "state", keys, diagonal=True)
-    sums = both.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"), F.sum("x").alias("_x"), F.sum("y").alias("_y"), F.sum(F.col("x") * F.col("y")).alias("_xy"))
-    cov = ratio(F.col("n") * F.col("_xy") - F.col("_x") * F.col("_y"), F.col("n") * F.col("n"))
+    """Covariance (1/n) of all observables, a <= b.  Its size is that of the nodes to the fourth power; it is made in tiles."""
+    sums = observable_sums(panel, keys, lambda i, j: i * STRIDE + j)
+    cov = ratio(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("n"))
     return sums.select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), cov.alias("information"))
 
 
 def fisher_diagonal(panel: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
     """Variance (1/n) of each observable: the diagonal, at the cost of the nodes squared."""
-    sums = observables(panel, keys).groupBy(*keys, "node").agg(F.count("*").alias("n"), F.sum("state").alias("_x"), F.sum(F.col("state") * F.col("state")).alias("_xx"))
-    var = ratio(F.col("n") * F.col("_xx") - F.col("_x") * F.col("_x"), F.col("n") * F.col("n"))
-    return sums.select(*keys, F.col("node").alias("a"), var.alias("information"))
+    sums = pair_sums(panel, "state", keys, diagonal=True)
+    # a product of states is a state squared on the diagonal; both have squares of 1 for states of -1 and 1
+    own = F.col("i") == F.col("j")
+    first = F.when(own, F.col("sx")).otherwise(F.col("sxy"))
+    var = ratio(F.col("n") * F.col("n") - first * first, F.col("n") * F.col("n"))
+    return sums.select(*keys, (F.col("i") * F.lit(STRIDE) + F.col("j")).alias("a"), var.alias("information"))
 
 
 def degree(edges: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:

@@ -44,14 +44,28 @@ def sweep(s: np.ndarray, h: np.ndarray, w: np.ndarray, beta: float, rng: np.rand
             s[i] = -s[i]
 
 
-def _simulate(h: np.ndarray, w: np.ndarray, beta: float, n_steps: int, rng: np.random.Generator, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def advance(s: np.ndarray, h: np.ndarray, w: np.ndarray, beta: float, rng: np.random.Generator, schedule: str = "sweep") -> None:
+    """One step in place: a sweep, all nodes at once (``synchronous``), or one node drawn at random (``random_node``)."""
+    if schedule == "sweep":
+        sweep(s, h, w, beta, rng)
+    elif schedule == "synchronous":
+        s[np.log(rng.random(len(s))) < -2 * beta * s * (h + w @ s)] *= -1
+    elif schedule == "random_node":
+        i = int(rng.integers(len(s)))
+        if np.log(rng.random()) < -2 * beta * s[i] * (h[i] + w[i] @ s):
+            s[i] = -s[i]
+    else:
+        raise ValueError(schedule)
+
+
+def _simulate(h: np.ndarray, w: np.ndarray, beta: float, n_steps: int, rng: np.random.Generator, s: np.ndarray | None = None, schedule: str = "sweep") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sums of states, of products and of flips over the sweeps, and the last state."""
     n = len(h)
     s = rng.choice([-1.0, 1.0], n) if s is None else s
     one, two, flips = np.zeros(n), np.zeros((n, n)), np.zeros(n)
     for _ in range(n_steps):
         before = s.copy()
-        sweep(s, h, w, beta, rng)
+        advance(s, h, w, beta, rng, schedule)
         one += s
         two += np.outer(s, s)
         flips += before != s
@@ -93,26 +107,44 @@ def simulated_series(models: DataFrame, n_steps: int, seed: int = 1) -> DataFram
     return _each(models, kernel, "subject string, beta double, node long, step long, state int")
 
 
-def fit_by_simulation(models: DataFrame, targets: DataFrame, n_updates: int, steps_per_update: int, rate: float, seed: int = 1) -> DataFrame:
-    """Boltzmann learning: after each short simulation h and w move towards the targets by ``rate`` times the difference.
+def moved(want: np.ndarray, got: np.ndarray, rule: str) -> np.ndarray:
+    """The direction of an update: the difference, its cube root (``power``), its cube, or the log of the ratio with its sign."""
+    d = want - got
+    if rule == "linear":
+        return d
+    if rule == "power":
+        return np.cbrt(d)
+    if rule == "cubic":
+        return d**3
+    if rule == "log":
+        with np.errstate(all="ignore"):
+            ratio = np.abs(np.log(np.abs(want / got)))
+        return np.sign(d) * np.where(np.isfinite(ratio), ratio, 0.0)
+    raise ValueError(rule)
+
+
+def fit_by_simulation(models: DataFrame, targets: DataFrame, n_updates: int, steps_per_update: int, rate: float | None = None, seed: int = 1, rule: str = "linear", with_fields: bool = True, schedule: str = "sweep") -> DataFrame:
+    """Boltzmann learning: after each short simulation h and w move towards the targets by ``rate`` times what ``rule`` makes of the difference.
 
     ``targets(model, m, p)`` holds each model's mean states and full matrix of
-    mean products as arrays.  Starting from a fitted group model, this is the
-    individual fit; from a saved one, the resumed fit.
+    mean products as arrays.  Without ``rate`` each model has its own, in a column of
+    that name.  Without fields h stays 0.  Starting from a fitted group model,
+    this is the individual fit; from a saved one, the resumed fit.
     """
 
     def kernel(m: pd.Series) -> pd.DataFrame:
-        h, n = np.array(m["h"], float), len(m["h"])
+        h, n = np.array(m["h"], float) * with_fields, len(m["h"])
         w, rng = np.array(m["w"], float).reshape(n, n), _rng(seed, m["model"], m["beta"])
         want1, want2, s = np.asarray(m["m"], float), np.asarray(m["p"], float).reshape(n, n), None
+        own = float(m["rate"]) if rate is None else rate
         for _ in range(n_updates):
-            one, two, _, s = _simulate(h, w, m["beta"], steps_per_update, rng, s)
-            h += rate * (want1 - one / steps_per_update)
-            w += rate * (want2 - two / steps_per_update)
+            one, two, _, s = _simulate(h, w, m["beta"], steps_per_update, rng, s, schedule)
+            h += own * with_fields * moved(want1, one / steps_per_update, rule)
+            w += own * moved(want2, two / steps_per_update, rule)
             np.fill_diagonal(w, 0.0)
         return pd.DataFrame({"model": [m["model"]], "beta": [m["beta"]], "h": [h], "w": [w.ravel()]})
 
-    return _each(models.join(targets, "model"), kernel, "model string, beta double, h array<double>, w array<double>")
+    return _each(models.join(targets.select("model", "m", "p"), "model"), kernel, MODEL)
 
 
 def best_beta(models: DataFrame, targets: DataFrame, error: Callable[[DataFrame, DataFrame], DataFrame], n_rounds: int, n_betas: int, n_steps: int, low: float = 1e-9, high: float = 1.0, seed: int = 1) -> list[tuple[float, float]]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .moments import correlation, node_pairs, ratio
+from .moments import correlation, functional_connectivity, ratio
 
 SERIES = ("subject", "node")
 
@@ -118,11 +118,11 @@ def sliding(panel: DataFrame, length: int, every: int, n_steps: int) -> DataFram
 
 def window_similarity(panel: DataFrame, length: int, every: int, n_steps: int, value: str = "value") -> DataFrame:
     """Correlation between the connectivity patterns of two sliding windows (a < b) of a subject."""
-    rows = node_pairs(sliding(panel, length, every, n_steps), value, ("subject", "window"))
-    fc = rows.groupBy("subject", "window", "i", "j").agg(correlation(F.col("x"), F.col("y")).alias("fc"))
+    fc = functional_connectivity(sliding(panel, length, every, n_steps), value, ("subject", "window"))
+    # windows are the nodes, pairs the steps, of a second panel
     same_pair = fc.select("subject", F.concat_ws("-", "i", "j").alias("step"), F.col("window").alias("node"), "fc").where("fc is not null")
-    both = node_pairs(same_pair, "fc")
-    return both.groupBy("subject", F.col("i").alias("window_a"), F.col("j").alias("window_b")).agg(correlation(F.col("x"), F.col("y")).alias("similarity"))
+    both = functional_connectivity(same_pair, "fc")
+    return both.select("subject", F.col("i").alias("window_a"), F.col("j").alias("window_b"), F.col("fc").alias("similarity"))
 
 
 def expanding(panel: DataFrame, every: int, keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:

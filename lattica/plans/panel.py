@@ -246,7 +246,7 @@ def moments4(spark, sf_dir):
 
 
 @query(with_("states", then="""
-, o AS (SELECT a.subject, a.step, a.node * 1000 + b.node AS a, CASE WHEN a.node = b.node THEN a.state ELSE a.state * b.state END AS v
+, o AS (SELECT a.subject, a.step, a.node * 4294967296 + b.node AS a, CASE WHEN a.node = b.node THEN a.state ELSE a.state * b.state END AS v
         FROM states a JOIN states b ON a.subject = b.subject AND a.step = b.step AND a.node <= b.node)
 SELECT subject, a, round(CAST(count(*) * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (count(*) * count(*)), 6) AS information FROM o GROUP BY ALL"""))
 def fisher_diagonal(spark, sf_dir):
@@ -254,7 +254,7 @@ def fisher_diagonal(spark, sf_dir):
 
 
 @query(with_("states", then="""
-, o AS (SELECT a.subject, a.step, a.node * 1000 + b.node AS k, CASE WHEN a.node = b.node THEN a.state ELSE a.state * b.state END AS v
+, o AS (SELECT a.subject, a.step, a.node * 4294967296 + b.node AS k, CASE WHEN a.node = b.node THEN a.state ELSE a.state * b.state END AS v
         FROM states a JOIN states b ON a.subject = b.subject AND a.step = b.step AND a.node <= b.node)
 SELECT a.subject, a.k AS a, b.k AS b, round(CAST(count(*) * sum(a.v * b.v) - sum(a.v) * sum(b.v) AS DOUBLE) / (count(*) * count(*)), 6) AS information
 FROM o a JOIN o b ON a.subject = b.subject AND a.step = b.step AND a.k <= b.k GROUP BY ALL"""))
@@ -578,7 +578,7 @@ def mann_whitney(spark, sf_dir):
 k AS (SELECT subject, d, rank() OVER (PARTITION BY subject ORDER BY abs(d)) + (count(*) OVER (PARTITION BY subject, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
 SELECT subject, count(*) AS n, coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS w_plus, coalesce(sum(CASE WHEN d < 0 THEN r END), 0) AS w_minus FROM k GROUP BY ALL"""))
 def wilcoxon(spark, sf_dir):
-    pairs = M.node_pairs(event_panel(spark, sf_dir), "value").where("i = 0 and j = 1")
+    pairs = M.node_pairs(event_panel(spark, sf_dir).where("node in (0, 1)"), "value")
     return S.wilcoxon(pairs, ["subject"], "x", "y")
 
 
