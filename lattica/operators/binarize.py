@@ -7,7 +7,7 @@ one shuffle on them at most.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -180,3 +180,46 @@ def entropy_weight(panel: DataFrame, epsilon: float = 1e-10) -> DataFrame:
 def log_shifted(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """``logged``: log10(value + 1 - least value of the key)."""
     return with_stats(rows, keys, _lo=F.min(value)).withColumn("logged", F.log10(F.col(value) + 1 - F.col("_lo"))).drop("_lo")
+
+
+def by_mode(panel: DataFrame, mode: str | float, fill: int, value: str = "value", keys: Sequence[str] = ("subject", "node")) -> DataFrame:
+    """States by ``median`` (the lower one), a fixed number, or ``none`` (the sign); values at the threshold get ``fill``."""
+    if mode == "median":
+        at = panel.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("_t"))
+        panel = panel.join(at, [*keys])
+    else:
+        panel = panel.withColumn("_t", F.lit(0.0 if mode == "none" else float(mode)))
+    state = F.when(F.col(value) > F.col("_t"), 1).when(F.col(value) < F.col("_t"), -1).otherwise(fill)
+    return panel.withColumn("state", state).drop("_t")
+
+
+def over_thresholds(panel: DataFrame, scores: Sequence[float], value: str = "value", keys: Sequence[str] = ("subject", "node")) -> DataFrame:
+    """The panel at each threshold of a short list: ``state`` is 1 from mean + threshold * sd on."""
+    v = F.col(value).cast("double")
+    stats = panel.groupBy(*keys).agg(F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s"))
+    rows = panel.join(stats, [*keys]).withColumn("threshold", F.explode(F.array(*[F.lit(float(z)) for z in scores])))
+    return rows.withColumn("state", F.when(v >= F.col("_m") + F.col("threshold") * F.col("_s"), 1).otherwise(-1)).drop("_m", "_s")
+
+
+def relabelled(rows: DataFrame, column: str, names: Mapping[str, str]) -> DataFrame:
+    """Labels of a short list replaced, the others kept."""
+    return rows.replace(dict(names), subset=[column])
+
+
+def augmented(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features with the products of each two of them and ``one``, the intercept's column."""
+    two = {f"{a}_{b}": F.col(a) * F.col(b) for k, a in enumerate(features) for b in features[k + 1 :]}
+    return rows.withColumns(two | {"one": F.lit(1.0)})
+
+
+def views(rows: DataFrame, keys: Sequence[str], param: str, beta: float, feature: str) -> DataFrame:
+    """``size`` and ``scaled`` of a parameter, and ``shifted``, log10 of the feature moved so that its least is 1."""
+    least = rows.groupBy(*keys).agg(F.min(feature).alias("_l"))
+    out = rows.join(least, [*keys])
+    return out.withColumns({"size": F.abs(param), "scaled": F.col(param) * beta, "shifted": F.log10(F.col(feature) + 1 - F.col("_l"))}).drop("_l")
+
+
+def accepted(rows: DataFrame, goodness: DataFrame, keys: Sequence[str], measure: str, below: float) -> DataFrame:
+    """Rows of the keys whose measure is below a bound; null and not-a-number are not."""
+    good = goodness.where(F.col(measure).isNotNull() & ~F.isnan(measure) & (F.col(measure) < below)).select(*keys)
+    return rows.join(good, [*keys], "left_semi")

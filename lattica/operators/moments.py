@@ -8,7 +8,7 @@ many as the panel has nodes) and expands the pairs i < j from there.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,3 +150,36 @@ def graph_loss(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight:
     error = F.avg(F.pow(F.col("x").cast("double") - F.col("y").cast("double"), 2))
     a, b = nodes.groupBy(*keys).agg(error.alias("node_loss")), edges.groupBy(*keys).agg(error.alias("edge_loss"))
     return a.join(b, list(keys)).withColumn("loss", (1 - weight) * F.col("node_loss") + weight * F.col("edge_loss"))
+
+
+def group_moments(panel: DataFrame, subject: str = "subject") -> DataFrame:
+    """Mean states (i = j) and products (i < j), averaged over subjects: rows i, j, value."""
+    sums = pair_sums(panel, "state", (subject,), diagonal=True)
+    own = ratio(F.when(F.col("i") == F.col("j"), F.col("sx")).otherwise(F.col("sxy")), F.col("n"))
+    return sums.withColumn("_v", own).groupBy("i", "j").agg(F.avg("_v").alias("value"))
+
+
+def fisher_fields(panel: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
+    """The Fisher information's block of the fields alone: rows i <= j of the states' covariance (1/n)."""
+    sums = pair_sums(panel, "state", keys, diagonal=True)
+    cov = ratio(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("n"))
+    return sums.select(*keys, "i", "j", cov.alias("information"))
+
+
+def in_sets(rows: DataFrame, category: Column, sets: Mapping[int, Sequence[str]], name: str) -> DataFrame:
+    """A row for each set that a row's category stands in; ``sets`` is a short list in the plan."""
+    names = None
+    for k, own in sets.items():
+        one = F.array(*[F.lit(x) for x in own])
+        names = F.when(category == k, one) if names is None else names.when(category == k, one)
+    return rows.withColumn(name, F.explode(names))
+
+
+def mean_arrays(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the mean of each array column, position by position."""
+    out = None
+    for c in columns:
+        each = rows.select(F.posexplode(c).alias("_i", "_x")).groupBy("_i").agg(F.avg("_x").alias("_x"))
+        one = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias(c)).withColumn("_g", F.lit(0))
+        out = one if out is None else out.join(one, "_g")
+    return out.drop("_g")

@@ -147,23 +147,6 @@ def fit_by_simulation(models: DataFrame, targets: DataFrame, n_updates: int, ste
     return _each(models.join(targets.select("model", "m", "p"), "model"), kernel, MODEL)
 
 
-def best_beta(models: DataFrame, targets: DataFrame, error: Callable[[DataFrame, DataFrame], DataFrame], n_rounds: int, n_betas: int, n_steps: int, low: float = 1e-9, high: float = 1.0, seed: int = 1) -> list[tuple[float, float]]:
-    """Refine a grid of inverse temperatures: the best mean error of each round, and the interval round it for the next.
-
-    ``error(simulated, targets)`` gives rows (model, beta, error).  Only one
-    number for each grid point comes to the driver.
-    """
-    found = []
-    for k in range(n_rounds):
-        grid = np.linspace(low, high, n_betas)
-        scored = error(simulated_means(over_betas(models, list(grid)), n_steps, seed + k), targets)
-        errors = {r.beta: r.e for r in scored.where("not isnan(error)").groupBy("beta").agg(F.avg("error").alias("e")).collect()}
-        at = min(range(n_betas), key=lambda i: (errors.get(grid[i], np.inf), i))
-        found.append((float(grid[at]), float(errors.get(grid[at], np.nan))))
-        low, high = float(grid[max(0, at - 1)]), float(grid[min(n_betas - 1, at + 1)])
-    return found
-
-
 # --- one series in a group
 
 
@@ -187,33 +170,6 @@ def power_spectrum(panel: DataFrame, resolution: float = 1.0, value: str = "valu
     return _per_series(panel, kernel, "frequency double, power double", value)
 
 
-def phase_surrogate(panel: DataFrame, seed: int = 1, value: str = "value") -> DataFrame:
-    """A series of the same spectrum with random phases, drawn once for a subject's nodes together."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot(index="step", columns="node", values=value).sort_index()
-        f = np.fft.rfft(wide.to_numpy(float), axis=0)
-        phase = np.exp(2j * np.pi * _rng(seed, group["subject"].iloc[0]).random(len(f)))
-        phase[0] = 1
-        if len(wide) % 2 == 0:
-            phase[-1] = 1
-        x = np.fft.irfft(f * phase[:, None], len(wide), axis=0)
-        return pd.DataFrame({"subject": group["subject"].iloc[0], "node": np.tile(wide.columns, len(wide)), "step": np.repeat(wide.index, wide.shape[1]), "value": x.ravel()})
-
-    return panel.select("subject", "node", "step", value).groupBy("subject").applyInPandas(run, "subject string, node long, step long, value double")
-
-
-def band_pass(panel: DataFrame, low: float, high: float, resolution: float = 1.0, value: str = "value") -> DataFrame:
-    """Zero-phase band-pass: frequencies outside [low, high] are taken out of the Fourier transform."""
-
-    def kernel(x: np.ndarray) -> pd.DataFrame:
-        f, at = np.fft.rfft(x), np.fft.rfftfreq(len(x), resolution)
-        f[(at < low) | (at > high)] = 0
-        return pd.DataFrame({"step": np.arange(len(x)), "value": np.fft.irfft(f, len(x))})
-
-    return _per_series(panel, kernel, "step long, value double", value)
-
-
 # --- one small matrix in a group
 
 

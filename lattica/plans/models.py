@@ -11,9 +11,10 @@ from ..operators import binarize as B
 from ..operators import models as P
 from ..operators import moments as M
 from ..operators import sampling as K
+from ..operators import spectra as X
 from ..operators import statistics as S
 from ..operators import temporal as T
-from ..sources.tables import embedding_features, event_panel, table
+from ..sources.tables import event_panel, table
 from .panel import QUERIES, SQL, query, r, states_of, with_
 
 #: Nodes of the small exact model.
@@ -170,18 +171,6 @@ def fit_boltzmann(spark, sf_dir):
     return K.fit_by_simulation(assembled(spark, sf_dir), targets_of(states_of(spark, sf_dir)), 40, 20, 0.05)
 
 
-@query()
-def optimize_beta(spark, sf_dir):
-    """The inverse temperature whose simulated products are nearest to the data's, by refinement."""
-    states = states_of(spark, sf_dir)
-    products = M.product_mean(states).select(F.col("subject").alias("model"), "i", "j", F.col("product").alias("target"))
-
-    def error(simulated, targets):
-        return P.moment_error(simulated.where("i < j"), targets, ["model", "beta"]).withColumnRenamed("rmse", "error")
-
-    found = K.best_beta(assembled(spark, sf_dir), products, error, 2, 7, 60)
-    return spark.createDataFrame([(k, b, e) for k, (b, e) in enumerate(found)], "round int, beta double, error double")
-
 
 @query()
 def power_spectrum(spark, sf_dir):
@@ -190,13 +179,9 @@ def power_spectrum(spark, sf_dir):
 
 @query()
 def phase_surrogate(spark, sf_dir):
-    return K.phase_surrogate(event_panel(spark, sf_dir))
+    return X.phase_surrogate(event_panel(spark, sf_dir))
 
 
-@query()
-def band_pass(spark, sf_dir):
-    return K.band_pass(event_panel(spark, sf_dir), 0.1, 1.0, 0.25)
-
 
 @query()
 def precision_matrix(spark, sf_dir):
@@ -212,15 +197,6 @@ def eigenvectors(spark, sf_dir):
     return K.eigen(B.mirrored(M.product_mean(states_of(spark, sf_dir)), ["subject"], "product", 1.0), "product")
 
 
-@query()
-def principal_components(spark, sf_dir):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    out = PCA(k=4, inputCol="v", outputCol="p").fit(rows).transform(rows)
-    return out.select("vec_id", vector_to_array("p").alias("components"))
-
 
 @query()
 def clusters(spark, sf_dir):
@@ -231,4 +207,4 @@ def clusters(spark, sf_dir):
     return KMeans(k=10, seed=1, featuresCol="v").fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-__all__ = ["QUERIES", "SQL", "embedding_features"]
+__all__ = ["QUERIES", "SQL"]

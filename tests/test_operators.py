@@ -13,6 +13,7 @@ from lattica.operators import models as P
 from lattica.operators import moments as M
 from lattica.operators import relate as R
 from lattica.operators import sampling as K
+from lattica.operators import spectra as X
 from lattica.operators import statistics as S
 from lattica.operators import temporal as T
 
@@ -116,7 +117,7 @@ def test_pseudolikelihood_rests_at_the_truth(spark, exact4):
 def test_surrogate_keeps_the_spectrum(spark):
     panel = series(spark, [3, 1, 4, 1, 5, 9, 2, 6])
     a = {x.frequency: x.power for x in K.power_spectrum(panel).collect()}
-    b = {x.frequency: x.power for x in K.power_spectrum(K.phase_surrogate(panel)).collect()}
+    b = {x.frequency: x.power for x in K.power_spectrum(X.phase_surrogate(panel)).collect()}
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
