@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .moments import correlation, ratio
+from .relate import permuted
 
 
 # --- correlations of features with parameters
@@ -37,31 +38,6 @@ def offsets(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFr
     return rows.join(means, [*by]).withColumns({v: F.col(v) - F.col(f"_m_{v}") for v in values}).drop(*[f"_m_{v}" for v in values])
 
 
-def shuffled(keys: DataFrame, key: str, n: int, tag: str = "", buckets: int = 64) -> DataFrame:
-    """Rows (perm, key, partner): random permutations of the keys, the same in every run.
-
-    Keys are ranked by a digest; ranks are counted by ranges of it, so that no
-    task sorts a whole permutation.
-    """
-    ids = keys.select(key).distinct()
-    many = ids.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    digest = F.md5(F.concat(F.lit(tag), F.col(key).cast("string"), F.lit("-"), F.col("perm").cast("string")).cast("binary"))
-    place = F.md5(F.col(key).cast("string").cast("binary"))  # the order that the permutations are of
-    ranked = lambda c, name: _ranked(many.select("perm", key, c.alias("_o")), "perm", "_o", key, buckets).select("perm", F.col(key).alias(name), "rank")
-    return ranked(place, key).join(ranked(digest, "partner"), ["perm", "rank"]).drop("rank")
-
-
-def _ranked(rows: DataFrame, group: str, digest: str, tie: str, buckets: int) -> DataFrame:
-    """Rank in each group by a uniform hexadecimal digest: rows of lower buckets, and a window inside the bucket."""
-    bucket = F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("long")
-    rows = rows.withColumn("_b", bucket)
-    counts = rows.groupBy(group, "_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(group, "_b", before.alias("_before"))  # at most ``buckets`` rows a group
-    inside = F.row_number().over(W.partitionBy(group, "_b").orderBy(digest, tie))
-    return rows.withColumn("_i", inside).join(counts, [group, "_b"]).withColumn("rank", (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
-
-
 def permuted_correlations(rows: DataFrame, subject: str, node: str, by: Sequence[str], x: str, y: str, n: int, shuffle: str = "subjects") -> DataFrame:
     """Correlations (by, perm, corr) with x moved to other ``subjects``, other ``nodes``, or ``both``.
 
@@ -69,10 +45,10 @@ def permuted_correlations(rows: DataFrame, subject: str, node: str, by: Sequence
     """
     left = rows.select(subject, node, *[b for b in by if b not in (subject, node)], F.col(x).alias("_x"))
     if shuffle in ("subjects", "both"):
-        moved = shuffled(rows, subject, n, "s")
+        moved = permuted(rows, subject, n, tag="s")
         left = left.join(moved, subject).drop(subject).withColumnRenamed("partner", subject)
     if shuffle in ("nodes", "both"):
-        moved = shuffled(rows, node, n, "n")
+        moved = permuted(rows, node, n, tag="n")
         left = left.join(moved, [node, "perm"] if "perm" in left.columns else [node]).drop(node).withColumnRenamed("partner", node)
     on = list(dict.fromkeys([subject, node, *by]))
     both = left.join(rows.select(*on, F.col(y).alias("_y")), on)
@@ -143,7 +119,7 @@ def fit_quality(rows: DataFrame, keys: Sequence[str], y: str, prediction: str =
 def split_fits(rows: DataFrame, key: str, by: Sequence[str], xs: Sequence[str], y: str, n_splits: int, train_share: float = 0.5, null: bool = False) -> DataFrame:
     """Fit and test on random splits of ``key``; with ``null`` the features are first moved to other keys, the splits' null."""
     if null:
-        moved = shuffled(rows, key, n_splits, "null").withColumnRenamed("perm", "split")
+        moved = permuted(rows, key, n_splits, "split", "null")
         left = rows.select(key, *by, *xs).join(moved, key).drop(key).withColumnRenamed("partner", key)
         rows = left.join(rows.select(key, *by, y), [key, *by])
     ids = rows.select(key).distinct().withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))))

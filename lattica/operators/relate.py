@@ -60,17 +60,32 @@ def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def permuted(ids: DataFrame, key: str, n_permutations: int, name: str = "perm") -> DataFrame:
+def ranked_by_digest(rows: DataFrame, group: str, digest: str, tie: str, buckets: int = 64) -> DataFrame:
+    """Add ``rank`` (from 1) in each group by a hexadecimal digest, ties by ``tie``.
+
+    Digests are uniform, so rows are counted by ranges of them, and a window
+    ranks inside a range: no task sorts a whole group.
+    """
+    bucket = F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("long")
+    rows = rows.withColumn("_b", bucket)
+    counts = rows.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(group, "_b", before.alias("_before"))  # at most ``buckets`` rows a group
+    inside = F.row_number().over(W.partitionBy(group, "_b").orderBy(digest, tie))
+    return rows.withColumn("_i", inside).join(counts, [group, "_b"]).withColumn("rank", (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
+
+
+def permuted(ids: DataFrame, key: str, n_permutations: int, name: str = "perm", tag: str = "") -> DataFrame:
     """Rows (perm, key, partner): in each permutation every key gets the key at its rank of a digest order.
 
-    The order is that of md5(key-perm), the same in every engine and run.
+    Keys stand in the order of md5(key), and are drawn in that of md5(tag key-perm): the
+    same in every engine and run.
     """
     many = ids.select(key).distinct().withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_permutations - 1).cast("long"))))
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), F.col(name).cast("string")).cast("binary"))
-    place = F.row_number().over(W.partitionBy(name).orderBy(key))
-    drawn = F.row_number().over(W.partitionBy(name).orderBy(digest, key))
-    rows = many.withColumn("_p", place).withColumn("_d", drawn)
-    return rows.select(name, key, "_p").join(rows.select(name, F.col(key).alias("partner"), F.col("_d").alias("_p")), [name, "_p"]).drop("_p")
+    digest = F.md5(F.concat(F.lit(tag), F.col(key).cast("string"), F.lit("-"), F.col(name).cast("string")).cast("binary"))
+    place = F.md5(F.col(key).cast("string").cast("binary"))
+    ranked = lambda c, out: ranked_by_digest(many.select(name, key, c.alias("_o")), name, "_o", key).select(name, F.col(key).alias(out), "rank")
+    return ranked(place, key).join(ranked(digest, "partner"), [name, "rank"]).drop("rank")
 
 
 def endpoints(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .moments import correlation, ratio
-from .relate import permuted
+from .relate import permuted, ranked_by_digest
 
 
 def quantile_summary(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
@@ -37,16 +37,28 @@ def replica_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFra
     return rows.groupBy(*keys).agg(F.min(value).alias("least"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("median"), F.max(value).alias("greatest"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
 
-def average_rank(keys: Sequence[str], order: Column) -> Column:
-    """Ranks from 1 on; equal values share the mean of theirs."""
-    first = F.rank().over(W.partitionBy(*keys).orderBy(order))
-    ties = F.count("*").over(W.partitionBy(*keys, order))
-    return first + (ties - 1) / 2
+def with_ranks(rows: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 256) -> DataFrame:
+    """Add the ranks of a number from 1 on; equal values share the mean of theirs.
+
+    Distinct values are counted first, and the counts added up by ranges of
+    values and inside each, so that no task holds a whole key.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    share = (F.col(value) - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
+    counts = counts.join(ends, list(keys)).withColumn("_b", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)))
+    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_r"))
+    lower = F.coalesce(F.sum("_r").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*keys, "_b", lower.alias("_lower"))  # at most ``buckets`` rows a key
+    inside = F.coalesce(F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumn("_inside", inside).join(ranges, [*keys, "_b"])
+    rank = F.col("_lower") + F.col("_inside") + (F.col("_n") + 1) / 2
+    return rows.join(ranked.select(*keys, value, rank.alias(name)), [*keys, value])
 
 
 def mann_whitney(rows: DataFrame, keys: Sequence[str], value: str, group: str) -> DataFrame:
     """U of the rows where ``group`` is 1 against those where it is 0, and its normal score z (no tie correction)."""
-    r = rows.withColumn("_r", average_rank(keys, F.col(value)))
+    r = with_ranks(rows, keys, value, "_r")
     one = F.col(group) == 1
     out = r.groupBy(*keys).agg(F.count_if(one).alias("n1"), F.count_if(~one).alias("n0"), F.sum(F.when(one, F.col("_r"))).alias("_s"))
     u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -58,7 +70,7 @@ def mann_whitney(rows: DataFrame, keys: Sequence[str], value: str, group: str) -
 def wilcoxon(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Signed-rank sums of x - y; equal pairs are left out."""
     d = rows.withColumn("_d", F.col(x) - F.col(y)).where("_d != 0").withColumn("_a", F.abs("_d"))
-    d = d.withColumn("_r", average_rank(keys, F.col("_a")))
+    d = with_ranks(d, keys, "_a", "_r")
     sums = lambda c: F.coalesce(F.sum(F.when(c, F.col("_r"))), F.lit(0.0))
     return d.groupBy(*keys).agg(F.count("*").alias("n"), sums(F.col("_d") > 0).alias("w_plus"), sums(F.col("_d") < 0).alias("w_minus"))
 
@@ -73,7 +85,7 @@ def kolmogorov_smirnov(rows: DataFrame, keys: Sequence[str], value: str, group:
 
 
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    r = rows.withColumn("_x", average_rank(keys, F.col(x))).withColumn("_y", average_rank(keys, F.col(y)))
+    r = with_ranks(with_ranks(rows, keys, x, "_x"), keys, y, "_y")
     return r.groupBy(*keys).agg(correlation(F.col("_x"), F.col("_y")).alias("rho"))
 
 
@@ -125,8 +137,9 @@ def train_test(rows: DataFrame, key: str, by: Sequence[str], x: str, y: str, n_s
     """Random splits of ``key``: a line fitted on the training part, and corr, rmse and r2 of its predictions on the rest."""
     ids = rows.select(key).distinct().withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))))
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), F.col("split").cast("string")).cast("binary"))
-    place = F.row_number().over(W.partitionBy("split").orderBy(digest, key))
-    ids = ids.withColumn("_train", place <= F.floor(F.count("*").over(W.partitionBy("split")) * train_share))
+    sizes = ids.groupBy("split").agg(F.count("*").alias("_n"))
+    ids = ranked_by_digest(ids.withColumn("_o", digest), "split", "_o", key).join(sizes, "split")
+    ids = ids.select(key, "split", (F.col("rank") <= F.floor(F.col("_n") * train_share)).alias("_train"))
     parts = rows.join(ids, key)
     fit = parts.where("_train").groupBy("split", *by).agg(*line_fit(F.col(x), F.col(y)))
     tested = parts.where(~F.col("_train")).join(fit, ["split", *by]).withColumn("_p", F.col("slope") * F.col(x) + F.col("intercept"))

@@ -182,9 +182,10 @@ def invalid_counts(spark, sf_dir):
     return B.invalid(table(spark, sf_dir, "events"), ["event_type"], "value", 100.0)
 
 
-@query(with_("line", then="SELECT subject, node, min(value) AS constant, count(*) AS n FROM line GROUP BY ALL HAVING min(value) = max(value)"))
+@query(with_("line", then="SELECT subject, node, min(value) AS constant, count(*) AS n FROM line WHERE step >= 82 GROUP BY ALL HAVING min(value) = max(value)"))
 def constant_series(spark, sf_dir):
-    return B.constant_series(line_panel(spark, sf_dir))
+    """Series of the last two months that stay as they are."""
+    return B.constant_series(line_panel(spark, sf_dir).where("step >= 82"))
 
 
 @query(with_("states", then="""
@@ -534,7 +535,7 @@ def topk_corr(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT s_suppkey, p.range AS perm, row_number() OVER (PARTITION BY p.range ORDER BY s_suppkey) AS place,
+WITH k AS (SELECT s_suppkey, p.range AS perm, row_number() OVER (PARTITION BY p.range ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey) AS place,
 row_number() OVER (PARTITION BY p.range ORDER BY md5(concat(s_suppkey, '-', p.range)), s_suppkey) AS drawn FROM supplier CROSS JOIN range(3) p)
 SELECT a.perm, a.s_suppkey, b.s_suppkey AS partner FROM k a JOIN k b ON a.perm = b.perm AND a.place = b.drawn""")
 def permuted_ids(spark, sf_dir):
@@ -602,7 +603,7 @@ def spearman(spark, sf_dir):
 
 @query(with_("emb", then="""
 , y AS (SELECT vec_id, CAST(label AS DOUBLE) AS y FROM embeddings), ids AS (SELECT DISTINCT vec_id FROM emb),
-k AS (SELECT vec_id, p.range AS perm, row_number() OVER (PARTITION BY p.range ORDER BY vec_id) AS place, row_number() OVER (PARTITION BY p.range ORDER BY md5(concat(vec_id, '-', p.range)), vec_id) AS drawn FROM ids CROSS JOIN range(20) p),
+k AS (SELECT vec_id, p.range AS perm, row_number() OVER (PARTITION BY p.range ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS place, row_number() OVER (PARTITION BY p.range ORDER BY md5(concat(vec_id, '-', p.range)), vec_id) AS drawn FROM ids CROSS JOIN range(200) p),
 m AS (SELECT a.perm, a.vec_id, b.vec_id AS partner FROM k a JOIN k b ON a.perm = b.perm AND a.place = b.drawn),
 o AS (SELECT feature, covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0) AS c FROM emb JOIN y USING (vec_id) GROUP BY ALL),
 n AS (SELECT feature, perm, covar_pop(value, y.y) / nullif(stddev_pop(value) * stddev_pop(y.y), 0) AS c FROM emb e JOIN m USING (vec_id) JOIN y ON y.vec_id = m.partner GROUP BY ALL)
@@ -611,7 +612,7 @@ round(least(CAST(count_if(abs(n.c) >= abs(o.c)) AS DOUBLE) / count(*) * 64, 1.0)
 def perm_test(spark, sf_dir):
     features = embedding_features(spark, sf_dir).select("vec_id", "feature", F.col("value").alias("x"))
     params = features.select("vec_id", "feature").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("y")), "vec_id")
-    return S.permutation_test(features, params, "vec_id", ["feature"], 20, 64).select("feature", r("corr", 5), r("p", 5), r("critical", 5), r("p_corrected", 5))
+    return S.permutation_test(features, params, "vec_id", ["feature"], 200, 64).select("feature", r("corr", 5), r("p", 5), r("critical", 5), r("p_corrected", 5))
 
 
 @query("""

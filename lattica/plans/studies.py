@@ -13,6 +13,7 @@ from ..operators import cluster as C
 from ..operators import fitting as Fit
 from ..operators import inference as I
 from ..operators import moments as M
+from ..operators import relate as R
 from ..operators import sampling as K
 from ..operators import spectra as X
 from ..operators import temporal as T
@@ -48,7 +49,7 @@ SELECT place, o_orderkey AS order_id, o_custkey AS id FROM orders JOIN l ON l.id
 def reindexed(spark, sf_dir):
     """Orders of the customers of a list, by their place in it."""
     ids = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("id"), F.lit(0).cast("long").alias("perm"))
-    listed = I._ranked(ids.withColumn("_o", F.md5(F.col("id").cast("string").cast("binary"))), "perm", "_o", "id", 64)
+    listed = R.ranked_by_digest(ids.withColumn("_o", F.md5(F.col("id").cast("string").cast("binary"))), "perm", "_o", "id")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("id"))
     return orders.join(listed.select("id", (F.col("rank") - 1).alias("place")), "id").select("place", "order_id", "id")
 

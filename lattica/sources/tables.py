@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def densify(rows: DataFrame, n_nodes: int, n_steps: int, fill: int | float = 0) -> DataFrame:
     """``rows(subject, node, step, value)``, one a cell, completed to the full grid.
 
-    The grid is generated from the distinct subjects by sequences; rows outside
-    it are dropped, missing cells hold ``fill``.
+    The grid is generated from the distinct subjects by sequences; missing cells
+    hold ``fill``.  A row outside the grid is an error.
     """
+    inside = F.col("node").between(0, n_nodes - 1) & F.col("step").between(0, n_steps - 1)
+    rows = rows.withColumn("step", F.when(inside, F.col("step")).otherwise(F.raise_error(F.concat(F.lit("outside the grid: node "), F.coalesce(F.col("node").cast("string"), F.lit("null")), F.lit(", step "), F.coalesce(F.col("step").cast("string"), F.lit("null")))).cast("long")))
     kind = rows.schema["value"].dataType
     subjects = rows.select("subject").distinct()
     grid = subjects.select("subject", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_nodes - 1).cast("long"))).alias("node"))

@@ -10,6 +10,7 @@ from lattica.operators import blocked
 from lattica.operators import cluster as C
 from lattica.operators import inference as I
 from lattica.operators import moments as M
+from lattica.operators import relate as R
 from lattica.operators import sampling as K
 from lattica.operators import spectra as X
 
@@ -71,12 +72,12 @@ def test_splits_and_moved_features(spark):
 
 def test_permutations_move_every_key_once(spark):
     ids = spark.range(500).withColumnRenamed("id", "k")
-    rows = I.shuffled(ids, "k", 3, "t").collect()
+    rows = R.permuted(ids, "k", 3).collect()
     for p in range(3):
         own = [r for r in rows if r.perm == p]
         assert sorted(r.k for r in own) == sorted(r.partner for r in own) == list(range(500))
         assert sum(r.k == r.partner for r in own) < 20
-    assert sorted(rows) == sorted(I.shuffled(ids.repartition(7), "k", 3, "t").collect())
+    assert sorted(rows) == sorted(R.permuted(ids.repartition(7), "k", 3).collect())
 
 
 def test_group_coefficients(spark):
