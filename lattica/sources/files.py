@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -83,3 +83,78 @@ def write_tiles(square: DataFrame, path: str, side: int) -> None:
     """A square matrix as one folder a tile, so that a reader of a block prunes the rest."""
     at: list[Column] = [F.col("tile_i"), F.col("tile_j")]
     tiles(square, side).repartition(*at).write.mode("overwrite").partitionBy("tile_i", "tile_j").parquet(path)
+
+
+def read_short_series(spark: SparkSession, path: str, n_nodes: int, pattern: str = "*.bin") -> DataFrame:
+    """Series files stored node by node, of any number of steps: rows (path, node, step, value).
+
+    A file is read by one task; a size that is no multiple of ``n_nodes`` is an error.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                x = np.frombuffer(content, "<f8").reshape(n_nodes, -1)
+                for at in range(0, x.shape[1], 4096):
+                    block = x[:, at : at + 4096]
+                    yield pd.DataFrame({"path": path, "node": np.repeat(np.arange(n_nodes), block.shape[1]), "step": np.tile(np.arange(at, at + block.shape[1]), n_nodes), "value": block.ravel()})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, node long, step long, value double")
+
+
+def stacked_stats(series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each file its nodes' means and standard deviations (1/n), and its pairs' mean products (i < j)."""
+    from ..operators.moments import product_mean
+
+    v = F.col("value")
+    nodes = series.groupBy("path", "node").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    return nodes, product_mean(series, ("path",), "value")
+
+
+def pending(grid: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The grid's settings that no finished row has: what a run that was broken off has still to do."""
+    return grid.join(finished.select(*keys).distinct(), [*keys], "left_anti")
+
+
+def run_grid(grid: DataFrame, path: str, keys: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Results of ``run`` for each setting of a grid, one setting a task group, appended under ``path``.
+
+    Settings that stand there already are not run again.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = grid.sparkSession
+    try:
+        todo = pending(grid, spark.read.parquet(path), keys)
+    except AnalysisException:  # nothing is there yet
+        todo = grid
+    todo.groupBy(*keys).applyInPandas(run, schema).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def merged(group: DataFrame, individuals: DataFrame) -> DataFrame:
+    """Group and individual rows in one table, told apart by ``kind``."""
+    return group.withColumn("kind", F.lit("group")).unionByName(individuals.withColumn("kind", F.lit("individual")), allowMissingColumns=True)
+
+
+def zero_models(spark: SparkSession, n_models: int, n_nodes: int) -> DataFrame:
+    """Models without fields and couplings, to be filled: rows model, beta, h, w."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return spark.range(n_models).select(F.col("id").cast("string").alias("model"), F.lit(1.0).alias("beta"), zeros(n_nodes).alias("h"), zeros(n_nodes * n_nodes).alias("w"))
+
+
+def training_set(series: DataFrame, graphs: DataFrame, features: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """One row a subject and scan: its series by node, its graph and its features, of the subjects that have all three.
+
+    Each is gathered into one array a subject (series by node and step, graph
+    by i and j, features by node), as large as one scan.  Nothing is read
+    before rows are asked for; ``split`` (a list of ids) is a semi-join in front.
+    """
+    gather = lambda df, keys, fields, name: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    if split is not None:
+        series = series.join(split.select(F.col("id").alias("subject")), "subject", "left_semi")
+    x = gather(series, ["subject", "scan"], ["node", "step", "value"], "series")
+    g = gather(graphs, ["subject"], ["i", "j", "w"], "graph")
+    names = [c for c in features.columns if c not in ("subject", "node")]
+    return x.join(g, "subject").join(gather(features, ["subject"], ["node", *names], "features"), "subject")
