@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before it kept; all but the last return the columns of ``documents``.
+before it kept; all but the last return the columns of ``documents``, in their
+order, whatever other columns come in.  Empty tables stay empty.  Null and empty
+texts are scored by the trained prior, link with nothing, hold no secret and are
+never taken into a mix.  Texts of any length are handled whole.  Repeated rows are
+scored and cleaned alike; near-duplicate removal keeps one of them.  Ties (equal
+scores, equal texts) are decided by doc_id and a hash of the text, so that reruns agree.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ Training reads at most ``most_rows`` labelled documents, those of least hash
 most ``buckets`` numbers a document, and one task trains.  A score then is a
 sum over one number a bucket, which is all that reaches the driver.
 
-Scores read ``text`` alone.  Null and empty texts score the trained prior (an
+Scores read ``text`` alone, whole, whatever its length.  Null and empty texts score the trained prior (an
 average of nothing).  Null labels are not used; of several labels of a document
 the least holds.  Repeated rows score alike.  With no labels, or of one class
 only, every score is the share of good labels, or 0.5.

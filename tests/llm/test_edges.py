@@ -157,3 +157,26 @@ def test_classifier(docs, none, spark):
     assert quality_classifier.score(none, model).count() == 0
     alone = quality_classifier.train(docs, labels.limit(0))
     assert {x.score for x in quality_classifier.score(docs, alone).collect()} == {0.5}
+
+
+def test_classifier_with_repeated_labels_and_clashing_columns(spark):
+    rows = [(i, "good plain words here" if i % 2 else "bad ||| #### junk") for i in range(40)] + [(100, "word " * 30_000), (100, "word " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_y", "_id", "quality", "score", "held_out"):
+        docs = docs.withColumn(name, F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(1, 0), (3, None)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.score(docs, model).collect()
+    assert len(got) == 42 and len({x.score for x in got if x.doc_id == 100}) == 1
+    assert min(x.score for x in got if x.doc_id < 100 and x.doc_id % 2) > max(x.score for x in got if x.doc_id < 100 and x.doc_id % 2 == 0)
+    # of two labels the least holds, and rows come in any order
+    again = quality_classifier.train(docs.repartition(5), labels.repartition(3))
+    assert abs(again.bias - model.bias) < 1e-9 and (abs(again.weight - model.weight) < 1e-5).all()
+
+
+def test_near_dedup_reads_two_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words stand in this text here")], "doc_id long, text string")
+    for name in ("key", "bands", "h", "component_id", "root", "kept", "text_hash", "m"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
