@@ -1,8 +1,12 @@
-"""Column helpers: pair counts, coordinates and the error function."""
+"""Column helpers and functions for SQL: pair counts, coordinates, grids, the error and zeta functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +46,46 @@ def two_sided_p(z: Column) -> Column:
     for c in reversed(a):
         poly = (poly + c) * t
     return poly * F.exp(-x * x)
+
+
+def linear_grid(low: float, high: float, n: int) -> Column:
+    """Array of n evenly spaced numbers, both ends included."""
+    step = (high - low) / (n - 1) if n > 1 else 0.0
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * step)
+
+
+def log_grid(low: float, high: float, n: int) -> Column:
+    """Array of n numbers evenly spaced by their logarithms, both ends included."""
+    return F.transform(linear_grid(math.log(low), math.log(high), n), F.exp)
+
+
+def zeta(exponent: Column, first: Column, terms: int = 64) -> Column:
+    """Hurwitz's zeta function, the sum of (first + k) ** -exponent, for exponents above 1."""
+    ks = F.sequence(F.lit(0), F.lit(terms - 1))
+    head = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.pow(first + k, -exponent))
+    end = first.cast("double") + terms
+    return head + F.pow(end, 1 - exponent) / (exponent - 1) + F.pow(end, -exponent) / 2 + exponent * F.pow(end, -exponent - 1) / 12
+
+
+class _Triu:
+    """Rows (i, j) of the pairs i < j of n nodes, row by row."""
+
+    def eval(self, n: int):
+        if n is not None:
+            for i in range(n):
+                for j in range(i + 1, n):
+                    yield i, j
+
+
+def register(spark: SparkSession) -> None:
+    """Make the table function ``triu(n)`` and the scalar function ``hurwitz_zeta(exponent, first)`` known to SQL."""
+    spark.udtf.register("triu", F.udtf(_Triu, returnType="i long, j long"))
+
+    def hurwitz(exponent: pd.Series, first: pd.Series) -> pd.Series:
+        a, q, n = exponent.to_numpy(float), first.to_numpy(float), 64
+        head = ((q[:, None] + np.arange(n)) ** -a[:, None]).sum(axis=1)
+        end = q + n
+        return pd.Series(head + end ** (1 - a) / (a - 1) + end**-a / 2 + a * end ** (-a - 1) / 12)
+
+    hurwitz.__annotations__ = {"exponent": pd.Series, "first": pd.Series, "return": pd.Series}
+    spark.udf.register("hurwitz_zeta", F.pandas_udf(hurwitz, "double"))

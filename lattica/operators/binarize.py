@@ -110,10 +110,15 @@ def fitted_scaler(train: DataFrame, keys: Sequence[str], value: str = "value") -
     return train.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
 
-def apply_scaler(rows: DataFrame, scaler: DataFrame, keys: Sequence[str], value: str = "value", inverse: bool = False) -> DataFrame:
-    """``scaled``: the z-score by a fitted scaler, or with ``inverse`` the value of a z-score."""
+def apply_scaler(rows: DataFrame, scaler: DataFrame, keys: Sequence[str], value: str = "value", inverse: bool = False, keep_constant: bool = False) -> DataFrame:
+    """``scaled``: the z-score by a fitted scaler, or with ``inverse`` the value of a z-score.
+
+    Without spread it is null, or with ``keep_constant`` the value as it is, as an intercept's must stay.
+    """
     v = F.col(value)
     out = v * F.col("sd") + F.col("mean") if inverse else (v - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
+    if keep_constant:
+        out = F.when(F.col("sd") == 0, v.cast("double")).otherwise(out)
     return rows.join(scaler, list(keys)).withColumn("scaled", out).drop("mean", "sd")
 
 

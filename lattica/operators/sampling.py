@@ -79,12 +79,18 @@ def _each(models: DataFrame, kernel: Callable[[pd.Series], pd.DataFrame], schema
     return models.groupBy("model", "beta").applyInPandas(run, schema)
 
 
-def simulated_means(models: DataFrame, n_steps: int, seed: int = 1) -> DataFrame:
+def _start(n: int, start: str, rng: np.random.Generator) -> np.ndarray:
+    """A first state: random, or all -1 (``negative``)."""
+    return rng.choice([-1.0, 1.0], n) if start == "random" else np.full(n, -1.0)
+
+
+def simulated_means(models: DataFrame, n_steps: int, seed: int = 1, start: str = "random") -> DataFrame:
     """Rows model, beta, i, j, value, flip_rate: mean states (i = j, with the node's flip rate) and mean products (i < j)."""
 
     def kernel(m: pd.Series) -> pd.DataFrame:
         h, n = np.asarray(m["h"], float), len(m["h"])
-        one, two, flips, _ = _simulate(h, np.asarray(m["w"], float).reshape(n, n), m["beta"], n_steps, _rng(seed, m["model"], m["beta"]))
+        rng = _rng(seed, m["model"], m["beta"])
+        one, two, flips, _ = _simulate(h, np.asarray(m["w"], float).reshape(n, n), m["beta"], n_steps, rng, _start(n, start, rng))
         i, j = np.triu_indices(n)
         value = np.where(i == j, one[i], two[i, j]) / n_steps
         return pd.DataFrame({"model": m["model"], "beta": m["beta"], "i": i, "j": j, "value": value, "flip_rate": np.where(i == j, flips[i] / n_steps, np.nan)})
@@ -92,13 +98,13 @@ def simulated_means(models: DataFrame, n_steps: int, seed: int = 1) -> DataFrame
     return _each(models, kernel, "model string, beta double, i long, j long, value double, flip_rate double")
 
 
-def simulated_series(models: DataFrame, n_steps: int, seed: int = 1) -> DataFrame:
+def simulated_series(models: DataFrame, n_steps: int, seed: int = 1, start: str = "random") -> DataFrame:
     """The states themselves, as a panel (subject, beta, node, step, state)."""
 
     def kernel(m: pd.Series) -> pd.DataFrame:
         h, n = np.asarray(m["h"], float), len(m["h"])
         w, rng = np.asarray(m["w"], float).reshape(n, n), _rng(seed, m["model"], m["beta"])
-        s, out = rng.choice([-1.0, 1.0], n), np.zeros((n_steps, n), np.int8)
+        s, out = _start(n, start, rng), np.zeros((n_steps, n), np.int8)
         for t in range(n_steps):
             sweep(s, h, w, m["beta"], rng)
             out[t] = s

@@ -185,6 +185,13 @@ def fisher_fields(spark, sf_dir):
     return M.fisher_fields(states_of(spark, sf_dir)).select("subject", "i", "j", r("information"))
 
 
+@query(with_("emb", then="SELECT a.label AS subject, a.feature AS i, b.feature AS j, round(" + CORR.format(a="a.value", b="b.value") + ", 6) AS fc FROM emb a JOIN emb b USING (vec_id) WHERE a.feature < b.feature GROUP BY ALL"))
+def fc_embeddings(spark, sf_dir):
+    """Correlation of the embeddings' components within each label: a panel whose steps grow with the table."""
+    rows = embedding_features(spark, sf_dir).select(F.col("label").alias("subject"), F.col("feature").alias("node"), F.col("vec_id").alias("step"), "value")
+    return M.functional_connectivity(rows, "value").select("subject", "i", "j", r("fc"))
+
+
 # --- correlation families and their nulls
 
 

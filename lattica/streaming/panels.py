@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,34 @@ def bursts(events: DataFrame, time: str, gap: str, late: str, keys: tuple[str, .
     """Runs of activity with pauses of less than ``gap``: begin, end and size of each."""
     found = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("run"), *keys).agg(F.count("*").alias("size"))
     return found.select(*keys, F.col("run.start").alias("begin"), F.col("run.end").alias("end"), "size")
+
+
+def avalanches(counts: DataFrame) -> DataFrame:
+    """Runs of active steps and the gaps between them, as they end: rows subject, active, begin, duration, size.
+
+    ``counts(subject, step, n_active)`` arrives in order of step.  A subject's
+    state is four numbers: whether it stands in a run or a gap, since when, its
+    last step and the size so far, whatever the length of the stream.  Batches
+    may cut a run anywhere.  Steps that were passed already are left out.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        active, begin, last, size = state.get if state.exists else (None, None, None, 0)
+        out = []
+        for step, n in pd.concat(list(parts))[["step", "n_active"]].sort_values("step").itertuples(index=False):
+            if last is not None and step <= last:
+                continue
+            now = bool(n > 0)
+            if active is not None and now != active:
+                out.append((key[0], active, begin, last - begin + 1, size))
+                begin, size = step, 0
+            if active is None:
+                begin = step
+            active, last, size = now, int(step), int(size + n)
+        state.update((active, int(begin), last, size))
+        yield pd.DataFrame(out, columns=["subject", "active", "begin", "duration", "size"])
+
+    kinds = "subject string, active boolean, begin long, duration long, size long"
+    rows = counts.select("subject", "step", "n_active").groupBy("subject")
+    return rows.applyInPandasWithState(run, kinds, "active boolean, begin long, last long, size long", "append", GroupStateTimeout.NoTimeout)
