@@ -13,6 +13,7 @@ from ..operators import cluster as C
 from ..operators import fitting as Fit
 from ..operators import inference as I
 from ..operators import moments as M
+from ..operators import networks as N
 from ..operators import relate as R
 from ..operators import sampling as K
 from ..operators import spectra as X
@@ -330,6 +331,23 @@ def clustered_series(spark, sf_dir):
     return C.merged_tree(states_of(spark, sf_dir))
 
 
+@query()
+def network_grid(spark, sf_dir):
+    """Each subject's parameter by both features over nodes: linear, deep and skipping networks on two splits."""
+    rows = study_of(spark, sf_dir)
+    settings = [(f"{w}x{d}{'s' if skip else ''}", w, d, 0.02, 8, skip, split) for w, d, skip in ((1, 0, False), (8, 2, False), (8, 3, True)) for split in (0, 1)]
+    grid = spark.createDataFrame(settings, "setting string, width int, depth int, rate double, batch int, skip boolean, split long")
+    curves = N.learning_curves(rows, ["subject"], ["x", "x2"], "y", grid, epochs=60, patience=15)
+    return N.best_settings(curves, ["subject"])
+
+
+@query()
+def convolved_features(spark, sf_dir):
+    """A feature after one and two passes of messages over each subject's positive connectivity."""
+    edges = M.functional_connectivity(states_of(spark, sf_dir)).where("fc > 0")
+    return N.convolved(edges, study_of(spark, sf_dir), ["subject"], "fc", "x", 2)
+
+
 # --- power laws
 
 
