@@ -348,6 +348,21 @@ def fit_windows(models: DataFrame, panel: DataFrame, length: int, rate: float, h
     return _beside(models, panel, kernel)
 
 
+def transition_table(panel: DataFrame) -> DataFrame:
+    """What :func:`fit_transitions` reads: distinct states, how often each is left, and by which nodes' flips.
+
+    A state's next one is joined by step, so that no task holds a series.
+    """
+    whole = panel.groupBy(F.col("subject").cast("string").alias("model"), "step").agg(F.array_sort(F.collect_list(F.struct("node", "state"))).alias("s"))
+    whole = whole.select("model", "step", F.transform("s", lambda x: x["state"].cast("int")).alias("state"))
+    after = whole.select("model", (F.col("step") - 1).alias("step"), F.col("state").alias("_next"))
+    both = whole.join(after, ["model", "step"])
+    flips = F.zip_with("state", "_next", lambda a, b: F.when(a != b, 1).otherwise(0))
+    summed = both.select("model", "state", F.posexplode(flips).alias("i", "f")).groupBy("model", "state", "i").agg(F.sum("f").alias("f"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda x: x["f"])
+    return summed.groupBy("model", "state").agg(F.max("n").alias("n"), ordered.alias("flips"))
+
+
 def fit_transitions(states: DataFrame, n_updates: int, rate: float) -> DataFrame:
     """Models whose flip probabilities min(1, exp(change)) fit those seen in each state.
 

@@ -450,6 +450,48 @@ def individual_fits(spark, sf_dir):
     return Fit.goodness(K.fit_by_simulation(own, want, 30, 50), want, [500])
 
 
+@query()
+def window_fits(spark, sf_dir):
+    """Fits window by window, fixed, sliding and at random, and how far they lie from the whole series."""
+    states, want = _wanted(spark, sf_dir)
+    out = None
+    for how in ("fixed", "sliding", "random"):
+        fitted = Fit.fit_windows(Fit.initial(want, "centred"), states, 20, 0.05, how, n_epochs=2, every=10)
+        one = Fit.goodness(fitted, want, [300]).withColumn("windows", F.lit(how))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def transition_fits(spark, sf_dir):
+    """Models of eight nodes from the flips that follow each state."""
+    return Fit.fit_transitions(Fit.transition_table(states_of(spark, sf_dir).where("node < 8")), 200, 0.02)
+
+
+@query()
+def schedules(spark, sf_dir):
+    """Goodness of the same models by sweeps, by nodes drawn one at a time, and by all nodes at once."""
+    _, want = _wanted(spark, sf_dir)
+    models, out = assembled(spark, sf_dir), None
+    for how, n in (("sweep", 200), ("random_node", 3200), ("synchronous", 200)):
+        one = Fit.goodness(models, want, [n], how).withColumn("schedule", F.lit(how))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def update_rules(spark, sf_dir):
+    """Boltzmann learning by each rule, and without fields."""
+    _, want = _wanted(spark, sf_dir)
+    start, out = Fit.initial(want, "centred"), None
+    for rule, rate in (("linear", 0.05), ("power", 0.01), ("cubic", 0.5), ("log", 0.01), ("no_fields", 0.05)):
+        plain = rule if rule != "no_fields" else "linear"
+        fitted = K.fit_by_simulation(start, want, 20, 40, rate, rule=plain, with_fields=rule != "no_fields")
+        one = Fit.goodness(fitted, want, [200]).withColumn("rule", F.lit(rule))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def retested_edits(spark, sf_dir):
     """Goodness of each subject's model as it is, with equal fields, and without fields or couplings."""

@@ -202,3 +202,14 @@ def test_convergence_by_length(spark):
     models = spark.createDataFrame(model_rows(("a", 1, H, W)), K.MODEL)
     got = {x.n_steps: x.product_rmse for x in Fit.goodness(models, targets(spark, ("a", moments(H, W))), [20, 200, 8000]).collect()}
     assert set(got) == {20, 200, 8000} and got[8000] < got[20]
+
+
+def test_transition_table(spark):
+    x = np.random.default_rng(4).choice([-1, 1], (200, 3))
+    panel = spark.createDataFrame([("a", i, t, int(x[t, i])) for t in range(200) for i in range(3)], "subject string, node long, step long, state int")
+    want: dict = {}
+    for t in range(199):
+        n, f = want.setdefault(tuple(x[t].tolist()), [0, np.zeros(3, int)])
+        want[tuple(x[t].tolist())] = [n + 1, f + (x[t] != x[t + 1])]
+    got = {tuple(r.state): [r.n, list(r.flips)] for r in Fit.transition_table(panel).collect()}
+    assert got == {k: [n, f.tolist()] for k, (n, f) in want.items()}
