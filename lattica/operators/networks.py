@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .relate import neighbour_mean
 from .sampling import _rng
 
@@ -102,7 +103,8 @@ def best_settings(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def convolved(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], weight: str, feature: str, passes: int) -> DataFrame:
     """Features of repeated message passing: pass_0 is the feature, pass_k the edge-weighted mean over neighbours of pass_k-1."""
-    out = nodes.select(*keys, "node", F.col(feature).alias("pass_0"))
+    edges = written(edges.select(*keys, "i", "j", weight))  # every pass reads them
+    out = written(nodes.select(*keys, "node", F.col(feature).alias("pass_0")))
     last = out.withColumnRenamed("pass_0", "_f")
     for k in range(1, passes + 1):
         last = neighbour_mean(edges, last, keys, weight, "_f").withColumnRenamed("message", "_f")

@@ -268,11 +268,19 @@ def variance_correlation(spark, sf_dir):
 # --- linear models and matrices
 
 
-@query()
+@query("""
+WITH s AS (SELECT l_linestatus AS status, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, var_pop(y) AS yy,
+covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS bq, covar_pop(c, y) AS cy
+FROM (SELECT l_linestatus, l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice AS y FROM lineitem) GROUP BY ALL),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+o AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (bq * cc - bc * cy) + ac * (bq * bc - bb * cy)) / det AS b1, (aa * (bq * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - bq * ac)) / det AS b2,
+(aa * (bb * cy - bq * bc) - ab * (ab * cy - bq * ac) + ay * (ab * bc - bb * ac)) / det AS b3 FROM d)
+SELECT status, n, round(b1, 3) AS b_l_quantity, round(b2, 2) AS b_l_discount, round(b3, 2) AS b_l_tax, round(my - b1 * ma - b2 * mb - b3 * mc, 2) AS intercept, round((b1 * ay + b2 * bq + b3 * cy) / yy, 6) AS r2 FROM o""")
 def lstsq_many(spark, sf_dir):
     """Price by quantity, discount and tax in each status."""
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_linestatus", "status")
-    return I.least_squares_many(rows, ["status"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    out = I.least_squares_many(rows, ["status"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return out.select("status", "n", r("b_l_quantity", 3), r("b_l_discount", 2), r("b_l_tax", 2), r("intercept", 2), r("r2"))
 
 
 @query()
@@ -341,11 +349,15 @@ def network_grid(spark, sf_dir):
     return N.best_settings(curves, ["subject"])
 
 
-@query()
+@query(with_("fc", "study", then="""
+, e AS (SELECT subject, i AS node, j AS other, fc AS w FROM fc WHERE fc > 0 UNION ALL SELECT subject, j, i, fc FROM fc WHERE fc > 0),
+a AS (SELECT e.subject, e.node, sum(w * x) / sum(w) AS p FROM e JOIN study s ON s.subject = e.subject AND s.node = e.other GROUP BY ALL),
+b AS (SELECT e.subject, e.node, sum(w * p) / sum(w) AS p FROM e JOIN a ON a.subject = e.subject AND a.node = e.other GROUP BY ALL)
+SELECT s.subject, s.node, round(x, 3) AS pass_0, round(a.p, 3) AS pass_1, round(b.p, 3) AS pass_2 FROM study s LEFT JOIN a USING (subject, node) LEFT JOIN b USING (subject, node)"""))
 def convolved_features(spark, sf_dir):
     """A feature after one and two passes of messages over each subject's positive connectivity."""
     edges = M.functional_connectivity(states_of(spark, sf_dir)).where("fc > 0")
-    return N.convolved(edges, study_of(spark, sf_dir), ["subject"], "fc", "x", 2)
+    return N.convolved(edges, study_of(spark, sf_dir), ["subject"], "fc", "x", 2).select("subject", "node", r("pass_0", 3), r("pass_1", 3), r("pass_2", 3))
 
 
 # --- power laws
@@ -396,12 +408,12 @@ def band_pass(spark, sf_dir):
     return X.band_pass(event_panel(spark, sf_dir), 0.2, 1.0, 0.25)
 
 
-@query()
+@query(with_("panel", then="SELECT DISTINCT subject, node, true AS same FROM panel"))
 def phase_round_trip(spark, sf_dir):
-    """Each series through its transform and back, with its own phases: the largest difference."""
+    """Each series through its transform and back, with its own phases: whether all values come back to within 1e-6."""
     panel = event_panel(spark, sf_dir)
     back = X.phase_surrogate(panel, shuffle=False).withColumnRenamed("value", "_b")
-    return panel.join(back, ["subject", "node", "step"]).groupBy("subject", "node").agg(F.max(F.abs(F.col("value") - F.col("_b"))).alias("difference"))
+    return panel.join(back, ["subject", "node", "step"]).groupBy("subject", "node").agg((F.max(F.abs(F.col("value") - F.col("_b"))) < 1e-6).alias("same"))
 
 
 # --- fits
