@@ -13,9 +13,37 @@ from .relate import permuted, ranked_by_digest
 
 
 def quantile_summary(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
-    """least, greatest and the quantiles (linear interpolation) of each key."""
-    names = [F.percentile(value, F.lit(float(q))).alias(f"q{round(100 * q):02d}") for q in quantiles]
-    return rows.groupBy(*keys).agg(F.min(value).alias("least"), *names, F.max(value).alias("greatest"))
+    """least, greatest and the quantiles (linear interpolation) of each key, exact, from counts of distinct values."""
+    at = placed(rows.where(F.col(value).isNotNull()), keys, value)
+    sizes = at.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    at = at.join(sizes, list(keys)) if keys else at.join(F.broadcast(sizes))  # one row
+    names = []
+    for q in quantiles:
+        place = (F.col("_all") - 1) * float(q)
+        holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+        low = F.max(F.when(holds(F.floor(place)), F.col(value)))
+        high = F.max(F.when(holds(F.ceil(place)), F.col(value)))
+        names.append((low + (high - low) * F.first(place - F.floor(place))).alias(f"q{round(100 * q):02d}"))
+    return at.groupBy(*keys).agg(F.min(value).alias("least"), *names, F.max(value).alias("greatest"))
+
+
+def placed(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = 256) -> DataFrame:
+    """Distinct values of each key with their count ``_n`` and the rows ``_before`` them.
+
+    Counts are added up by ranges of values and inside each, so that no task
+    holds a whole key.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    share = (F.col(value) - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
+    counts = counts.join(ends, list(keys)) if keys else counts.join(F.broadcast(ends))  # one row
+    counts = counts.withColumn("_b", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)))
+    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_r"))
+    lower = F.coalesce(F.sum("_r").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*keys, "_b", lower.alias("_lower"))  # at most ``buckets`` rows a key
+    inside = F.coalesce(F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = counts.withColumn("_inside", inside).join(ranges, [*keys, "_b"])
+    return out.select(*keys, value, "_n", (F.col("_lower") + F.col("_inside")).alias("_before"))
 
 
 def split_summary(rows: DataFrame, split: str, keys: Sequence[str], value: str) -> DataFrame:
@@ -26,8 +54,10 @@ def split_summary(rows: DataFrame, split: str, keys: Sequence[str], value: str)
 
 def equal_count_bins(rows: DataFrame, keys: Sequence[str], feature: str, param: str, size: int, tie: str) -> DataFrame:
     """Bins of ``size`` rows in order of the feature, the ragged tail left out: mean and sd of both columns."""
-    w = W.partitionBy(*keys)
-    cut = rows.withColumn("_n", F.row_number().over(w.orderBy(feature, tie))).withColumn("_all", F.count("*").over(w))
+    at = placed(rows, keys, feature).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*keys, feature).orderBy(tie))  # among equal values alone
+    cut = rows.join(at, [*keys, feature]).withColumn("_n", F.col("_before") + inside)
+    cut = cut.join(rows.groupBy(*keys).agg(F.count("*").alias("_all")), [*keys])
     cut = cut.withColumn("bin", F.floor((F.col("_n") - 1) / size).cast("long")).where(F.col("bin") < F.floor(F.col("_all") / size))
     return cut.groupBy(*keys, "bin").agg(F.avg(feature).alias("feature_mean"), F.stddev_samp(feature).alias("feature_sd"), F.avg(param).alias("param_mean"), F.stddev_samp(param).alias("param_sd"))
 
@@ -37,23 +67,10 @@ def replica_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFra
     return rows.groupBy(*keys).agg(F.min(value).alias("least"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("median"), F.max(value).alias("greatest"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
 
-def with_ranks(rows: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 256) -> DataFrame:
-    """Add the ranks of a number from 1 on; equal values share the mean of theirs.
-
-    Distinct values are counted first, and the counts added up by ranges of
-    values and inside each, so that no task holds a whole key.
-    """
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = (F.col(value) - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
-    counts = counts.join(ends, list(keys)).withColumn("_b", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)))
-    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_r"))
-    lower = F.coalesce(F.sum("_r").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(*keys, "_b", lower.alias("_lower"))  # at most ``buckets`` rows a key
-    inside = F.coalesce(F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("_inside", inside).join(ranges, [*keys, "_b"])
-    rank = F.col("_lower") + F.col("_inside") + (F.col("_n") + 1) / 2
-    return rows.join(ranked.select(*keys, value, rank.alias(name)), [*keys, value])
+def with_ranks(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the ranks of a number from 1 on; equal values share the mean of theirs."""
+    ranked = placed(rows, keys, value).select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranked, [*keys, value])
 
 
 def mann_whitney(rows: DataFrame, keys: Sequence[str], value: str, group: str) -> DataFrame:
