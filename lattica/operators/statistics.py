@@ -53,7 +53,8 @@ def split_summary(rows: DataFrame, split: str, keys: Sequence[str], value: str)
 
 
 def equal_count_bins(rows: DataFrame, keys: Sequence[str], feature: str, param: str, size: int, tie: str) -> DataFrame:
-    """Bins of ``size`` rows in order of the feature, the ragged tail left out: mean and sd of both columns."""
+    """Bins of ``size`` rows in order of the feature, the ragged tail and rows without a feature left out: mean and sd of both columns."""
+    rows = rows.where(F.col(feature).isNotNull())
     at = placed(rows, keys, feature).drop("_n")
     inside = F.row_number().over(W.partitionBy(*keys, feature).orderBy(tie))  # among equal values alone
     cut = rows.join(at, [*keys, feature]).withColumn("_n", F.col("_before") + inside)
