@@ -166,13 +166,13 @@ class Index:
         return out
 
     def score(self, t: int, offset: int, at: Mapping[str, list[int]]) -> float:
-        hit = 0.0
+        hit = []
         for p, w in self.rare[t]:
             own = at.get(w, ())
             k = bisect_left(own, offset + p - self.slack)
             if k < len(own) and own[k] <= offset + p + self.slack:
-                hit += self.idf[w]
-        return hit / self.weight[t]
+                hit.append(self.idf[w])
+        return sum(hit) / self.weight[t]  # as the weight is summed, so that a whole template scores 1
 
     def verified(self, t: int, offset: int, words: list[str]) -> bool:
         """Whether the template's key phrases stand word for word where it is put."""
