@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from . import ann, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_bpe, url_filters, warc
+from . import ann, clustering, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_store, url_filters, warc
 from .common import cut, remove, shared_dir, table
 
 # The rules of op3.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_MODEL, END_ID = "word_bpe_49k.json", 2
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +113,32 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is read back by its key, through the index; those without one from the shards' own lists."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    at = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    token_store.write(docs, f"{at}/shards", public_tokenizers.path(WORD_MODEL), END_ID)
+    stored = cut(token_store.entries(spark, f"{at}/shards"))
+    token_store.index(stored, f"{at}/index")
+    found = token_store.lookup(spark, f"{at}/index", docs.select(F.col("doc_id").alias("key")))
+    found = found.unionByName(stored.where("key is null"))
+    read = token_store.fetch(spark, f"{at}/shards", found)
+    out = cut(read.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
+    remove(spark, at)  # all of it is read
+    return out
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(*clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_secret_scans, op3_url_filters, op4_license_scans, op5_near_dedup,
         op6_warc, op7_sentencepiece, op8_mixing, op9_nearest, op10_quality_classifier,
+        op11_token_store, op13_centroids,
     )}
 
 
