@@ -57,15 +57,16 @@ def swept(since: int, *results: DataFrame) -> None:
         written.remove(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: object) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, without its lineage.
 
     A written table also has a known size, by which Spark chooses join
     strategies, and none of the constraints that a plan's history piles up.
+    ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from . import ann, clustering, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_store, url_filters, warc
+from . import ann, clustering, lexical, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_store, url_filters, warc
 from .common import cut, remove, shared_dir, table
 
 # The rules of op3.
@@ -130,6 +130,11 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.with_inertia(*clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
 
@@ -138,7 +143,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_secret_scans, op3_url_filters, op4_license_scans, op5_near_dedup,
         op6_warc, op7_sentencepiece, op8_mixing, op9_nearest, op10_quality_classifier,
-        op11_token_store, op13_centroids,
+        op11_token_store, op12_lexical, op13_centroids,
     )}
 
 
@@ -158,6 +163,32 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
 
 
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT doc_id, n, x, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS x FROM d) GROUP BY ALL),
+f AS (SELECT x, count(*) AS df FROM p GROUP BY x),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS x FROM benchmark),
+w AS (SELECT item_id, x, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM q JOIN f USING (x) CROSS JOIN c),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM w JOIN p USING (x) CROSS JOIN c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, q FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),
+""" + "".join(f"""a{i} AS (SELECT vec_id, v.q AS q, arg_min(c, (list_sum(list_transform(list_zip(v.q, c{i}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c)) AS c,
+      CAST(min(list_sum(list_transform(list_zip(v.q, c{i}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS BIGINT) AS d FROM v CROSS JOIN c{i} GROUP BY vec_id, v.q),
+""" + (f"""m{i} AS (SELECT c, list(s ORDER BY g) AS q FROM (SELECT c, g, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS s FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS g FROM a{i}) GROUP BY c, g) GROUP BY c),
+c{i + 1} AS (SELECT c, CAST(coalesce(m{i}.q, c{i}.q) AS BIGINT[]) AS q FROM c{i} LEFT JOIN m{i} USING (c)),
+""" if i < 3 else "") for i in range(4)) + """e AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a3) AS inertia,
+       sha256(array_to_string(c3.q, ',')) AS centroid_sha256 FROM a3 JOIN e USING (c) JOIN c3 USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of those queries whose every column SQL can say; the others are tested against plain versions."""
-    return {"op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL}
+    return {"op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op12_lexical": OP12_SQL, "op13_centroids": OP13_SQL}
