@@ -77,7 +77,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, model_name: str = PIECE_MODEL) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256."""
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, which replace columns of these names."""
 
     def digests(texts: pd.Series) -> pd.DataFrame:
         import public_tokenizers
@@ -92,7 +92,9 @@ def encoded(docs: DataFrame, model_name: str = PIECE_MODEL) -> DataFrame:
 
     digests.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     run = pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return docs.withColumn("_e", run("text")).select("*", "_e.*").drop("_e")
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    kept = [F.col(f"_r.`{c}`") for c in docs.columns if c.lower() not in new]
+    return docs.select(F.struct("*").alias("_r"), run("text").alias("_e")).select(*kept, "_e.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,17 +151,17 @@ class Model:
         for end, i in self.search.iter(part):
             longest[end - self.length[i] + 1] = i  # later matches of a start are longer
         out: list[int] = []
-        failed, pos, piece = 0, 0, longest[0]
+        failed, pos, piece = bytearray(n // 8 + 1), 0, longest[0]
         while pos < n:
             end = pos + self.length[piece]
-            if not failed >> end & 1 and (not out or self.compatible(out[-1], piece)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
                 out.append(piece)
                 pos = end
                 piece = longest[pos] if pos < n else -1
             elif self.shorter[piece] >= 0:
                 piece = self.shorter[piece]
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError(part)
                 piece = out.pop()
@@ -169,17 +169,14 @@ class Model:
         return out
 
     def part_ids(self, part: str) -> tuple[int, ...]:
-        runs, out = [], []
-        for known, c in ((c in self.known, c) for c in part):
-            if known and runs and runs[-1][0]:
-                runs[-1][1] += c
-            else:
-                runs.append([known, c])
-        for known, run in runs:
-            if not known:
-                out += [self.byte[b] for b in run.encode()] if self.byte else [self.unknown]
-            else:
+        out, at = [], 0
+        for known, chars in groupby(part, key=self.known.__contains__):
+            end = at + sum(1 for _ in chars)
+            run, at = part[at:end], end
+            if known:
                 out += self.backtrack(run)
+            else:
+                out += [self.byte[b] for b in run.encode()] if self.byte else [self.unknown] * len(run)
         return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:

@@ -43,3 +43,37 @@ def test_long_texts(both):
     same(both, "x" * 20_000)
     same(both, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12))) for _ in range(40_000)))
     same(both, "".join(rng.choice("aeinrst") for _ in range(30_000)))
+
+
+def test_unbroken_parts_take_time_in_proportion(both):
+    """A text without spaces or line ends, 640,000 characters: under 16 times what 80,000 take."""
+    import time
+
+    mine, library = both
+    for unit in ("ab", "the中"):
+        took = []
+        for n in (80_000, 640_000):
+            text = unit * (n // len(unit))
+            mine.encode(text[:1000])
+            began = time.process_time()
+            ids = mine.encode(text)
+            took.append(time.process_time() - began)
+            assert mine.decode(ids) == text
+        assert took[1] < 16 * max(took[0], 0.02)
+        assert ids == library.encode(text)
+
+
+def test_clashing_columns_are_replaced(spark):
+    from lattica.llm.queries import encoded
+
+    rows = spark.createDataFrame([(1, "a b", 9, "x", "y", "z", 5.0)], "doc_id long, text string, n_tokens long, IDS_sha256 string, _e string, _r string, `a.b` double")
+    got = encoded(rows)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "_e", "_r", "a.b", "n_tokens", "ids_sha256", "decoded_sha256"])
+    x = got.select("n_tokens", "_e", "`a.b`").first()
+    assert (x[1], x[2]) == ("y", 5.0) and x[0] == len(both_ids("a b"))
+
+
+def both_ids(text):
+    import public_tokenizers
+
+    return B.model(public_tokenizers.path(PIECE_MODEL)).encode(text)
