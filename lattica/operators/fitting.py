@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import last_checkpoint, save_checkpoint
 from ..sources.scratch import written
+from .pooled import Adam
 from .sampling import MODEL, _each, _rng, _simulate, advance, fit_by_simulation
 
 #: Measures of a fit, and whether the larger value is the better one.
@@ -254,35 +255,33 @@ def _series(own: pd.DataFrame) -> np.ndarray:
 
 
 def _beside(models: DataFrame, panel: DataFrame, kernel) -> DataFrame:
-    """``kernel(model row, series)`` gives h, w for each model and its subject's series."""
+    """``kernel(model row, series)`` gives h, w for each model and its subject's series.
+
+    A model's subject is its column ``subject`` if there is one, otherwise its
+    name up to the first "/", so that replicas share their subject's series.
+    Models without a series and series without a model give no row.
+    """
+    subject = F.col("subject").cast("string") if "subject" in models.columns else F.substring_index("model", "/", 1)
+    models = models.select(subject.alias("subject"), "model", "beta", "h", "w")
 
     def run(m: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(m) or not len(own):
-            return pd.DataFrame({"model": [], "beta": [], "h": [], "w": []})
-        x, made = _series(own), []
-        for _, row in m.iterrows():
+        made = {"model": [], "beta": [], "h": [], "w": []}
+        x = _series(own) if len(m) and len(own) else None
+        for _, row in m.iterrows() if x is not None else ():
             h, w = kernel(row, x)
-            made.append({"model": row["model"], "beta": row["beta"], "h": h, "w": w.ravel()})
-        return pd.DataFrame(made)
+            for key, value in (("model", row["model"]), ("beta", row["beta"]), ("h", h), ("w", w.ravel())):
+                made[key].append(value)
+        return pd.DataFrame(made) if made["model"] else pd.DataFrame({"model": pd.Series(dtype=str), "beta": pd.Series(dtype=float), "h": pd.Series(dtype=object), "w": pd.Series(dtype=object)})
 
     own = panel.select(F.col("subject").cast("string").alias("subject"), "node", "step", "state")
-    return models.groupBy("model").cogroup(own.groupBy("subject")).applyInPandas(run, MODEL)
-
-
-class _Adam:
-    def __init__(self, rate: float) -> None:
-        self.rate, self.t, self.m, self.v = rate, 0, None, None
-
-    def step(self, g: np.ndarray) -> np.ndarray:
-        if self.m is None:
-            self.m, self.v = np.zeros_like(g), np.zeros_like(g)
-        self.t += 1
-        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
-        return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+    return models.groupBy("subject").cogroup(own.groupBy("subject")).applyInPandas(run, MODEL)
 
 
 def fit_pseudolikelihood(models: DataFrame, panel: DataFrame, n_updates: int, rate: float, optimizer: str = "gradient", block: int | None = None, symmetric: bool = True, with_fields: bool = True, seed: int = 1) -> DataFrame:
-    """Maximum pseudolikelihood of each model on the series of the subject of its name.
+    """Maximum pseudolikelihood of each model on the series of its own subject, a group each.
+
+    For series of many subjects, or of any length, see :func:`lattica.operators.pooled.fit_pooled`.
+    Subjects are found by a column ``subject`` or by the model's name up to "/"; without a series a model gives no row.
 
     ``gradient`` climbs the whole series' gradient; with ``block`` it is added
     up block by block, in bounded memory, with the same result.  ``sgd`` climbs
@@ -300,7 +299,7 @@ def fit_pseudolikelihood(models: DataFrame, panel: DataFrame, n_updates: int, ra
         n, rng = x.shape[1], _rng(seed, row["model"])
         h, w = np.array(row["h"], float) * with_fields, np.array(row["w"], float).reshape(n, n)
         size = block or len(x)
-        adam = _Adam(rate)
+        adam = Adam(rate)
         for _ in range(n_updates):
             starts = list(range(0, len(x), size))
             if optimizer == "sgd":
@@ -376,7 +375,7 @@ def fit_transitions(states: DataFrame, n_updates: int, rate: float) -> DataFrame
         x, c = np.array(own["state"].tolist(), float), own["n"].to_numpy(float)
         f, n = np.array(own["flips"].tolist(), float), len(own["state"].iloc[0])
         seen = np.minimum(1, n * f / c[:, None])
-        theta, adam = np.zeros(n + n * n), _Adam(rate)
+        theta, adam = np.zeros(n + n * n), Adam(rate)
         for _ in range(n_updates):
             h, w = theta[:n], theta[n:].reshape(n, n)
             raw = np.exp(np.minimum(-2 * x * (h + x @ w), 50))

@@ -14,6 +14,7 @@ from ..operators import fitting as Fit
 from ..operators import inference as I
 from ..operators import moments as M
 from ..operators import networks as N
+from ..operators import pooled as Pool
 from ..operators import relate as R
 from ..operators import sampling as K
 from ..operators import spectra as X
@@ -451,6 +452,30 @@ def fitted_pseudolikelihood(spark, sf_dir):
     return Fit.goodness(fitted, want, [100, 300, 1000])
 
 
+def _pass_sql(k: int) -> str:
+    """One gradient pass in SQL: fields h{k} and couplings w{k} (both directions) to those of k + 1."""
+    return f"""
+, l{k} AS (SELECT s.subject, s.step, s.node, s.state, s.state - tanh(any_value(h.h) + sum(w.w * o.state)) AS e FROM states s JOIN h{k} h ON h.node = s.node JOIN states o ON o.subject = s.subject AND o.step = s.step AND o.node <> s.node JOIN w{k} w ON w.i = s.node AND w.j = o.node GROUP BY s.subject, s.step, s.node, s.state),
+g{k} AS (SELECT a.node AS i, b.node AS j, avg(a.e * b.state + b.e * a.state) AS g FROM l{k} a JOIN l{k} b ON a.subject = b.subject AND a.step = b.step AND a.node <> b.node GROUP BY ALL),
+h{k + 1} AS (SELECT node, any_value(h.h) + 0.1 * avg(l.e) AS h FROM l{k} l JOIN h{k} h USING (node) GROUP BY node), w{k + 1} AS (SELECT i, j, w + 0.1 * g AS w FROM w{k} JOIN g{k} USING (i, j))"""
+
+
+@query(with_("states", then="""
+, h0 AS (SELECT node, avg(CAST(state AS DOUBLE)) AS h FROM states GROUP BY ALL),
+w0 AS (SELECT a.node AS i, b.node AS j, avg(CAST(a.state * b.state AS DOUBLE)) AS w FROM states a JOIN states b ON a.subject = b.subject AND a.step = b.step AND a.node <> b.node GROUP BY ALL)"""
++ _pass_sql(0) + _pass_sql(1) + """
+SELECT 'group' AS model, node AS i, node AS j, round(h, 5) AS value FROM h2 UNION ALL SELECT 'group', i, j, round(w, 5) FROM w2 WHERE i < j"""))
+def pooled_pseudolikelihood(spark, sf_dir):
+    """One model of all subjects' steps, two gradient passes from its mean states and products: fields (i = j) and couplings."""
+    states = states_of(spark, sf_dir).select(F.lit("group").alias("subject"), F.concat_ws("-", "subject", "step").alias("step"), "node", "state")
+    start = Fit.initial(targets_of(states), "means")
+    fitted, _ = Pool.fit_pooled(start, states_of(spark, sf_dir), 2, 0.1)
+    n = F.size("h")
+    own = fitted.select("model", F.posexplode("h").alias("i", "value")).select("model", "i", F.col("i").alias("j"), "value")
+    pairs = fitted.select("model", n.alias("n"), F.posexplode("w").alias("k", "value")).select("model", F.floor(F.col("k") / F.col("n")).alias("i"), (F.col("k") % F.col("n")).alias("j"), "value").where("i < j")
+    return own.unionByName(pairs).select("model", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("value", 5))
+
+
 @query()
 def individual_fits(spark, sf_dir):
     """The mean subject's model by simulation, and from it each subject's, with its own rate."""
