@@ -193,7 +193,7 @@ def _batches(models: DataFrame, n: int, most: int) -> Iterator[list]:
 
 
 def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])), pa.array(np.ascontiguousarray(x).ravel()))
 
 
 def _models(batch: list, theta: np.ndarray, n: int) -> pa.RecordBatch:

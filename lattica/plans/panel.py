@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binarize as B
 from ..operators import moments as M
+from ..operators import permutation as Perm
 from ..operators import relate as R
 from ..operators import statistics as S
 from ..operators import temporal as T
@@ -610,9 +611,10 @@ n AS (SELECT feature, perm, covar_pop(value, y.y) / nullif(stddev_pop(value) * s
 SELECT feature, round(any_value(o.c), 5) AS corr, round(CAST(count_if(abs(n.c) >= abs(o.c)) AS DOUBLE) / count(*), 5) AS p, round(quantile_cont(abs(n.c), 0.95), 5) AS critical,
 round(least(CAST(count_if(abs(n.c) >= abs(o.c)) AS DOUBLE) / count(*) * 64, 1.0), 5) AS p_corrected FROM n JOIN o USING (feature) GROUP BY ALL"""))
 def perm_test(spark, sf_dir):
-    features = embedding_features(spark, sf_dir).select("vec_id", "feature", F.col("value").alias("x"))
-    params = features.select("vec_id", "feature").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("y")), "vec_id")
-    return S.permutation_test(features, params, "vec_id", ["feature"], 200, 64).select("feature", r("corr", 5), r("p", 5), r("critical", 5), r("p_corrected", 5))
+    rows = embedding_features(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
+    length, critical = Perm.quantile_of_top(0.95, 200)
+    found = Perm.permuted_summary(rows, "vec_id", ["feature"], "value", "y", 200, length, draw="digest").withColumn("q", critical)
+    return Perm.tested(found, 200, 64, 0.05).select("feature", r("corr", 5), r("p", 5), F.round("q", 5).alias("critical"), r("p_corrected", 5))
 
 
 @query("""

@@ -14,6 +14,7 @@ from ..operators import fitting as Fit
 from ..operators import inference as I
 from ..operators import moments as M
 from ..operators import networks as N
+from ..operators import permutation as Perm
 from ..operators import pooled as Pool
 from ..operators import relate as R
 from ..operators import sampling as K
@@ -226,19 +227,33 @@ SELECT subject, round(any_value(seen.c), 5) AS corr, round(CAST(count_if(abs(k.c
 round(least(1.0, 5 * CAST(count_if(abs(k.c) >= abs(seen.c)) AS DOUBLE) / count(*)), 6) AS p_corrected FROM k JOIN seen USING (subject) GROUP BY ALL""")
 
 
-def _rounded_null(rows, by, shuffle):
-    c = lambda df: df.withColumn("corr", F.round("corr", 9))  # noqa: E731  so that ties with the seen value are ties
-    seen = c(rows.groupBy(*by).agg(M.correlation(F.col("x"), F.col("y")).alias("corr")))
-    return seen, c(I.permuted_correlations(rows, "subject", "node", by, "x", "y", PERMUTATIONS, shuffle))
-
-
 @query(with_("study", then=NODE_NULL))
 def offset_permutations(spark, sf_dir):
     """Offsets from each node's mean: correlation over nodes against moved nodes, with the Bonferroni critical value."""
     rows = I.offsets(study_of(spark, sf_dir).select("subject", "node", F.col("x2").alias("x"), "y"), ["node"], ["x", "y"])
-    seen, null = _rounded_null(rows, ["subject"], "nodes")
-    out = I.against_null(seen, null, ["subject"], ALPHA, 5, PERMUTATIONS)
-    return out.select("subject", r("corr", 5), r("p"), r("critical", 5), r("p_corrected"))
+    found = Perm.permuted_summary(rows, "node", ["subject"], "x", "y", PERMUTATIONS, Perm.critical_place(PERMUTATIONS, 5, ALPHA), draw="digest", tags=("n", ""), digits=9)
+    return Perm.tested(found, PERMUTATIONS, 5, ALPHA).select("subject", r("corr", 5), r("p"), r("critical", 5), r("p_corrected"))
+
+
+THRESHOLD_NULL = """
+, z AS (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS z),
+t AS (SELECT p.subject, p.node, z.z, avg(CASE WHEN p.value >= m.m + z.z * m.s THEN 1.0 ELSE -1.0 END::DOUBLE) AS y FROM panel p JOIN (SELECT subject, node, avg(value) AS m, stddev_samp(value) AS s FROM panel GROUP BY ALL) m USING (subject, node) CROSS JOIN z GROUP BY ALL),
+tx AS (SELECT t.subject, t.node, z, x2 AS x, t.y FROM t JOIN study USING (subject, node)),
+nul AS (SELECT r.subject, r.z, perm, round(covar_pop(l.x, r.y) / nullif(stddev_pop(l.x) * stddev_pop(r.y), 0), 9) AS c FROM tx l JOIN nm ON nm.node = l.node JOIN tx r ON r.subject = l.subject AND r.z = l.z AND r.node = nm.partner GROUP BY ALL),
+seen AS (SELECT subject, z, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 9) AS c FROM tx GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY subject, z ORDER BY abs(c) DESC, perm) AS n FROM nul)
+SELECT subject, z AS threshold, round(any_value(seen.c), 5) AS corr, round(CAST(count_if(abs(k.c) >= abs(seen.c)) AS DOUBLE) / count(k.c), 6) AS p, round(max(CASE WHEN n = 3 THEN abs(k.c) END), 5) AS critical,
+round(least(1.0, 3 * CAST(count_if(abs(k.c) >= abs(seen.c)) AS DOUBLE) / count(k.c)), 6) AS p_corrected FROM k JOIN seen USING (subject, z) GROUP BY ALL"""
+
+
+@query(with_("study", then=_null_sql(THRESHOLD_NULL.lstrip("\n, "))))
+def threshold_pvalues(spark, sf_dir):
+    """Beside each threshold's correlation of a feature with the mean state: p over moved nodes, Bonferroni over thresholds, and the critical value."""
+    grid = B.over_thresholds(event_panel(spark, sf_dir), [0.0, 0.5, 1.0])
+    means = grid.groupBy("subject", "node", "threshold").agg(F.avg(F.col("state").cast("double")).alias("y"))
+    rows = means.join(study_of(spark, sf_dir).select("subject", "node", "x2"), ["subject", "node"])
+    found = Perm.permuted_summary(rows, "node", ["subject", "threshold"], "x2", "y", PERMUTATIONS, Perm.critical_place(PERMUTATIONS, 3, ALPHA), draw="digest", tags=("n", ""), digits=9)
+    return Perm.tested(found, PERMUTATIONS, 3, ALPHA).select("subject", "threshold", r("corr", 5), r("p"), r("critical", 5), r("p_corrected"))
 
 
 BOTH_NULL = _null_sql("""a AS (SELECT 'subjects' AS shuffle, sm.perm, l.x, r.y FROM o l JOIN sm ON sm.subject = l.subject JOIN o r ON r.subject = sm.partner AND r.node = l.node
