@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,64 +50,79 @@ MAGIC, HEAD = b"IDSHARD1", "<8sIIQQQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Shards of a task: its number times this, and on.
 PER_TASK = 1 << 20
-#: Words whose ids a worker keeps, and the longest kept, in characters.
-KEPT, LONGEST = 300_000, 40
+#: Words whose ids a worker keeps at most, in each of two generations, and the longest kept, in characters.
+KEPT, LONGEST = 450_000, 40
 #: Bytes that are read at once, about.
 READ = 4 << 20
 #: Places that each level of the hash offers for a key that comes to it.
 ROOM = 2.0
 
-_SPACES = str.maketrans("\t\n\r", "   ")
-_BEFORE_STOP = re.compile(r"(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])(?=[.,;:!?])")
-_LETTERS = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+_LATIN = "a-zA-ZÀ-ÖØ-öø-ÿ"
+_PLAIN, _BEFORE_STOP = re.compile(f"[{_LATIN}]+"), re.compile(f"(?<=[{_LATIN}])(?=[.,;:!?])")
 
 
 class WordIds:
     """A word-end tokenizer's ids of whole texts, encoded word by word.
 
     Its rules never look past white space, nor from a letter to a full stop or
-    the like after it, so texts are cut there; the library encodes each new part
-    once, and a worker keeps those of up to ``KEPT`` parts.  ``whole`` tells that
-    the vocabulary's file has these rules; texts of others are encoded at once.
+    the like after it, so texts are cut there, and the library encodes each new part
+    once; plain Latin words go to its model itself, as its normal form of them is
+    known.  A worker keeps the ids of the last ``KEPT`` parts it met, and those of as
+    many before them; a part that is met again moves up.  ``by_word`` tells that the
+    vocabulary's file has these rules; texts of others are encoded at once.
     """
 
     def __init__(self, path: str) -> None:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        model, steps = rules["model"], rules.get("pre_tokenizer") or {}
-        mark = model.get("end_of_word_suffix")
+        mark, steps = rules["model"].get("end_of_word_suffix"), rules.get("pre_tokenizer") or {}
         cut_first = [p.get("behavior") for p in steps.get("pretokenizers", [])][:1] == ["Removed"]
         self.by_word = bool(mark) and cut_first and not rules.get("post_processor") and not any(c in t["content"] for t in rules.get("added_tokens", []) for c in " .,;:!?\t\n\r")
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        if self.by_word:
-            self.ends[[i for t, i in model["vocab"].items() if t.endswith(mark)]] = True
-        self.kept: dict[str, np.ndarray] = {}
-        self.size = size
-
-    def _new(self, words: list[str]) -> None:
-        parts = {w: _BEFORE_STOP.split(w) for w in words}
-        wanted = {p for ps in parts.values() for p in ps if p and p not in self.kept}
-        plain = [p for p in wanted if _LETTERS.fullmatch(p)]  # each ends in one id with the mark
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(plain):
-            at = 0
-            for p, stop in zip(plain, stops.tolist(), strict=True):
-                self.kept[p] = ids[at:stop].tobytes()
-                at = stop
-            plain = []
-        other = [p for p in wanted if p not in self.kept]
-        for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            self.kept[p] = np.array(e.ids, np.uint32).tobytes()
-        for w, ps in parts.items():
-            if len(ps) > 1:
-                self.kept[w] = b"".join(self.kept[p] for p in ps if p)
+        self.size = self.tokenizer.get_vocab_size()
+        self.kept: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        letters = [c for c in map(chr, range(256)) if _PLAIN.fullmatch(c)]
+        bytes_as = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {ord(c): bytes_as.pre_tokenize_str(c)[0][0] for c in letters if ord(c) > 127}
+        self.model = self.tokenizer.model
+        probe = ["".join(letters), *letters, *(a + b for a in "aEñÉ" for b in letters)]
+        whole = self.tokenizer.encode_batch(probe, add_special_tokens=False)
+        self.direct = all(self._plain(w) == np.array(e.ids, np.uint32).tobytes() for w, e in zip(probe, whole, strict=True))
+
+    def _plain(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.lower().translate(self.shown))]).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of ``words`` among those kept."""
+        kept, older, parts, wanted = self.kept, self.older, [], []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                kept[w] = ids
+            elif w.isalpha():
+                wanted.append(w)
+            elif len(ps := _BEFORE_STOP.split(w)) > 1:
+                parts.append((w, ps))
+            else:
+                wanted.append(w)
+        if parts:
+            inner = {p for _, ps in parts for p in ps if p not in kept}
+            wanted = list(inner.union(wanted))
+        other = []
+        for p in wanted:
+            if self.direct and _PLAIN.fullmatch(p):
+                kept[p] = self._plain(p)
+            else:
+                other.append(p)
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            kept[p] = np.array(e.ids, np.uint32).tobytes()
+        for w, ps in parts:
+            kept[w] = b"".join([kept[p] for p in ps])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit numbers."""
@@ -114,21 +130,18 @@ class WordIds:
             return b""
         if not self.by_word:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        words = text.translate(_SPACES).split(" ") if len(text) < 1 << 16 else re.split("[ \t\n\r]", text)
-        try:
-            return b"".join(map(self.kept.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        self.kept[""] = b""
-        new = [w for w in set(words) if w not in self.kept]
-        self._new(new)
-        out = b"".join(map(self.kept.__getitem__, words))
-        for w in new:
-            if len(w) > LONGEST:
-                self.kept.pop(w, None)
-        return out
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if new := set(words).difference(self.kept):
+            if len(self.kept) + len(new) > KEPT:
+                self.older, self.kept = self.kept, {"": b""}
+                new = set(words)
+            self._learn(new)
+            out = b"".join(map(self.kept.__getitem__, words))
+            for w in new:
+                if len(w) > LONGEST:
+                    del self.kept[w]
+            return out
+        return b"".join(map(self.kept.__getitem__, words))
 
 
 _encoders: dict[str, WordIds] = {}
