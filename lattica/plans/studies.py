@@ -19,6 +19,7 @@ from ..operators import pooled as Pool
 from ..operators import relate as R
 from ..operators import sampling as K
 from ..operators import spectra as X
+from ..operators import subspace as Sub
 from ..operators import temporal as T
 from ..operators.blocked import pair_sums
 from ..sources.tables import embedding_features, event_panel, table
@@ -195,6 +196,38 @@ def fc_embeddings(spark, sf_dir):
     return M.functional_connectivity(rows, "value").select("subject", "i", "j", r("fc"))
 
 
+def _leading_sql(c: int, squarings: int = 13) -> str:
+    """The leading eigenvalue of f{c} by repeated squaring, and f{c + 1} without it."""
+    out = f", t{c} AS (SELECT subject, sum(x) AS t FROM f{c} WHERE a = b GROUP BY ALL), q{c}_0 AS (SELECT subject, a, b, x / t AS x FROM f{c} JOIN t{c} USING (subject))"
+    for k in range(squarings):
+        out += f""", p{c}_{k} AS MATERIALIZED (SELECT l.subject, l.a, r.b, sum(l.x * r.x) AS x FROM q{c}_{k} l JOIN q{c}_{k} r ON l.subject = r.subject AND l.b = r.a GROUP BY ALL),
+q{c}_{k + 1} AS MATERIALIZED (SELECT p.subject, a, b, x / t AS x FROM p{c}_{k} p JOIN (SELECT subject, sum(x) AS t FROM p{c}_{k} WHERE a = b GROUP BY ALL) USING (subject))"""
+    return out + f""", e{c} AS (SELECT f.subject, sum(f.x * q.x) AS v FROM f{c} f JOIN q{c}_{squarings} q ON q.subject = f.subject AND q.a = f.b AND q.b = f.a GROUP BY ALL),
+f{c + 1} AS (SELECT f.subject, f.a, f.b, f.x - v * q.x AS x FROM f{c} f JOIN q{c}_{squarings} q USING (subject, a, b) JOIN e{c} USING (subject))"""
+
+
+@query(with_("states", then="""
+, o AS (SELECT a.subject, a.step, a.node * 100 + b.node AS a, CASE WHEN a.node = b.node THEN a.state ELSE a.state * b.state END AS x FROM states a JOIN states b ON a.subject = b.subject AND a.step = b.step AND a.node <= b.node),
+f0 AS (SELECT l.subject, l.a, r.a AS b, covar_pop(l.x, r.x) AS x FROM o l JOIN o r USING (subject, step) GROUP BY ALL)""" + _leading_sql(0) + _leading_sql(1) + """
+SELECT subject, 0 AS component, round(v, 3) AS eigenvalue, round(v / t, 4) AS share FROM e0 JOIN t0 USING (subject) UNION ALL SELECT subject, 1, round(v, 3), round(v / t, 4) FROM e1 JOIN t0 USING (subject)"""))
+def fisher_leading(spark, sf_dir):
+    """The two leading eigenvalues of each subject's Fisher information, and their shares of its trace, without the matrix."""
+    blocks, nodes = Pool.step_blocks(states_of(spark, sf_dir))
+    out = []
+    for s in sorted(r.subject for r in blocks.select("subject").distinct().collect()):
+        found = Sub.fisher_leading(blocks.where(F.col("subject") == s), len(nodes), 2, tolerance=1e-5)
+        out += [(s, c, float(v), float(v / found.trace) if found.trace else None) for c, v in enumerate(found.values)]
+    return spark.createDataFrame(out, "subject string, component int, eigenvalue double, share double").select("subject", "component", r("eigenvalue", 3), r("share", 4))
+
+
+@query()
+def stable_components(spark, sf_dir):
+    """Components of the embeddings, as many as it takes for the error of their reconstruction to be stable."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    _, found = Sub.until_stable(rows, Sub.vectors_in("v"), 64, 0.01)
+    return spark.createDataFrame(found, "n_components int, explained double, rmse double, stable boolean")
+
+
 # --- correlation families and their nulls
 
 
