@@ -6,12 +6,15 @@ the panel has steps.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrays import array_sums
 from .moments import correlation, functional_connectivity, ratio
 
 SERIES = ("subject", "node")
@@ -139,21 +142,42 @@ def convergence(panel: DataFrame, n_steps: int, value: str = "value") -> DataFra
     """Windows from every start, wrapping round: by length, the root mean square over nodes of (window mean - full mean),
     then mean, standard deviation, least and greatest over the starts.
 
-    A window's sum is the difference of two prefix sums of the series laid twice in a row.
+    A series' prefix sums stand in one row.  All windows of a length are one
+    difference of arrays, made in the tasks; what is shuffled is an array of starts a
+    task, subject and length, whatever the number of nodes.  Steps that lack a value count as 0.
     """
-    v = F.col(value)
-    twice = panel.select("subject", "node", v.alias("v"), F.explode(F.array(F.col("step"), F.col("step") + n_steps)).alias("t"))
-    prefix = F.sum("v").over(W.partitionBy("subject", "node").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    sums = twice.withColumn("c", prefix).groupBy("subject", "node").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("p"))
-    c = F.transform("p", lambda x: x["c"])
-    full = F.element_at(c, n_steps)
-    lengths, starts = F.sequence(F.lit(1), F.lit(n_steps)), F.sequence(F.lit(0), F.lit(n_steps - 1))
-    rows = sums.select("subject", "node", c.alias("c"), full.alias("full"), F.explode(lengths).alias("length")).select("*", F.explode(starts).alias("start"))
-    begin = F.when(F.col("start") > 0, F.element_at("c", F.greatest(F.col("start"), F.lit(1)))).otherwise(0)
-    mean = ratio(F.element_at("c", F.col("start") + F.col("length")) - begin, F.col("length"))
-    error = F.pow(mean - ratio(F.col("full"), F.lit(n_steps)), 2)
-    by_start = rows.groupBy("subject", "length", "start").agg(F.sqrt(F.avg(error)).alias("e"))
-    return by_start.groupBy("subject", F.col("length").cast("long").alias("length")).agg(F.avg("e").alias("mean"), F.stddev_samp("e").alias("sd"), F.min("e").alias("least"), F.max("e").alias("greatest"))
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    series = panel.groupBy("subject", "node").agg(F.collect_list(F.struct(F.col("step").alias("t"), v.alias("v"))).alias("_s"))
+    subjects = sorted(r.subject for r in panel.select("subject").distinct().collect())  # one name a subject
+    number = {s: k for k, s in enumerate(subjects)}
+    series = series.select("subject", F.transform("_s", lambda x: x["t"]).alias("t"), F.transform("_s", lambda x: x["v"]).alias("v")).sortWithinPartitions("subject")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        subject, total, nodes = None, np.zeros((n_steps, n_steps)), 0
+        for batch in batches:
+            for name, t, x in zip(batch["subject"].to_pylist(), batch["t"], batch["v"], strict=True):
+                if name != subject:
+                    yield from ((number[subject] * n_steps + k, np.append(total[k], nodes)) for k in range(n_steps if nodes else 0))
+                    subject, total, nodes = name, np.zeros((n_steps, n_steps)), 0
+                own = np.zeros(n_steps)
+                np.add.at(own, t.values.to_numpy(), x.values.to_numpy())
+                run = np.concatenate([[0.0], np.cumsum(np.concatenate([own, own]))])
+                nodes += 1
+                for k in range(n_steps):  # windows of k + 1 steps
+                    total[k] += ((run[k + 1 : k + 1 + n_steps] - run[:n_steps]) / (k + 1) - run[n_steps] / n_steps) ** 2
+        yield from ((number[subject] * n_steps + k, np.append(total[k], nodes)) for k in range(n_steps if nodes else 0))
+
+    def summed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        x = np.frombuffer(b"".join(c.as_py() for c in group["x"]))
+        e, key = np.sqrt(x[:-1] / x[-1]), group["key"][0].as_py()
+        sd = float(e.std(ddof=1)) if n_steps > 1 else None
+        return pa.table({"_k": [key // n_steps], "length": [key % n_steps + 1], "mean": [float(e.mean())], "sd": pa.array([sd], pa.float64()), "least": [float(e.min())], "greatest": [float(e.max())]})
+
+    summed.__annotations__ = {"group": pa.Table, "return": pa.Table}
+    out = array_sums(series, part).groupBy("key").applyInArrow(summed, "_k long, length long, mean double, sd double, least double, greatest double")
+    names = panel.sparkSession.createDataFrame(list(enumerate(subjects)), f"_k long, subject {panel.schema['subject'].dataType.simpleString()}")
+    return out.join(F.broadcast(names), "_k").select("subject", "length", "mean", "sd", "least", "greatest")
 
 
 def moving_average(panel: DataFrame, length: int, keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binarize as B
 from ..operators import moments as M
+from ..operators import neighbourhood as Near
 from ..operators import permutation as Perm
 from ..operators import relate as R
 from ..operators import statistics as S
@@ -507,9 +508,16 @@ FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice - b.p_r
 def band_neighbours(spark, sf_dir):
     """Mean and sd of the price over all parts of a brand that are near in price and size."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
-    near = R.in_band(parts, ["brand"], {"price": 20, "size": 5})
-    out = near.groupBy("id", "brand").agg(F.count("*").alias("n"), F.avg("price_other").alias("mean"), F.coalesce(F.stddev_samp("price_other"), F.lit(0.0)).alias("sd"))
-    return out.select("id", "brand", "n", r("mean", 4), r("sd", 4))
+    out = Near.near_moments(parts, ["brand"], {"price": 20, "size": 5}, "price")
+    return out.select("id", "brand", F.col("n_near").alias("n"), F.round("mean_near", 4).alias("mean"), F.round(F.coalesce("sd_near", F.lit(0.0)), 4).alias("sd"))
+
+
+@query("""
+SELECT a.p_partkey AS id, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 2 AND abs(a.p_size - b.p_size) <= 1""")
+def band_pairs(spark, sf_dir):
+    """The pairs themselves, of parts of a brand that are very near in price and size."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    return R.in_band(parts, ["brand"], {"price": 2, "size": 1}).select("id", F.col("id_other").alias("other"))
 
 
 GRID = [k / 4 for k in range(-8, 9)]
