@@ -178,7 +178,7 @@ class Index:
 SHARD = "shard long, cluster long, ids binary, words binary, starts binary, most binary, docs binary, impacts binary"
 
 
-def build(docs: DataFrame, levels: int = 5, rounds: int = 2, shard_docs: int = 4096, shard_postings: int = 1 << 21, doc_id: str = "doc_id", text: str = "text") -> Index:
+def build(docs: DataFrame, levels: int = 5, rounds: int = 2, shard_docs: int = 2048, shard_postings: int = 1 << 19, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Index all ``docs`` in ``2 ** levels`` clusters, in shards of about so many documents or postings at most."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = cut(features(docs))
@@ -220,13 +220,13 @@ def build(docs: DataFrame, levels: int = 5, rounds: int = 2, shard_docs: int = 4
     def pack(group: pa.Table) -> pa.Table:
         ids = group["doc_id"].fill_null(NO_ID).to_numpy()
         order = np.argsort(ids, kind="stable")
-        h = [np.frombuffer(x, np.uint64) for x in group["h"].to_pylist()]
-        tf = [np.frombuffer(x, "<u4").astype(np.int64) for x in group["tf"].to_pylist()]
-        doc = np.repeat(np.arange(len(ids)), [len(h[i]) for i in order])
-        length = np.array([int(tf[i].sum()) for i in order])
-        h, tf = np.concatenate([h[i] for i in order]), np.concatenate([tf[i] for i in order])
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        (h, size), (tf, _) = _joined(group["h"], np.uint64), _joined(group["tf"], np.uint32)
+        length = np.add.reduceat(tf.astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
         m = 100 - 50 + (50 * length * n_docs) // n_terms
-        impact = (1_000_000_000 * tf) // (1000 * tf + 20 * m[doc])
+        doc, tf = np.repeat(place, size), tf.astype(np.int64)
+        impact = (1_000_000_000 * tf) // (1000 * tf + 20 * np.repeat(m, size))
         put = np.argsort(h, kind="stable")
         words, starts = np.unique(h[put], return_index=True)
         row = {
@@ -241,6 +241,15 @@ def build(docs: DataFrame, levels: int = 5, rounds: int = 2, shard_docs: int = 4
     return Index(cut(shards, maxRecordsPerFile=4), n_docs, n_terms)
 
 
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of binaries, one after another, and how many each holds."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    edge = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], np.uint8)[edge[0] : edge[-1]].view(kind), np.diff(edge) // width
+
+
 def _asked(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """Rows (item_id, words) of the items that hold a term."""
 
