@@ -15,16 +15,18 @@ signature has values; the values are banded as usual.
    spread-out members which looks nearest by sketch, for some rounds; and
    then against every class of its buckets in another component, unless their
    sketches differ by more than a pair at the threshold can.  This last step
-   makes the result whole: no bucket, partner or pair is capped.
+   makes the result whole: no bucket, partner or pair is capped.  Only classes of
+   like size meet, and the classes of a full bucket are dealt to squares of at
+   most ``SQUARE`` a side, each a join key of its own, so that no task gets a bucket whole.
 4. Links are confirmed on the full sets (64-bit shingle hashes of whole texts,
    sorted; the chance that a collision changes a comparison is below 1e-9).
    Components of the links give each document its ``component_id``.
 
-A sketch holds the parity of the number of shingles in each of ``BITS`` cells (an
-odd sketch).  Two sketches differ in no more cells than the sets differ in
-shingles, so for sets of up to ``SAMPLE`` shingles a pair is never dropped
-wrongly; of larger sets the shingles below a power of two are sketched, and the
-bound has six standard deviations to spare.
+A sketch holds the parity of the number of shingles in each of its cells (an odd
+sketch), of which it has ``BITS`` for up to ``FULL`` shingles and twice as many for
+each doubling.  Two sketches differ in no more cells than the sets differ in
+shingles, so that a pair at the threshold is never dropped, whatever its size.
+A sketch of twice the cells is folded to compare it with a smaller one.
 
 Lists of keys, buckets and pairs are broadcast if a count shows that they are
 few (``FEW`` narrow rows), so that whole texts are not shuffled to find the few
@@ -56,8 +58,10 @@ from .textvec import Powers, mix64, set_key, shingles
 ROWS = 4
 #: Spread-out members of a bucket's central component that others are checked against.
 REPRESENTATIVES = 8
-#: Cells of a sketch, and the most shingles (about) that go into one.
-BITS, SAMPLE = 1024, 2048
+#: Cells of a sketch of a set of at most so many shingles.
+BITS, FULL = 1024, 2048
+#: Classes of a bucket on each side of a join key, about.
+SQUARE = 1024
 #: Shingles of texts compared before that a worker keeps, 8 bytes each.
 MOST_HELD = 1 << 20
 #: Most rows, of a few numbers each, of a list that may be broadcast.
@@ -81,25 +85,62 @@ def min_max(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def level_of(n: int) -> int:
-    """Halvings after which about ``SAMPLE`` of n shingles are left."""
-    return max(0, (n - 1).bit_length() - SAMPLE.bit_length() + 1)
+    """Doublings of the cells for a set of n shingles."""
+    return max(0, (n - 1).bit_length() - FULL.bit_length() + 1)
 
 
 def odd_sketch(s: np.ndarray, level: int) -> np.ndarray:
-    """Parity of each cell as signed words, over the shingles whose upper ``level`` bits are 0."""
-    if level:
-        s = s[: np.searchsorted(s, np.uint64(1) << np.uint64(64 - level))]  # sorted
-    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Parity of each of ``BITS << level`` cells as signed words; none below level 0."""
+    cells = BITS << level if level >= 0 else 0
+    if not cells:
+        return np.zeros(0, np.int64)
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def same_bucket(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """``left(h, key, n, ..)`` joined with ``right(_h, a_key, a_n, ..)`` of the same bucket and of a size within ``percent``, square by square."""
+    left, right = squares(left, right, percent)
+    on = (F.col("h") == F.col("_h")) & (F.col("_z") == F.col("_z2")) & (F.col("_i") == F.col("r_j")) & (F.col("_j") == F.col("r_i"))
+    fits = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
+    return left.join(right, on).where(fits).drop("_z", "_z2", "_i", "_j", "r_i", "r_j")
+
+
+def squares(left: DataFrame, right: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of :func:`same_bucket` with the columns of its join key.
+
+    Sizes are cut into ranges so wide that two sizes within ``percent`` lie in
+    the same or in neighbouring ones; bucket and range are the join's key, with the
+    numbers of a square where they hold more than ``SQUARE`` classes of a side.
+    """
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    size = lambda n: F.floor(F.log(F.col(n).cast("double")) / width).cast("long")
+    left = left.withColumn("_z", F.explode(F.sequence(size("n") - 1, size("n") + 1)))
+    right = right.withColumn("_z2", size("a_n"))
+    full = []
+    for df, h, z, parts in ((left, "h", "_z", "_p"), (right, "_h", "_z2", "_q")):
+        held = df.groupBy(F.col(h).alias("_b"), F.col(z).alias("_s")).agg(F.ceil(F.count("*") / SQUARE).cast("int").alias(parts))
+        full.append(held.where(F.col(parts) > 1))
+    full = cut(full[0].join(full[1], ["_b", "_s"], "full_outer").select("_b", "_s", F.coalesce("_p", F.lit(1)).alias("_p"), F.coalesce("_q", F.lit(1)).alias("_q")))
+    split = small(full)
+
+    def dealt(df: DataFrame, h: str, z: str, own: str, other: str, side: str) -> DataFrame:
+        """Rows dealt to their own parts by key, and copied to each part of the other side."""
+        df = df.join(split, (F.col(h) == F.col("_b")) & (F.col(z) == F.col("_s")), "left").drop("_b", "_s")
+        mine = F.coalesce(F.pmod(F.xxhash64("key" if side == "" else "a_key"), F.col(own)), F.lit(0)).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        return df.withColumn(f"{side}_i", mine).withColumn(f"{side}_j", theirs).drop("_p", "_q")
+
+    return dealt(left, "h", "_z", "_p", "_q", ""), dealt(right, "_h", "_z2", "_q", "_p", "r")
+
+
 def text_hash() -> Column:
     """Tells apart the texts that stand under one doc_id."""
     return F.xxhash64("text").alias("text_hash")
 
 
 def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
-    """doc_id, text_hash, key (of the shingle set), n_shingles, bands, and the sketches of the set's level and the next, for each row."""
+    """doc_id, text_hash, key (of the shingle set), n_shingles, bands, and the sketches of the set's level and the one below, for each row."""
     perms = bands * ROWS // 2
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +165,7 @@ def signatures(docs: DataFrame, k: int, bands: int, seed: int = 5) -> DataFrame:
                     h = mix64(h ^ v) + v
                 buckets.append(h.view(np.int64))
                 fine.append(odd_sketch(s, level_of(len(s))))
-                coarse.append(odd_sketch(s, level_of(len(s)) + 1))
+                coarse.append(odd_sketch(s, level_of(len(s)) - 1))
             yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "key": keys, "n_shingles": counts, "bands": buckets, "fine": fine, "coarse": coarse})
 
     return docs.select("doc_id", "text", text_hash()).mapInPandas(run, "doc_id long, text_hash long, key binary, n_shingles long, bands array<long>, fine array<long>, coarse array<long>")
@@ -204,17 +245,13 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6,
     edges = confirmed(tried, texts, k, percent)
     roots = components(edges)
 
-    # the most that two sets at the threshold may differ in, as seen in their sketches
-    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(F.col(n).cast("double"))) - (SAMPLE.bit_length() - 1)).cast("int")
-    common = F.greatest(F.col("level"), F.col("a_level"))
+    # two sets at the threshold differ in so many shingles at most, and their sketches in no more cells
+    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(F.col(n).cast("double"))) - (FULL.bit_length() - 1)).cast("int")
+    common = F.least(F.col("level"), F.col("a_level"))
     of = lambda side: F.when(F.col(f"{side}level") == common, F.col(f"{side}fine")).otherwise(F.col(f"{side}coarse"))
     differ = F.aggregate(F.zip_with(of(""), of("a_"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    scale = F.pow(F.lit(2.0), common)
-    most = (100 - percent) / (100 + percent) * (F.col("n") + F.col("a_n")) / scale
-    most = F.when(common > 0, most + 6 * F.sqrt(most)).otherwise(most)
-    cells = BITS / 2 * (1 - F.exp(-2 * most / BITS))  # expected of so many differences
-    near = differ <= F.least(most, cells + 6 * F.sqrt(cells)) + 1e-9
-    apart = differ * scale / (F.col("n") + F.col("a_n"))
+    near = (F.abs(F.col("level") - F.col("a_level")) > 1) | (differ <= (100 - percent) / (100 + percent) * (F.col("n") + F.col("a_n")) + 1e-9)
+    apart = differ / (F.col("n") + F.col("a_n"))
     whole = ("key", "doc", "n", "root", "level", "fine", "coarse")
     for last in [False] * rounds + [True]:
         # buckets of several components, and the component of the most central class of each
@@ -230,8 +267,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6,
             chosen = wide.where("root = main").groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("x"))
             right = cut(chosen.select("h", F.explode("x").alias("x")).select("h", "x.*"))
         right = right.select(F.col("h").alias("_h"), *[F.col(c).alias(f"a_{c}") for c in whole])
-        close = (F.col("h") == F.col("_h")) & (F.col("root") != F.col("a_root")) & fits(F.col("a_n")) & near
-        found = wide.where("root != main").join(right, close)
+        found = same_bucket(wide.where("root != main"), right, percent).where((F.col("root") != F.col("a_root")) & near)
         a, b = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), _pairs(found.select("key", "doc", "a_key", "a_doc", apart.alias("apart")), "apart", "key")
         new = b.join(small(cut(a), FEW), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
         if not last:  # the one that looks nearest
