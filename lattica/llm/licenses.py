@@ -1,7 +1,8 @@
 """License scans: a positional index of rare licence words.
 
 Templates are licence notices: the short forms in which a licence is named
-(``FORMS`` by ``NAMES``) and the openings of its full text.  The index holds the
+(``FORMS`` by ``NAMES``), file headers and parts of full texts that tell licences
+apart (``NOTICES``), and ``HEADINGS`` of legal texts.  The index holds the
 words that stand in at most a quarter of the templates, with their inverse
 template frequency (IDF) and postings (template, position).
 
@@ -62,41 +63,99 @@ NAMES = {
 }
 # The ways in which a notice names a licence.
 FORMS = ("licensed under the {}", "licensed under {}", "released under the {}", "distributed under the terms of the {}", "available under the {}")
-# Openings of full notices, and the phrases that each must hold.
+# Full notices, file headers and parts of texts that tell licences apart, and the phrases that each must hold.
 NOTICES = {
     "MIT": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
         ("permission is hereby granted", "without restriction"),
     ),
     "Apache-2.0": (
-        "licensed under the apache license version 2 0 you may not use this file except in compliance with the license "
-        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing",
+        "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org "
+        "licenses license 2 0 unless required by applicable law or agreed to in writing",
         ("apache license", "version 2 0"),
     ),
+    "GPL-2.0": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 2 of the license or at your option any later version",
+        ("gnu general public license", "free software foundation", "version 2 of the license"),
+    ),
     "GPL-3.0": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
         "either version 3 of the license or at your option any later version",
-        ("gnu general public license", "free software foundation", "version 3"),
+        ("gnu general public license", "free software foundation", "version 3 of the license"),
+    ),
+    "LGPL-2.1": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software "
+        "foundation either version 2 1 of the license or at your option any later version",
+        ("gnu lesser general public license", "free software foundation", "version 2 1 of the license"),
+    ),
+    "LGPL-3.0": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software "
+        "foundation either version 3 of the license or at your option any later version",
+        ("gnu lesser general public license", "free software foundation", "version 3 of the license"),
+    ),
+    "AGPL-3.0": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software "
+        "foundation either version 3 of the license or at your option any later version",
+        ("gnu affero general public license", "free software foundation", "version 3 of the license"),
+    ),
+    "MPL-2.0": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http "
+        "mozilla org mpl 2 0",
+        ("mozilla public license v 2 0",),
     ),
     "BSD-2-Clause": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        ("redistribution and use in source and binary forms", "following conditions are met"),
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+        "provided with the distribution this software is provided by the copyright holders and contributors as is",
+        ("redistributions in binary form", "with the distribution this software is provided by"),
+    ),
+    "BSD-3-Clause": (
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+        "provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+        ("redistributions in binary form", "neither the name of", "endorse or promote products derived from this software"),
     ),
     "ISC": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
-        "provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies",
         ("with or without fee is hereby granted",),
     ),
+    "CC0-1.0": (
+        "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+        ("to the extent possible under law", "cc0", "waived all copyright"),
+    ),
+}
+# Headings of the legal texts.
+HEADINGS = {
+    "CC-BY-4.0": (
+        "creative commons attribution 4 0 international public license",
+        ("creative commons attribution 4 0 international public license",),
+    ),
+    "CC-BY-SA-4.0": (
+        "creative commons attribution sharealike 4 0 international public license",
+        ("attribution sharealike 4 0 international",),
+    ),
+    "CC-BY-NC-4.0": (
+        "creative commons attribution noncommercial 4 0 international public license",
+        ("attribution noncommercial 4 0 international",),
+    ),
+    "CC-BY-ND-4.0": (
+        "creative commons attribution noderivatives 4 0 international public license",
+        ("attribution noderivatives 4 0 international",),
+    ),
+    "CC0-1.0": (
+        "creative commons legal code cc0 1 0 universal",
+        ("cc0 1 0 universal",),
+    ),
 }
 Template = tuple[str, str, tuple[str, ...]]
 
 
-def templates_of(names: Mapping[str, Sequence[str]] = NAMES, forms: Sequence[str] = FORMS, notices: Mapping[str, tuple[str, Sequence[str]]] = NOTICES) -> list[Template]:
-    """(label, words, key phrases) of every name in every form, whose key phrase is the name, and of every notice."""
+def templates_of(names: Mapping[str, Sequence[str]] = NAMES, forms: Sequence[str] = FORMS, notices: Mapping[str, tuple[str, Sequence[str]]] = NOTICES, headings: Mapping[str, tuple[str, Sequence[str]]] = HEADINGS) -> list[Template]:
+    """(label, words, key phrases) of every name in every form, whose key phrase is the name, and of every notice and heading."""
     short = [(label, form.format(name), (name,)) for label, own in names.items() for name in own for form in forms]
-    return short + [(label, text, tuple(keys)) for label, (text, keys) in notices.items()]
+    return short + [(label, text, tuple(keys)) for own in (notices, headings) for label, (text, keys) in own.items()]
 
 
 class Index:

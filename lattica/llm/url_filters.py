@@ -10,8 +10,12 @@ even the lower bound of its rate is above the limit, which is the rate of
 all pages unless named.  Only built-in functions are used; the beta distribution
 function is a continued fraction.
 
-The registered domain is a host's last two labels and the suffix its last one,
-unless ``suffixes`` names longer suffixes.  A null url, or one without ``://``,
+For the levels a host is taken without user name, port and closing dots.  The
+suffix is its longest ending among ``suffixes`` (``SUFFIXES`` unless others are
+named), otherwise its last label; the registered domain has one label more.  A
+host that is a suffix itself is its own domain.  An address (four numbers, or in
+brackets) is its own domain, and all addresses share the suffix ``(address)``.
+A null url, or one without ``://``,
 has an empty host and path, fits no rule and is judged by the empty host's
 outcomes.  Urls of any length are read whole.  Null outcomes are not counted.  Repeated rows are judged alike, and
 each counts as an outcome.  A host without outcomes has its domain's rate, and
@@ -28,6 +32,19 @@ from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, small
 
+# Public suffixes of more than one label, under which anyone may register or get a name.
+SUFFIXES = (
+    "co.uk", "org.uk", "me.uk", "ac.uk", "gov.uk", "net.uk", "ltd.uk", "plc.uk", "sch.uk",
+    "com.au", "net.au", "org.au", "edu.au", "gov.au", "id.au", "co.nz", "net.nz", "org.nz", "ac.nz", "govt.nz",
+    "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "go.kr", "ac.kr",
+    "com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "com.tw", "org.tw", "edu.tw", "com.hk", "org.hk", "edu.hk", "com.sg", "edu.sg", "com.my", "co.th", "ac.th", "co.id", "ac.id", "or.id", "com.ph", "com.vn",
+    "co.in", "net.in", "org.in", "ac.in", "gov.in", "com.pk", "com.bd", "com.np",
+    "com.br", "net.br", "org.br", "gov.br", "edu.br", "com.ar", "gob.ar", "com.mx", "org.mx", "gob.mx", "com.co", "com.pe", "com.ve", "com.ec", "com.uy",
+    "co.za", "org.za", "ac.za", "co.ke", "com.ng", "com.eg", "com.gh",
+    "com.tr", "org.tr", "gov.tr", "edu.tr", "co.il", "org.il", "ac.il", "com.sa", "com.ua", "com.ru", "com.pl", "net.pl", "org.pl", "com.es", "com.pt", "com.gr", "co.at", "or.at", "ac.at", "gv.at", "asso.fr", "gouv.fr",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "appspot.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "web.app", "azurewebsites.net", "cloudfront.net",
+)
+ADDRESS = "(address)"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -55,15 +72,20 @@ def rule_columns(rules: Sequence[tuple[str, str]], host: Column, path: Column) -
     return (none, none) if rule is None else (rule, verdict)
 
 
-def _levels(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
+def levels(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
     """Registered domain and suffix of a host."""
-    suffix = F.substring_index(host, ".", -1)
-    for s in sorted(suffixes, key=len):
-        suffix = F.when((host == s) | F.endswith(host, F.lit(f".{s}")), s).otherwise(suffix)
-    labels = F.size(F.split(suffix, r"\.")) + 1
-    parts = F.split(host, r"\.")
-    domain = F.array_join(F.slice(parts, -F.least(labels, F.size(parts)), F.least(labels, F.size(parts))), ".")
-    return domain, suffix
+    bare = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"(:[^:\]]*|\.+)+$", "")
+    address = F.rlike(bare, F.lit(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\]?)$"))
+    parts = F.split(bare, r"\.")
+    known = F.array(*[F.lit(s) for s in suffixes]) if suffixes else F.array().cast("array<string>")
+    n = F.size(parts)
+    last = lambda k: F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), F.least(n, k)), ".")
+    longest = max((s.count(".") + 1 for s in suffixes), default=1)
+    labels = F.lit(1)
+    for k in range(2, longest + 1):
+        labels = F.when((n >= k) & F.array_contains(known, last(F.lit(k))), k).otherwise(labels)
+    suffix = F.when(address, ADDRESS).otherwise(last(labels))
+    return F.when(address, bare).otherwise(last(labels + 1)), suffix
 
 
 def _strength(counts: DataFrame, prior: str, low: float = 2.0, high: float = 1000.0) -> float:
@@ -121,7 +143,7 @@ def beta_above(limit: Column, a: Column, b: Column) -> Column:
     return _let(given, fraction)
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = (), limit: float | None = None) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES, limit: float | None = None) -> DataFrame:
     """One row for each host of ``pages(host)`` or ``outcomes(host, bad)``.
 
     Columns: host, n, bad, rate (posterior mean) and above (the posterior
@@ -129,7 +151,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] =
     """
     both = outcomes.where("bad is not null").select("host", F.lit(1).alias("n"), F.col("bad").cast("long").alias("bad"))
     seen = pages.select("host", F.lit(0).alias("n"), F.lit(0).cast("long").alias("bad"))
-    domain, suffix = _levels(F.col("host"), suffixes)
+    domain, suffix = levels(F.col("host"), suffixes)
     hosts = cut(both.unionByName(seen).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", domain).withColumn("suffix", suffix))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     if not total.n:
@@ -148,7 +170,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] =
     return hosts.select("host", "n", "bad", a.alias("_a"), b.alias("_b")).select("host", "n", "bad", (F.col("_a") / (F.col("_a") + F.col("_b"))).alias("rate"), above.alias("above"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], sure: float = 0.95, suffixes: Sequence[str] = (), limit: float | None = None) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], sure: float = 0.95, suffixes: Sequence[str] = SUFFIXES, limit: float | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict and the host's n, bad, rate and above.
 
     ``outcomes`` holds (url, bad).  A fitting rule decides; the host's

@@ -29,7 +29,7 @@ def test_index_finds_what_a_plain_search_finds(index):
     rng = random.Random(3)
     filler = [f"w{i}" for i in range(50)] + ["the", "license", "under", "version", "2", "0", "gnu", "by", "4"]
     n = 0
-    for _ in range(150):
+    for _ in range(200):
         words = [rng.choice(filler) for _ in range(rng.randrange(30))]
         for _ in range(rng.randrange(3)):
             own = rng.choice(TEMPLATES)[1].split()
@@ -75,3 +75,36 @@ def test_long_texts_and_other_templates(spark):
     assert [[m.template for m in x.matches] for x in got] == [["MIT"], ["MIT"], [], []] and got[0].n_words == 100_005
     own = L.scan(rows.limit(1), templates=[("x", "released under", ("released",))]).first()
     assert [m.template for m in own.matches] == ["x"]
+
+
+# Public file headers and texts, as they stand in files.
+HEADERS = {
+    "GPL-2.0": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-2-Clause": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "BSD-3-Clause": "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International Public License",
+    "CC0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+}
+
+
+@pytest.mark.parametrize("label", HEADERS)
+def test_headers_and_texts(index, label):
+    """Each is found alone, between other words, and with a word lost or put in outside its key phrases, under its own label only."""
+    words = L.WORD.findall(HEADERS[label].lower())
+    assert set(index.matches(words)) == {label}
+    assert set(index.matches(["import", "sys"] * 20 + words + ["def", "main"] * 20)) == {label}
+    if len(words) > 20:
+        keys = [k for t, _, ks in TEMPLATES if t == label for k in ks]
+        for at in range(len(words)):
+            own = [*words[:at], *words[at + 1 :]]
+            if all(f" {k} " in f" {' '.join(own)} " for k in keys if f" {k} " in f" {' '.join(words)} "):
+                assert set(index.matches(own)) == {label}

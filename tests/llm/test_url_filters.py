@@ -53,3 +53,59 @@ def test_odd_urls_columns_and_empty_tables(spark):
     assert len(rows) == 5 and got.columns.count("bad") == 1 and {x.low for x in rows} == {"mine"}
     assert [x.verdict for x in rows if x.page_id == 1] == ["block", "block"] and {x.host for x in rows} == {"long.example.org", "", "a.b"}
     assert U.judge(pages.limit(0), outcomes, ()).count() == 0 and {x.verdict for x in U.judge(pages, outcomes.limit(0), ()).collect()} == {"allow"}
+
+
+def test_levels_of_hosts(spark):
+    """Ports, user names, closing dots, addresses, and suffixes of several labels."""
+    want = {
+        "www.a.co.uk": ("a.co.uk", "co.uk"), "a.co.uk": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "shop.example.com:8080": ("example.com", "com"), "u:p@x.example.com": ("example.com", "com"),
+        "me.github.io": ("me.github.io", "github.io"), "example.com.": ("example.com", "com"), "example.com.:80": ("example.com", "com"), "10.0.0.1": ("10.0.0.1", U.ADDRESS), "10.0.0.1:443": ("10.0.0.1", U.ADDRESS),
+        "[::1]:8080": ("[::1]", U.ADDRESS), "localhost": ("localhost", "localhost"), "": ("", ""), "1.2.3.4.example.com": ("example.com", "com"), "u@x.com": ("x.com", "com"),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = U.levels(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in rows.select("host", domain.alias("d"), suffix.alias("s")).collect()} == want
+    domain, suffix = U.levels(F.col("host"), ())
+    assert {r.s for r in rows.where("host = 'a.co.uk'").select(suffix.alias("s")).collect()} == {"uk"}
+
+
+def test_verdicts_by_hand(spark, smoke):
+    """The posterior of every host of the query, by plain arithmetic over its levels, and the verdict of every page without a rule."""
+    from lattica.llm import queries as Q
+
+    pages = spark.read.parquet(f"{smoke}/pages.parquet").collect()
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{smoke}/labels.parquet").collect()}
+    host = {p.page_id: (p.url.split("://", 1)[1] if p.url and "://" in p.url else "").split("/")[0].split("?")[0].split("#")[0].lower() for p in pages}
+    counts: dict = {}
+    for p in pages:
+        n, bad = counts.get(host[p.page_id], (0, 0))
+        r = labels.get(p.page_id)
+        if r is not None and (r.quality is not None or r.toxic is not None):
+            n, bad = n + 1, bad + int((1 if r.quality is None else r.quality) == 0 or (r.toxic or 0) == 1)
+        counts[host[p.page_id]] = n, bad
+    every = (sum(b for _, b in counts.values()) + 0.5) / (sum(n for n, _ in counts.values()) + 1)
+
+    def shrunk(units: dict, up) -> tuple[dict, float]:
+        rho_top = sum((b - n * up(u)) ** 2 - n * up(u) * (1 - up(u)) for u, (n, b) in units.items() if n > 1 and 0 < up(u) < 1)
+        rho_low = sum(n * (n - 1) * up(u) * (1 - up(u)) for u, (n, b) in units.items() if n > 1 and 0 < up(u) < 1)
+        rho = rho_top / rho_low if rho_low else 0
+        k = 1000.0 if rho <= 1 / 1001 else max(2.0, 1 / rho - 1)
+        return {u: (b + k * up(u)) / (n + k) for u, (n, b) in units.items()}, k
+
+    def grouped(of) -> dict:
+        out: dict = {}
+        for h, (n, b) in counts.items():
+            m, c = out.get(of(h), (0, 0))
+            out[of(h)] = m + n, c + b
+        return out
+
+    last = lambda k: lambda h: ".".join(h.split(".")[-k:])
+    by_suffix, _ = shrunk(grouped(last(1)), lambda s: every)
+    by_domain, _ = shrunk(grouped(last(2)), lambda d: by_suffix[last(1)(d)])
+    _, k = shrunk(counts, lambda h: by_domain[last(2)(h)])
+    for r in Q.op3_url_filters(spark, smoke).where("rule is null").collect():
+        n, bad = counts[r.host]
+        p = by_domain[last(2)(r.host)]
+        above = plain_above(every, bad + k * p, n - bad + k * (1 - p))
+        if abs(above - 0.95) > 1e-3:
+            assert r.verdict == ("block" if above > 0.95 else "allow")
