@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def merged_tree(panel: DataFrame, value: str = "state") -> DataFrame:
     """Merge the two series whose sum has the greatest sum of squares, put the sum in their place, and go on.
@@ -45,12 +47,21 @@ def merged_tree(panel: DataFrame, value: str = "state") -> DataFrame:
 
 
 def leaves_of(tree: DataFrame, node: int, subject: str) -> DataFrame:
-    """The leaves under a node of one subject's tree, by a recursive query."""
-    spark = tree.sparkSession
-    view = "tree_of_leaves"
-    tree.where(F.col("subject") == subject).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE below(node) AS (
-            SELECT CAST({int(node)} AS BIGINT)
-            UNION ALL SELECT explode(array(left, right)) FROM {view} JOIN below ON parent = below.node)
-        SELECT node FROM below WHERE node NOT IN (SELECT parent FROM {view})""")
+    """The leaves under a node of one subject's tree; a leaf's own is itself.
+
+    Every number points to its parent and then, round after round, to where its
+    pointer points, but not beyond ``node``: a tree of depth d takes about log2(d) rounds.
+    """
+    own = tree.where(F.col("subject") == subject)
+    up = own.select(F.explode(F.array("left", "right")).alias("node"), F.col("parent").alias("to"))
+    leaves = up.select("node").join(own.select(F.col("parent").alias("node")), "node", "left_anti")
+    top = own.select(F.col("parent").alias("node")).join(up.select("node"), "node", "left_anti")
+    here = F.lit(int(node)).cast("long")
+    points = written(up.unionByName(top.withColumn("to", F.col("node"))).withColumn("to", F.when(F.col("node") == here, here).otherwise(F.col("to"))))
+    while True:
+        then = points.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        new = written(points.join(then, "to").select("node", "to", "then"))
+        if not new.where("then != to").limit(1).count():
+            break
+        points = new.select("node", F.col("then").alias("to"))
+    return leaves.join(points.where(F.col("to") == here), "node", "left_semi")

@@ -85,3 +85,16 @@ def test_event_time_windows(spark, tmp_path):
         q = make(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / f"at-{name}")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / name)).start()
         q.awaitTermination(120)
         assert sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / name)).collect()) == want
+
+
+def test_leaves_of_a_chain_of_merges(spark):
+    """A tree as deep as 360 nodes can make it, and a node in its middle."""
+    from lattica.operators.cluster import leaves_of
+
+    n = 360
+    rows = [(n + k, 0 if k == 0 else n + k - 1, k + 1, float(k), "a") for k in range(n - 1)]
+    tree = spark.createDataFrame(rows, "parent long, left long, right long, height double, subject string")
+    assert sorted(r.node for r in leaves_of(tree, 2 * n - 2, "a").collect()) == list(range(n))
+    assert sorted(r.node for r in leaves_of(tree, n + 99, "a").collect()) == list(range(101))
+    assert [r.node for r in leaves_of(tree, 5, "a").collect()] == [5]
+    assert leaves_of(tree, 2 * n - 2, "b").count() == 0
