@@ -3,10 +3,14 @@
 The trees are fitted on a bounded sample of distinct vectors (``sample_rows``,
 those of least hash, and of at most ``sample_bytes``; everything else covers all rows): a node splits its part
 of the sample at the median of the projection on the difference of two of its
-points.  All vectors are then dealt to the leaves.  A query goes through one
+points.  All vectors are then dealt to the leaves, and the index is written once,
+by tree and leaf, in blocks of bounded size.  A query goes through one
 priority queue that all trees share, nearest margins first, and collects leaves
-until they hold ``search`` vectors.  The candidates are joined, made distinct
-and reranked by the exact cosine in double precision.
+until they hold ``search`` vectors.  Queries come in batches of bounded size that
+every task of the index has at hand: a task goes through its leaves, multiplies
+each with the queries that visit it, and keeps each query's nearest by the exact
+cosine in double precision.  So neither the index nor the queries are shuffled
+for a search, and a leaf that many queries visit is no task's group.
 
 Equal vectors are one node of the index, with the ids of its ``k + 1`` least
 rows, so that a vector that many rows hold meets a query once; queries with
@@ -133,17 +137,101 @@ def _unit(x: np.ndarray) -> np.ndarray:
 _KEY = pa.struct([("cid", pa.int64()), ("h", pa.int64())])
 
 
+def _batches(probes: DataFrame, most: int) -> Iterator[list]:
+    rows = []
+    for r in probes.toLocalIterator():
+        rows.append(r)
+        if len(rows) == most:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def _searched(asked: list, k: int, trees: int):
+    """What a task makes of its part of the index for a batch of queries: (qid, cid, score) of the nearest of each."""
+    q = np.array([r.v for r in asked], np.float64)
+    sizes = np.sqrt((q * q).sum(axis=1))
+    qid = np.array([(r.qid.cid, r.qid.h) for r in asked], np.int64)
+    leaf = np.concatenate([np.array(r.visits, np.int64) for r in asked])
+    owner = np.repeat(np.arange(len(asked)), [len(r.visits) for r in asked])
+    order = np.argsort(leaf, kind="stable")
+    leaf, owner = leaf[order], owner[order].astype(np.int32)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = -1
+        best: tuple[np.ndarray, ...] = ()
+        least = np.full(len(asked), -np.inf)
+
+        def result() -> pa.RecordBatch:
+            who, cid, h, score = best
+            struct = lambda a, b: pa.StructArray.from_arrays([pa.array(a), pa.array(b)], fields=list(_KEY))
+            return pa.RecordBatch.from_arrays([struct(qid[who, 0], qid[who, 1]), struct(cid, h), pa.array(score)], names=["qid", "cid", "score"])
+
+        for part in parts:
+            if not len(part):
+                continue
+            c, own = _matrix(part["v"]), part["leaf"].to_numpy(zero_copy_only=False)
+            which = part["tree"].to_numpy(zero_copy_only=False)
+            cid, h = (part["cid"].field(f).to_numpy(zero_copy_only=False) for f in ("cid", "h"))
+            norm = np.sqrt((c * c).sum(axis=1))
+            turns = np.flatnonzero(np.diff(which, prepend=-1) | np.diff(own, prepend=-1))
+            found = []
+            for a, b in zip(turns, np.append(turns[1:], len(c)), strict=True):
+                if which[a] != tree:  # a vector stands once in a tree, so nothing is kept twice
+                    best = _merged(best, found, k)
+                    found = []
+                    if len(best) and len(best[0]):
+                        yield result()
+                    tree, best = int(which[a]), ()
+                    least[:] = -np.inf
+                at = int(own[a]) * trees + tree
+                who = owner[np.searchsorted(leaf, at) : np.searchsorted(leaf, at, "right")]
+                if not len(who):
+                    continue
+                near = (q[who] @ c[a:b].T) / (sizes[who][:, None] * norm[a:b])
+                edge = least[who]
+                if b - a > k + 1:
+                    edge = np.maximum(edge, -np.partition(-near, k, axis=1)[:, k])
+                i, j = np.nonzero(near >= (edge - 1e-9)[:, None])
+                j = j + a
+                # once more, element by element, so that a pair has one score whatever the batch
+                score = (q[who[i]] * c[j]).sum(axis=1) / (sizes[who[i]] * norm[j])
+                found.append((who[i], cid[j], h[j], score))
+            best = _merged(best, found, k)
+            if len(best):
+                counts = np.bincount(best[0], minlength=len(asked))
+                full = counts > k
+                least[full] = best[3][np.cumsum(counts)[full] - 1]
+        if len(best) and len(best[0]):
+            yield result()
+
+    return run
+
+
+def _merged(best: tuple, found: list[tuple], k: int) -> tuple:
+    """The ``k + 1`` nearest of each query, ordered by query, score and id."""
+    if not found:
+        return best
+    who, cid, h, score = (np.concatenate(x) for x in zip(*([best] if best else []), *found, strict=True))
+    order = np.lexsort((h, cid, -score, who))
+    who = who[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) <= k
+    order = order[keep]
+    return who[keep], cid[order], h[order], score[order]
+
+
 def neighbours(
     rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
-    trees: int = 8, leaves: int = 64, least_leaf: int = 8, search: float = 1.0, block: int = 4096, sample_rows: int = 100_000, sample_bytes: int = 64 << 20, seed: int = 9,
+    trees: int = 8, leaves: int = 64, least_leaf: int = 8, search: float = 1.0, block: int = 16_384, batch: int = 4096, sample_rows: int = 100_000, sample_bytes: int = 64 << 20, seed: int = 9,
 ) -> DataFrame:
     """Of each row for which the column ``is_query`` holds, the ``k`` nearest rows found.
 
     Returns query_id, rank, vec_id, score.  A tree has about ``leaves`` leaves
     (of ``least_leaf`` sampled rows at least); a query's queue ends when the
     leaves taken from all trees together hold ``search`` times the index, with
-    repeats among trees.  Leaves of more than about ``block`` vectors are dealt
-    to several tasks.
+    repeats among trees.  The index is written in blocks of about ``block`` vectors
+    of a tree, and ``batch`` queries are searched at once.
     """
     rows = usable(rows, vec_id, vector)
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -162,47 +250,32 @@ def neighbours(
     leaf = max(least_leaf, -(-len(x) // leaves))
     shared = rows.sparkSession.sparkContext.broadcast([fit_tree(x, leaf, rng) for _ in range(trees)])  # bounded by sample_rows
     goal = search * len(x)
-    blocks = max(1, round(leaf * n_all / max(1, len(x)) / block))
+    blocks = max(1, -(-n_all // block))
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             x = _unit(_matrix(part["v"]))
             own = part["cid"].field("h").to_numpy(zero_copy_only=False) % blocks
             for t, tree in enumerate(shared.value):
-                at = (leaves_of(tree, x) * trees + t) * blocks + own
-                yield pa.RecordBatch.from_arrays([pa.array(at), part["cid"], part["v"]], names=["leaf", "cid", "v"])
+                names = ["tree", "own", "leaf", "cid", "v"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(own), pa.array(leaves_of(tree, x)), part["cid"], part["v"]], names=names)
 
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [search_leaves(shared.value, q, goal) for q in _unit(_matrix(part["v"]))]
-            at = np.array([(n * trees + t) * blocks + b for f in found for t, n in f for b in range(blocks)], np.int64)
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(f) * blocks for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(at), part["qid"].take(owner), part["v"].take(owner)], names=["leaf", "qid", "v"])
-
-    def rerank(probes: pa.Table, index: pa.Table) -> pa.Table:
-        if not len(probes) or not len(index):
-            return pa.table({"qid": probes["qid"].slice(0, 0) if len(probes) else pa.array([], _KEY), "cid": pa.array([], _KEY), "score": pa.array([], pa.float64())})
-        q, c = _matrix(probes["v"]), _matrix(index["v"])
-        nq, nc = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
-        least = index["cid"].combine_chunks().field("cid").to_numpy(zero_copy_only=False)
-        first, out = min(len(c), k + 1) - 1, []
-        for at in range(0, len(q), 256):  # by blocks of products; then once more, element by element
-            near = (q[at : at + 256] @ c.T) / nc
-            edge = -np.partition(-near, first, axis=1)[:, first]
-            a, b = np.nonzero(near >= (edge - 1e-9 * nq[at : at + 256])[:, None])
-            score = (q[at + a] * c[b]).sum(axis=1) / (nq[at + a] * nc[b])
-            order = np.lexsort((least[b], -score, a))  # of equal scores the smaller ids
-            a, b, score = a[order], b[order], score[order]
-            place = np.arange(len(a)) - np.searchsorted(a, a)
-            out.append((at + a[place <= k], b[place <= k], score[place <= k]))
-        a, b, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"qid": probes["qid"].take(pa.array(a)), "cid": index["cid"].take(pa.array(b)), "score": score})
+            found = [[n * trees + t for t, n in search_leaves(shared.value, q, goal)] for q in _unit(_matrix(part["v"]))]
+            yield pa.RecordBatch.from_arrays([part["qid"], part["v"], pa.array(found, pa.list_(pa.int64()))], names=["qid", "v", "visits"])
 
     key = "struct<cid:long,h:long>"
     kind = classes.schema["v"].dataType.simpleString()
-    index = classes.select("v", "cid").mapInArrow(deal, f"leaf long, cid {key}, v {kind}")
-    probes = classes.join(wanted, F.col("cid") == F.col("qid")).select("v", "qid").mapInArrow(probe, f"leaf long, qid {key}, v {kind}")
-    scored = probes.groupBy("leaf").cogroup(index.groupBy("leaf")).applyInArrow(rerank, f"qid {key}, cid {key}, score double")
+    index = classes.select("v", "cid").mapInArrow(deal, f"tree long, own long, leaf long, cid {key}, v {kind}")
+    index = cut(index.repartition("tree", "own").sortWithinPartitions("tree", "own", "leaf"))
+    probes = cut(classes.join(wanted, F.col("cid") == F.col("qid")).select("v", "qid").mapInArrow(probe, f"qid {key}, v {kind}, visits array<long>"))
+    scored = None
+    for asked in _batches(probes.orderBy("qid"), batch):
+        found = cut(index.mapInArrow(_searched(asked, k, trees), f"qid {key}, cid {key}, score double"))
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = probes.select("qid", F.col("qid").alias("cid"), F.lit(0.0).alias("score"))  # no queries
     scored = scored.groupBy("qid", "cid").agg(F.max("score").alias("score"))
     # one class more than asked for: a query's own may hold no other row
     best = scored.withColumn("_n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "cid"))).where(F.col("_n") <= k + 1)
