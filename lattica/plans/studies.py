@@ -332,17 +332,36 @@ def lstsq_many(spark, sf_dir):
     return out.select("status", "n", r("b_l_quantity", 3), r("b_l_discount", 2), r("b_l_tax", 2), r("intercept", 2), r("r2"))
 
 
-@query()
+SPLIT_FITS = """
+, own AS (SELECT concat_ws('-', subject, node) AS key, x, x2, y FROM study),
+sp AS (SELECT range AS split FROM range(20)),
+pl AS (SELECT key, row_number() OVER (ORDER BY md5(key), key) AS place FROM own),
+dr AS (SELECT key, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat('null', key, '-', split)), key) AS place FROM own CROSS JOIN sp),
+mv AS (SELECT dr.split, pl.key, dr.key AS partner FROM pl JOIN dr USING (place)),
+al AS (SELECT 'own' AS features, split, key, x, x2, y FROM own CROSS JOIN sp UNION ALL SELECT 'moved', mv.split, r.key, l.x, l.x2, r.y FROM mv JOIN own l ON l.key = mv.key JOIN own r ON r.key = mv.partner),
+pt AS (SELECT *, CAST(concat('0x', substr(md5(concat(key, '-', split)), 1, 8)) AS BIGINT) < 2147483648 AS train FROM al),
+cv AS (SELECT features, split, avg(x) AS ma, avg(x2) AS mb, avg(y) AS my, var_pop(x) AS aa, var_pop(x2) AS bb, covar_pop(x, x2) AS ab, covar_pop(x, y) AS ay, covar_pop(x2, y) AS b_y FROM pt WHERE train GROUP BY ALL),
+co AS (SELECT *, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS b1, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM cv),
+pr AS (SELECT features, split, y, my + b1 * (x - ma) + b2 * (x2 - mb) AS p FROM pt JOIN co USING (features, split) WHERE NOT train)
+SELECT features, split, round(covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0), 4) AS corr, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse, round(1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0), 4) AS r2 FROM pr GROUP BY ALL"""
+
+
+@query(with_("study", then=SPLIT_FITS))
 def split_fits(spark, sf_dir):
     """Two features on random halves of the subjects' nodes, and the same with moved features."""
     rows = study_of(spark, sf_dir).withColumn("key", F.concat_ws("-", "subject", "node"))
     found = I.split_fits(rows, "key", [], ["x", "x2"], "y", 20).withColumn("features", F.lit("own"))
-    return found.unionByName(I.split_fits(rows, "key", [], ["x", "x2"], "y", 20, null=True).withColumn("features", F.lit("moved")))
+    out = found.unionByName(I.split_fits(rows, "key", [], ["x", "x2"], "y", 20, null=True).withColumn("features", F.lit("moved")))
+    return out.select("features", "split", r("corr", 4), r("rmse", 5), r("r2", 4))
 
 
-@query()
+@query(with_("study", then="""
+, m AS (SELECT node, avg(x) AS x, avg(x2) AS x2, avg(y) AS y FROM study GROUP BY ALL),
+c AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(x2) AS mx2, stddev_samp(x2) AS sx2, avg(y) AS my, stddev_samp(y) AS sy, var_pop(x) AS aa, var_pop(x2) AS bb, covar_pop(x, x2) AS ab, covar_pop(x, y) AS ay, covar_pop(x2, y) AS b_y FROM m),
+b AS (SELECT *, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS b1, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM c)
+SELECT subject, node, round(y, 5) AS y, round(my + b1 * (x - mx) + b2 * (x2 - mx2), 5) AS prediction FROM study CROSS JOIN b"""))
 def group_on_individuals(spark, sf_dir):
-    return I.group_coefficients_on_individuals(study_of(spark, sf_dir), "subject", "node", ["x", "x2"], "y")
+    return I.group_coefficients_on_individuals(study_of(spark, sf_dir), "subject", "node", ["x", "x2"], "y").select("subject", "node", r("y", 5), r("prediction", 5))
 
 
 @query(with_("moments", then="""
@@ -417,11 +436,26 @@ def _order_counts(spark, sf_dir):
     return orders.groupBy(F.col("o_orderpriority").alias("priority"), F.ceil(F.col("o_totalprice") / 20000).cast("long").alias("v")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _refined_sql(source: str, key: str, name: str) -> str:
+    """CTEs that end in {name}({key}, n, exponent, likelihood): the bracket of I.power_law_refined over {source}({key}, n, logs), eight passes of nine tries."""
+    zeta = "list_sum(list_transform(range(1, 65), lambda k: pow(k::DOUBLE, -a))) - pow(65.0::DOUBLE, 1 - a) / (1 - a) + pow(65.0::DOUBLE, -a) / 2 + a * pow(65.0::DOUBLE, -a - 1) / 12"
+    out = f"{name}_0 AS (SELECT {key}, n, logs, 1.0001::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0.0::DOUBLE AS exponent, 0.0::DOUBLE AS likelihood FROM {source})"
+    for k in range(8):
+        out += f""",
+{name}_t{k} AS (SELECT *, -n * ln({zeta}) - a * logs AS l FROM (SELECT *, i.range AS i, lo + i.range * (hi - lo) / 8 AS a FROM {name}_{k} CROSS JOIN range(9) i)),
+{name}_b{k} AS (SELECT {key}, n, logs, lo, hi, arg_max(a, struct_pack(l := l, i := -i)) AS a, arg_max(i, struct_pack(l := l, i := -i)) AS i, max(l) AS l FROM {name}_t{k} GROUP BY ALL),
+{name}_{k + 1} AS (SELECT {key}, n, logs, greatest(a - (hi - lo) / 8, 1.0001) AS lo, CASE WHEN i = 8 AND hi >= 10 THEN 2 * a ELSE a + (hi - lo) / 8 END AS hi, a AS exponent, l AS likelihood FROM {name}_b{k})"""
+    return out + f", {name} AS (SELECT {key}, n, exponent, likelihood FROM {name}_8)"
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority AS priority, CAST(ceil(o_totalprice / 20000) AS BIGINT) AS v, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY ALL),
+s AS (SELECT priority, CAST(sum(n) AS DOUBLE) AS n, sum(n * ln(v)) AS logs FROM c GROUP BY ALL),
+""" + _refined_sql("s", "priority", "p") + " SELECT priority, n, round(exponent, 5) AS exponent, round(likelihood, 2) AS likelihood FROM p")
 def powerlaw_refined(spark, sf_dir):
     counts = _order_counts(spark, sf_dir)
     sums = counts.groupBy("priority").agg(F.lit(1).cast("long").alias("first"), F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.log("v")).alias("logs"))
-    return I.power_law_refined(sums, ["priority"], 8, 9)
+    return I.power_law_refined(sums, ["priority"], 8, 9).select("priority", "n", r("exponent", 5), r("likelihood", 2))
 
 
 @query()
@@ -432,7 +466,13 @@ def powerlaw_intervals(spark, sf_dir):
     return I.interval_distance(fits, counts, ["priority"], "v", "n")
 
 
-@query()
+@query(with_("actives", then="""
+, b AS (SELECT *, CASE WHEN (n_active > 0) = lag(n_active > 0) OVER w THEN 0 ELSE 1 END AS new FROM actives WINDOW w AS (PARTITION BY subject ORDER BY step)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY step) AS run FROM b), ru AS (SELECT subject, run, count(*) AS duration, sum(n_active) AS size FROM g WHERE n_active > 0 GROUP BY ALL),
+sd AS (SELECT subject, CAST(count(*) AS DOUBLE) AS n, sum(ln(duration)) AS logs FROM ru GROUP BY ALL), ss AS (SELECT subject, CAST(count(*) AS DOUBLE) AS n, sum(ln(size)) AS logs FROM ru GROUP BY ALL),
+m AS (SELECT subject, duration, avg(size) AS size FROM ru GROUP BY ALL), sc AS (SELECT subject, covar_pop(ln(duration), ln(size)) / nullif(var_pop(ln(duration)), 0) AS scaling FROM m GROUP BY ALL),
+""" + _refined_sql("sd", "subject", "d") + ", " + _refined_sql("ss", "subject", "z") + """
+SELECT subject, round(d.exponent, 4) AS duration_exponent, round(z.exponent, 4) AS size_exponent, round(scaling, 4) AS scaling, round((d.exponent - 1) / nullif(z.exponent - 1, 0) - scaling, 4) AS distance FROM d JOIN z USING (subject) JOIN sc USING (subject)"""))
 def criticality(spark, sf_dir):
     """Exponents of durations and sizes of runs of activity, of mean size by duration, and their distance."""
     runs = T.runs(T.activations(states_of(spark, sf_dir)), censored=True).where("active")
@@ -445,7 +485,8 @@ def criticality(spark, sf_dir):
     x, y = F.log(F.col("duration").cast("double")), F.log(F.col("size").cast("double"))
     scaling = runs.groupBy("subject", "duration").agg(F.avg("size").alias("size")).groupBy("subject").agg((F.covar_pop(x, y) / F.nullif(F.var_pop(x), F.lit(0.0))).alias("scaling"))
     rows = exponent("duration").join(exponent("size"), "subject").join(scaling, "subject")
-    return I.criticality_distance(rows, "duration_exponent", "size_exponent", "scaling")
+    out = I.criticality_distance(rows, "duration_exponent", "size_exponent", "scaling")
+    return out.select("subject", *[r(c, 4) for c in ("duration_exponent", "size_exponent", "scaling", "distance")])
 
 
 # --- series
