@@ -118,19 +118,50 @@ def pending(grid: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def run_grid(grid: DataFrame, path: str, keys: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Results of ``run`` for each setting of a grid, one setting a task group, appended under ``path``.
+    """Results of ``run`` for each setting of a grid, one setting a task group, kept under ``path``.
 
-    Settings that stand there already are not run again.
+    A setting's result is a file of its own, named by a digest of its keys, that
+    its task moves into place as soon as it is through.  So a run that is broken
+    off keeps what was finished, the list of files is the log of finished settings,
+    and those are not run again, whether they gave rows or not.
     """
-    from pyspark.errors import AnalysisException
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from .stores import written_whole
 
     spark = grid.sparkSession
+    kind = spark.createDataFrame([], schema).schema
+    columns = kind.fieldNames()
+    name = F.sha1(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).cast("binary"))
+    todo = grid.withColumn("_name", name)
+    done = finished_settings(spark, path)
+    todo = todo if done is None else todo.join(done, "_name", "left_anti")
+
+    def kept(setting: pd.DataFrame) -> pd.DataFrame:
+        own = setting["_name"].iloc[0]
+        found = run(setting.drop(columns="_name"))[columns]
+        out = io.BytesIO()
+        pq.write_table(pa.Table.from_pandas(found, to_arrow_schema(kind), preserve_index=False), out)
+        written_whole(f"{path}/part-{own}.parquet", out.getvalue())
+        return pd.DataFrame({"n": [len(found)]})
+
+    todo.groupBy("_name").applyInPandas(kept, "n long").agg(F.sum("n")).collect()  # one number
+    return spark.read.schema(kind).parquet(path)
+
+
+def finished_settings(spark: SparkSession, path: str) -> DataFrame | None:
+    """Digests (_name) of the settings that are finished under ``path``; nothing if there are none yet."""
+    from pyspark.errors import AnalysisException
+
     try:
-        todo = pending(grid, spark.read.parquet(path), keys)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").load(path)
     except AnalysisException:  # nothing is there yet
-        todo = grid
-    todo.groupBy(*keys).applyInPandas(run, schema).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        return None
+    return files.select(F.regexp_extract("path", r"part-([0-9a-f]{40})\.parquet$", 1).alias("_name"))
 
 
 def merged(group: DataFrame, individuals: DataFrame) -> DataFrame:

@@ -98,3 +98,32 @@ def test_leaves_of_a_chain_of_merges(spark):
     assert sorted(r.node for r in leaves_of(tree, n + 99, "a").collect()) == list(range(101))
     assert [r.node for r in leaves_of(tree, 5, "a").collect()] == [5]
     assert leaves_of(tree, 2 * n - 2, "b").count() == 0
+
+
+def test_observable_sums_by_rows_of_tiles(spark, monkeypatch):
+    """Small tiles, several chunks of steps, and steps that lack nodes, against plain sums; no step is sent once a pair of tiles."""
+    import numpy as np
+
+    from lattica.operators import blocked
+
+    rng = np.random.default_rng(17)
+    rows = [(s, n, t, int(rng.choice([-1, 1]))) for s in "ab" for t in range(60) for n in range(5) if rng.random() > 0.1]
+    panel = spark.createDataFrame(rows, "subject string, node long, step long, state int")
+    monkeypatch.setattr(blocked, "HELD", 20)
+    got = {(r.subject, r.i, r.j): (r.n, r.sx, r.sy, r.sxy, r.sxx, r.syy) for r in blocked.observable_sums(panel, ["subject"], lambda i, j: i * 100 + j, tile=4).collect()}
+    want = {}
+    for s in "ab":
+        steps = {}
+        for name, n, t, v in rows:
+            if name == s:
+                steps.setdefault(t, {})[n] = v
+        for own in steps.values():
+            o = {i * 100 + j: own[i] if i == j else own[i] * own[j] for i in own for j in own if i <= j}
+            for a in o:
+                for b in o:
+                    ia, ib = ((i // 100, i % 100) for i in (a, b))
+                    if ia <= ib:
+                        x = want.setdefault((s, a, b), [0.0] * 6)
+                        for k, v in enumerate((1, o[a], o[b], o[a] * o[b], 1, 1)):
+                            x[k] += v
+    assert got == {k: tuple(v) for k, v in want.items()}
