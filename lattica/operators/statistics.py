@@ -27,23 +27,39 @@ def quantile_summary(rows: DataFrame, keys: Sequence[str], value: str, quantiles
     return at.groupBy(*keys).agg(F.min(value).alias("least"), *names, F.max(value).alias("greatest"))
 
 
-def placed(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = 256) -> DataFrame:
-    """Distinct values of each key with their count ``_n`` and the rows ``_before`` them.
+def ranged(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``counts``, a row for each distinct value of a key, with ``_range``: 256 ranges of about as many values each.
 
-    Counts are added up by ranges of values and inside each, so that no task
-    holds a whole key.
+    Their ends are quantiles of the distinct values, so that a heavy tail or a
+    heap of values fills no range more than others.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = (F.col(value) - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
+    share = [k / 256 for k in range(1, 256)]
+    ends = counts.groupBy(*keys).agg(F.percentile_approx(value, share, 10_000).alias("_ends"))
     counts = counts.join(ends, list(keys)) if keys else counts.join(F.broadcast(ends))  # one row
-    counts = counts.withColumn("_b", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)))
-    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_r"))
-    lower = F.coalesce(F.sum("_r").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(*keys, "_b", lower.alias("_lower"))  # at most ``buckets`` rows a key
-    inside = F.coalesce(F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = counts.withColumn("_inside", inside).join(ranges, [*keys, "_b"])
-    return out.select(*keys, value, "_n", (F.col("_lower") + F.col("_inside")).alias("_before"))
+    below = lambda ends: F.size(F.filter(ends, lambda e: e < F.col(value)))
+    # first among every sixteenth end, then among the fifteen before the next of these
+    counts = counts.withColumn("_first", below(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda k: F.element_at("_ends", 16 * k))))
+    return counts.withColumn("_range", 16 * F.col("_first") + below(F.slice("_ends", 16 * F.col("_first") + 1, F.lit(15)))).drop("_ends", "_first")
+
+
+def running(counts: DataFrame, keys: Sequence[str], value: str, names: Sequence[str]) -> DataFrame:
+    """``counts`` with, for each of ``names``, ``before_<name>``: its sum over the key's smaller values.
+
+    Sums are added up by ranges of values and inside each, so that no task holds a whole key.
+    """
+    counts = ranged(counts, keys, value)
+    ranges = counts.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_of_{n}") for n in names])
+    lower = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most 256 rows a key
+    ranges = ranges.select(*keys, "_range", *[F.coalesce(F.sum(f"_of_{n}").over(lower), F.lit(0)).alias(f"_lower_{n}") for n in names])
+    inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    out = counts.withColumns({f"_in_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}).join(ranges, [*keys, "_range"])
+    return out.select(*counts.drop("_range").columns, *[(F.col(f"_lower_{n}") + F.col(f"_in_{n}")).alias(f"before_{n}") for n in names])
+
+
+def placed(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values of each key with their count ``_n`` and the rows ``_before`` them."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return running(counts, keys, value, ["_n"]).select(*keys, value, "_n", F.col("before__n").alias("_before"))
 
 
 def split_summary(rows: DataFrame, split: str, keys: Sequence[str], value: str) -> DataFrame:
@@ -94,12 +110,13 @@ def wilcoxon(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def kolmogorov_smirnov(rows: DataFrame, keys: Sequence[str], value: str, group: str) -> DataFrame:
-    """Greatest distance of the distribution functions of the two groups (1 and 0)."""
-    counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(group) == 1).alias("_a"), F.count_if(F.col(group) != 1).alias("_b"))
-    w = W.partitionBy(*keys)
-    run = w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    share = lambda c: ratio(F.sum(c).over(run), F.sum(c).over(w))
-    return counts.withColumn("_d", F.abs(share("_a") - share("_b"))).groupBy(*keys).agg(F.max("_d").alias("distance"))
+    """Greatest distance of the distribution functions of the two groups (1 and 0); rows without a value are left out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(group) == 1).alias("_a"), F.count_if(F.col(group) != 1).alias("_b"))
+    whole = counts.groupBy(*keys).agg(F.sum("_a").alias("_wa"), F.sum("_b").alias("_wb"))
+    at = running(counts, keys, value, ["_a", "_b"])
+    at = at.join(whole, list(keys)) if keys else at.join(F.broadcast(whole))  # one row
+    share = lambda c: ratio(F.col(f"before__{c}") + F.col(f"_{c}"), F.col(f"_w{c}"))
+    return at.groupBy(*keys).agg(F.max(F.abs(share("a") - share("b"))).alias("distance"))
 
 
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -584,12 +584,12 @@ def mann_whitney(spark, sf_dir):
 
 
 @query(with_("panel", then="""
-, d AS (SELECT subject, a.value - b.value AS d FROM panel a JOIN panel b USING (subject, step) WHERE a.node = 0 AND b.node = 1),
-k AS (SELECT subject, d, rank() OVER (PARTITION BY subject ORDER BY abs(d)) + (count(*) OVER (PARTITION BY subject, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
-SELECT subject, count(*) AS n, coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS w_plus, coalesce(sum(CASE WHEN d < 0 THEN r END), 0) AS w_minus FROM k GROUP BY ALL"""))
+, d AS (SELECT subject, a.node AS i, b.node AS j, a.value - b.value AS d FROM panel a JOIN panel b USING (subject, step) WHERE a.node < b.node),
+k AS (SELECT subject, i, j, d, rank() OVER (PARTITION BY subject, i, j ORDER BY abs(d)) + (count(*) OVER (PARTITION BY subject, i, j, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
+SELECT subject, i, j, count(*) AS n, coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS w_plus, coalesce(sum(CASE WHEN d < 0 THEN r END), 0) AS w_minus FROM k GROUP BY ALL"""))
 def wilcoxon(spark, sf_dir):
-    pairs = M.node_pairs(event_panel(spark, sf_dir).where("node in (0, 1)"), "value")
-    return S.wilcoxon(pairs, ["subject"], "x", "y")
+    """Signed ranks of the differences of every two nodes' values in each step."""
+    return S.wilcoxon(M.node_pairs(event_panel(spark, sf_dir), "value"), ["subject", "i", "j"], "x", "y")
 
 
 @query(with_("emb", then="""

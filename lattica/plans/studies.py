@@ -59,17 +59,17 @@ def reindexed(spark, sf_dir):
 
 
 @query(with_("states", then="""
-, k AS (SELECT subject, step, string_agg(CASE WHEN state = 1 THEN '+' ELSE '-' END, '' ORDER BY node) AS key FROM states WHERE node < 6 GROUP BY ALL),
+, k AS (SELECT subject, step, string_agg(CASE WHEN state = 1 THEN '+' ELSE '-' END, '' ORDER BY node) AS key FROM states GROUP BY ALL),
 d AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS code FROM (SELECT DISTINCT key FROM k WHERE step < 40))
 SELECT subject, code, count(*) AS n FROM k JOIN d USING (key) GROUP BY ALL"""))
 def state_lookup(spark, sf_dir):
-    """How often each subject visits the states of a dictionary, those of six nodes seen in the first 40 steps."""
-    states = states_of(spark, sf_dir).where("node < 6")
+    """How often each subject visits the states of a dictionary, those of all nodes seen in the first 40 steps."""
+    states = states_of(spark, sf_dir)
     keyed = states.groupBy("subject", "step").agg(F.array_sort(F.collect_list(F.struct("node", "state"))).alias("s"))
     keyed = keyed.select("subject", "step", F.array_join(F.transform("s", lambda x: F.when(x["state"] == 1, "+").otherwise("-")), "").alias("key"))
-    known = keyed.where("step < 40").select("key").distinct()  # at most 2 ** 6 rows
+    known = keyed.where("step < 40").select("key").distinct()
     known = known.select("key", F.expr("CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT)").alias("code"))
-    return keyed.join(F.broadcast(known), "key").groupBy("subject", "code").agg(F.count("*").alias("n"))
+    return keyed.join(known, "key").groupBy("subject", "code").agg(F.count("*").alias("n"))
 
 
 @query(with_("fc", then="SELECT subject, i, j, round(fc, 6) AS fc, row_number() OVER (PARTITION BY subject ORDER BY round(fc, 6) DESC, i, j) AS place FROM fc WHERE fc IS NOT NULL"))

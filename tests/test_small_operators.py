@@ -127,3 +127,24 @@ def test_observable_sums_by_rows_of_tiles(spark, monkeypatch):
                         for k, v in enumerate((1, o[a], o[b], o[a] * o[b], 1, 1)):
                             x[k] += v
     assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_ranges_of_heavy_tails_and_heaps(spark):
+    """No range of values holds much more than its share, whatever the values' spread, and ranks over ranges are those of a sort."""
+    import numpy as np
+    from lattica.operators import statistics as S
+
+    rng = np.random.default_rng(18)
+    v = np.concatenate([np.exp(30 * rng.random(5000)), 1e-9 * rng.random(5000), np.repeat(3.5, 500)])
+    rows = spark.createDataFrame([("a", float(x), int(k % 2)) for k, x in enumerate(v)] + [("b", 1.0, 0), ("b", 1.0, 1)], "key string, v double, g int")
+    counts = rows.groupBy("key", "v").count()
+    assert S.ranged(counts, ["key"], "v").where("key = 'a'").groupBy("_range").count().agg(F.max("count")).first()[0] <= 3 * 10_001 / 256
+    got = {(r.key, r.v): (r._n, r._before) for r in S.placed(rows, ["key"], "v").collect()}
+    order = np.sort(v)
+    assert got["b", 1.0] == (2, 0) and len(got) == 10_002
+    for x in np.unique(v):
+        assert got["a", x] == ((v == x).sum(), np.searchsorted(order, x))
+    d = {r.key: r.distance for r in S.kolmogorov_smirnov(rows, ["key"], "v", "g").collect()}
+    one, two = np.sort(v[1::2]), np.sort(v[0::2])
+    far = np.abs(np.searchsorted(one, order, "right") / len(one) - np.searchsorted(two, order, "right") / len(two)).max()
+    assert abs(d["a"] - far) < 1e-12 and d["b"] == 0
