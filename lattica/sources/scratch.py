@@ -20,8 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a written table removed when the driver ends; until then results may read it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
+    """``df`` written to the shared folder and read from there; the table goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
