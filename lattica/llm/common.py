@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.sources.scratch import remove_at_end, shared_dir
+
+__all__ = ["shared_dir"]
+
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,17 +35,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is named and all run on this machine (tests), one of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 #: Folders that ``cut`` has written and nothing has removed, in order.
 written: list[str] = []
 
@@ -67,6 +59,7 @@ def cut(df: DataFrame, **options: object) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    remove_at_end(spark, path)
     written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
