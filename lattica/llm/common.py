@@ -8,9 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.sources.scratch import remove_at_end, shared_dir
-
-__all__ = ["shared_dir"]
+from lattica.sources.scratch import remove_at_end, shared_dir  # noqa: F401  the operators take it from here
 
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
