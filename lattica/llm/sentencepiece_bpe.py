@@ -169,6 +169,8 @@ class Model:
         return out
 
     def part_ids(self, part: str) -> tuple[int, ...]:
+        if self.known.issuperset(part):
+            return tuple(self.backtrack(part))
         out, at = [], 0
         for known, chars in groupby(part, key=self.known.__contains__):
             end = at + sum(1 for _ in chars)
