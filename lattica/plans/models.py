@@ -174,11 +174,11 @@ def fit_boltzmann(spark, sf_dir):
 
 @query(with_("panel", then="""
 , s AS (SELECT subject, node, f.range AS f, sum(value * cos(2 * pi() * f.range * step / 120)) AS a, sum(value * sin(2 * pi() * f.range * step / 120)) AS b FROM panel CROSS JOIN range(61) f GROUP BY ALL)
-SELECT subject, node, f / 30.0::DOUBLE AS frequency, round((a * a + b * b) * 0.25 / 120 * CASE WHEN f BETWEEN 1 AND 59 THEN 2 ELSE 1 END / 1e6, 4) AS power FROM s"""))
+SELECT subject, node, round(f / 30.0::DOUBLE, 6) AS frequency, round((a * a + b * b) * 0.25 / 120 * CASE WHEN f BETWEEN 1 AND 59 THEN 2 ELSE 1 END / 1e6, 4) AS power FROM s"""))
 def power_spectrum(spark, sf_dir):
     """Power of the values in units of a million."""
     out = K.power_spectrum(event_panel(spark, sf_dir), 0.25)
-    return out.select("subject", "node", "frequency", F.round(F.col("power") / 1e6, 4).alias("power"))
+    return out.select("subject", "node", r("frequency"), F.round(F.col("power") / 1e6, 4).alias("power"))
 
 
 @query()
