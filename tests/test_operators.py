@@ -132,3 +132,17 @@ def test_power_law_exponent_is_recovered(spark):
 def test_empty_panel(spark):
     none = spark.createDataFrame([], "subject string, node long, step long, state int")
     assert M.functional_connectivity(none).count() == 0 and T.avalanches(none).count() == 0
+
+
+def test_band_links_of_copies(spark):
+    """Copies are one class and their links are counted, one row a row: 20,000 copies have 400 million pairs."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], float(rng.integers(0, 40)) / 4, int(rng.integers(0, 6))) for i in range(400)]
+    rows += [(400, None, 1.0, 1), (401, "a", None, 1), (402, "a", 1.0, None), (403, "a", 1.0, None)]
+    got = {r.id: (r.class_id, r.n_links) for r in R.band_links(spark.createDataFrame(rows, "id long, key string, x double, y int"), ["key"], {"x": 0.5, "y": 1}).collect()}
+    whole = lambda r: None not in r
+    want = {a[0]: (min(b[0] for b in rows if a[1:] == b[1:]), sum(whole(a) and whole(b) and a[1] == b[1] and abs(a[2] - b[2]) <= 0.5 and abs(a[3] - b[3]) <= 1 for b in rows)) for a in rows}
+    assert got == want
+    many = spark.range(20_000).select("id", F.lit("a").alias("key"), F.lit(1.0).alias("x"))
+    out = R.band_links(many, ["key"], {"x": 0.5})
+    assert out.count() == 20_000 and out.agg(F.min("n_links"), F.max("n_links"), F.max("class_id")).first()[:] == (20_000, 20_000, 0)
