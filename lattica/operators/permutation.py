@@ -9,7 +9,8 @@ a key may be dealt to many tasks.
 
 The units (subjects, or nodes) are a list that every task holds, and a key's
 matrix (units times columns) stands in one row: both are bounded by the study,
-not by its permutations.
+not by its permutations.  Where units grow with the tables, :func:`many_units_summary`
+deals them to tasks as well.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .moments import ratio
+from .relate import ranked_by_digest
 
 #: Numbers that a task gathers at once.
 GATHERED = 4_000_000
@@ -183,6 +186,108 @@ def permuted_summary(
     return out.groupBy(*by).agg(F.max("corr").alias("corr"), F.sum("n_null").alias("n_null"), F.sum("n_beyond").alias("n_beyond"), merged.alias("top"))
 
 
+def many_units_summary(rows: DataFrame, unit: str, by: Sequence[str], x: str, y: str, n: int, top: int, tag: str = "", bucket: int = 1 << 16, block: int = 1 << 13) -> DataFrame:
+    """:func:`permuted_summary` of ``digest`` draws for any number of units, where y is one variable of the units, whatever cells a key has.
+
+    Units stand in blocks by their places, and each permutation's drawn order is sorted by ranges of
+    digests of about ``bucket`` units, cut into the same blocks, and multiplied with them; only sums of
+    blocks are added up.  No task, list or row holds all units; the keys of a unit are its row.
+    """
+    spark, by = rows.sparkSession, [*by]
+    own = rows.where(F.col(unit).isNotNull()).select(*by, F.col(unit).alias("_u"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    names = spark.createDataFrame([(k, *r) for k, r in enumerate(own.select(*by).distinct().collect())], "_k int, " + ", ".join(f"`{b}` {own.schema[b].dataType.simpleString()}" for b in by))
+    cells = own.repartition("_u").groupBy("_u", *by).agg(F.avg("_x").alias("_x"), F.avg("_y").alias("_y")).join(F.broadcast(names), by)  # the bounded list
+    wide = written(cells.groupBy("_u").agg(F.collect_list(F.struct("_k", "_x")).alias("_m"), F.avg("_y").alias("_y")))
+    n_units, n_keys, middle_y = wide.agg(F.count("*"), F.max(F.array_max(F.transform("_m", lambda c: c["_k"]))), F.avg("_y")).first()
+    n_keys, middle_y = 0 if n_keys is None else n_keys + 1, middle_y or 0.0
+    middle = np.zeros(n_keys)
+    for k, m in wide.select(F.explode("_m").alias("c")).groupBy("c._k").agg(F.avg("c._x")).collect():
+        middle[k] = m or 0.0
+    buckets = max(1, -(-n_units // bucket))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, float]] = []
+
+        def full() -> Iterator[pa.RecordBatch]:
+            texts, values = [f"{tag}{u}-".encode() for u, _ in held], np.array([v for _, v in held], "<f8")
+            for p in range(n):
+                end = str(p).encode()
+                raw = np.frombuffer(b"".join([hashlib.md5(t + end).digest() for t in texts]), "V16")
+                to = (np.frombuffer(raw.tobytes(), ">u4")[::4].astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
+                at = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[at], np.arange(buckets + 1))
+                kept = [(k, at[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(kept), p, np.int32)), pa.array(np.array([k for k, _ in kept], np.int64)), pa.array([raw[i].tobytes() for _, i in kept], pa.binary()), pa.array([values[i].tobytes() for _, i in kept], pa.binary())],
+                    names=["p", "bucket", "digests", "y"],
+                )
+
+        for batch in batches:
+            held += zip(batch["_u"].to_pylist(), batch["_y"].to_numpy(zero_copy_only=False).astype(float), strict=True)
+            if len(held) >= bucket:
+                yield from full()
+                held = []
+        if held:
+            yield from full()
+
+    def in_order(group: pa.Table) -> pa.Table:
+        digests = np.frombuffer(b"".join(group["digests"].to_pylist()), ">u8").reshape(-1, 2)
+        values = np.frombuffer(b"".join(group["y"].to_pylist()), "<f8")
+        own = values[np.lexsort((digests[:, 1], digests[:, 0]))]
+        return pa.table({"p": group["p"][:1], "bucket": group["bucket"][:1], "n": pa.array([len(own)], pa.int64()), "y": pa.array([own.tobytes()], pa.binary())})
+
+    in_order.__annotations__ = {"group": pa.Table, "return": pa.Table}
+    drawn = wide.select(F.col("_u").cast("string").alias("_u"), "_y").mapInArrow(draw, "p int, bucket long, digests binary, y binary")
+    drawn = written(drawn.groupBy("p", "bucket").applyInArrow(in_order, "p int, bucket long, n long, y binary"))
+    lower = F.coalesce(F.sum("n").over(W.partitionBy("p").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a bucket
+    drawn = drawn.join(drawn.select("p", "bucket", lower.alias("first")), ["p", "bucket"]).select("p", "first", "y")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p, first, data in zip(*(batch[c].to_pylist() for c in ("p", "first", "y")), strict=True):
+                end = first + len(data) // 8
+                for b in range(first // block, -(-end // block)):
+                    start, stop = max(first, b * block), min(end, (b + 1) * block)
+                    out.append((b, p, start - b * block, data[8 * (start - first) : 8 * (stop - first)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["b", "p", "at", "y"])
+
+    def products(units: pa.Table, moved: pa.Table) -> pa.Table:
+        xs, ys = np.full((n_keys, block), np.nan), np.full((n + 1, block), np.nan)
+        at, lists = units["at"].to_numpy(), units["_m"].combine_chunks()
+        flat = lists.flatten()
+        xs[flat.field("_k").to_numpy(), np.repeat(at, lists.value_lengths().to_numpy())] = flat.field("_x").to_numpy(zero_copy_only=False)
+        ys[n, at] = units["_y"].to_numpy()  # the last one moves nothing
+        for p, a, data in zip(*(moved[c].to_pylist() for c in ("p", "at", "y")), strict=True):
+            ys[p, a : a + len(data) // 8] = np.frombuffer(data, "<f8")
+        mx, my = (~np.isnan(xs)).astype(float), (~np.isnan(ys)).astype(float)
+        xs, ys = np.where(mx > 0, xs - middle[:, None], 0.0), np.where(my > 0, ys - middle_y, 0.0)
+        sums = np.stack([mx @ my.T, xs @ my.T, mx @ ys.T, xs @ ys.T, (xs * xs) @ my.T, mx @ (ys * ys).T], axis=1)
+        return pa.table({"_k": pa.array(np.arange(n_keys, dtype=np.int32)), "sums": pa.array([v.tobytes() for v in sums], pa.binary())})
+
+    products.__annotations__ = {"units": pa.Table, "moved": pa.Table, "return": pa.Table}
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = np.zeros((6, n + 1))
+        for data in group["sums"]:
+            total += np.frombuffer(data.as_py()).reshape(6, n + 1)
+        seen, sx, sy, sxy, sxx, syy = total
+        vx, vy = seen * sxx - sx * sx, seen * syy - sy * sy
+        with np.errstate(all="ignore"):
+            c = np.where((vx > 1e-12) & (vy > 1e-12), (seen * sxy - sx * sy) / np.sqrt(vx * vy), np.nan)
+        far = np.abs(c[:n])
+        ok = ~np.isnan(far)
+        best = np.sort(far[ok])[::-1][:top].tolist()
+        return pa.table({"_k": group["_k"][:1], "corr": pa.array(c[n:], mask=np.isnan(c[n:])), "n_null": pa.array([int(ok.sum())]), "n_beyond": pa.array([int((far[ok] >= abs(c[n])).sum())]), "top": pa.array([best], pa.list_(pa.float64()))})
+
+    summed.__annotations__ = {"group": pa.Table, "return": pa.Table}
+    placed = ranked_by_digest(wide.select("_u", "_m", "_y", F.lit(0).alias("_g"), F.md5(F.col("_u").cast("string").cast("binary")).alias("_o")), "_g", "_o", "_u", max(64, buckets))
+    placed = placed.select(F.floor((F.col("rank") - 1) / block).alias("b"), ((F.col("rank") - 1) % block).cast("int").alias("at"), "_m", F.coalesce("_y", F.lit(float("nan"))).alias("_y"))
+    sums = placed.groupBy("b").cogroup(drawn.mapInArrow(cut, "b long, p int, at int, y binary").groupBy("b")).applyInArrow(products, "_k int, sums binary")
+    out = sums.groupBy("_k").applyInArrow(summed, "_k int, corr double, n_null long, n_beyond long, top array<double>")
+    return out.join(F.broadcast(names), "_k").select(*by, "corr", "n_null", "n_beyond", "top")
+
+
 def tested(summary: DataFrame, n: int, n_tests: int, alpha: float) -> DataFrame:
     """``summary`` with p, p_corrected and the Bonferroni critical value, the k-th largest distance of the null for
     k = max(1, floor(alpha / n_tests * n)); a summary with a shorter list has the last of it."""

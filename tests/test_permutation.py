@@ -97,3 +97,20 @@ def test_a_hundred_thousand_permutations(spark):
 def test_empty(spark, values):
     rows = frame(spark, *values).limit(0)
     assert P.permuted_summary(rows, "subject", ["feature"], "x", "y", 10, 2).count() == 0
+
+
+def test_many_units_are_never_in_one_place(spark, monkeypatch):
+    """Buckets and blocks of a few units give what all units in one task give, with cells and y missing and cells that stand twice."""
+    rng = np.random.default_rng(23)
+    rows = [(u, f, None if rng.random() < 0.05 else float(rng.normal()), None if u % 41 == 0 else float(u % 7)) for u in range(300) for f in "abc"]
+    rows += [(5, "a", 9.0, 5.0), (None, "a", 1.0, 1.0)] + [(u, "still", 2.0, float(u % 7)) for u in range(1, 9)]
+    df = spark.createDataFrame(rows, "unit long, feature string, x double, y double").repartition(5)
+    want = {r.feature: r for r in P.permuted_summary(df, "unit", ["feature"], "x", "y", 60, 7, draw="digest").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(P, "partners", None)  # draws all units at once
+        got = {r.feature: r for r in P.many_units_summary(df, "unit", ["feature"], "x", "y", 60, 7, bucket=50, block=32).collect()}
+    assert got.keys() == want.keys() == {"a", "b", "c", "still"}
+    for k, r in got.items():
+        assert (r.n_null, r.n_beyond) == (want[k].n_null, want[k].n_beyond) and np.allclose(r.top, want[k].top, atol=1e-12)
+        assert (r.corr is None) == (k == "still") and (r.corr is None or abs(r.corr - want[k].corr) < 1e-12)
+    assert P.many_units_summary(df.limit(0), "unit", ["feature"], "x", "y", 10, 2).count() == 0
