@@ -96,7 +96,10 @@ class WordIds:
         self.direct = all(self._plain(w) == np.array(e.ids, np.uint32).tobytes() for w, e in zip(probe, whole, strict=True))
 
     def _plain(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.lower().translate(self.shown))]).tobytes()
+        word = word.lower()
+        if not word.isascii():  # the others' bytes are shown as they are
+            word = word.translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
         """Put the ids of ``words`` among those kept."""
